@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from hindcast import fixtures as fx
 from hindcast.operators import accuracy, grid, matched, quality, waterfall
-from hindcast.plans.history import GridFolder, parse_rows
+from hindcast.plans.history import GridFolder
 from hindcast.sources.history import read_history_csv, write_history_csv
 from hindcast.sources.shared import new_folder
 from hindcast.sources.sheets import list_files
@@ -40,12 +40,13 @@ def _rows(spark: SparkSession, sf_dir: str, text: bool = False) -> DataFrame:
     return fx.grid_rows(fx.grid_months(spark, sf_dir), fx.grid_lines(spark, sf_dir), text)
 
 
-def _folder(spark: SparkSession, sf_dir: str) -> GridFolder:
-    return parse_rows(_rows(spark, sf_dir))
+def _folder(spark: SparkSession, sf_dir: str, settled: bool = False) -> GridFolder:
+    """Parsed grids; settled where a query reads the rows or the melt more than once."""
+    return GridFolder(_rows(spark, sf_dir), settled)
 
 
 def _faulty(spark: SparkSession, sf_dir: str) -> GridFolder:
-    return parse_rows(fx.faulty_grid_rows(fx.grid_months(spark, sf_dir), fx.grid_lines(spark, sf_dir)))
+    return GridFolder(fx.faulty_grid_rows(fx.grid_months(spark, sf_dir), fx.grid_lines(spark, sf_dir)), settled=True)
 
 
 def entry(spark: SparkSession) -> DataFrame:
@@ -61,7 +62,7 @@ def _forecasts_csv_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _waterfall_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = new_folder(spark, "waterfall")
-    write_history_csv(waterfall.waterfall(_folder(spark, sf_dir).long), folder)
+    write_history_csv(_folder(spark, sf_dir, settled=True).history(), folder)
     return read_history_csv(spark, folder)
 
 
@@ -82,7 +83,7 @@ def _grid_text_melt(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _grand_total_check(spark: SparkSession, sf_dir: str) -> DataFrame:
-    folder = _folder(spark, sf_dir)
+    folder = _folder(spark, sf_dir, settled=True)
     return quality.reconcile(folder.long.filter(F.col("parent_code") != DROPPED_PARENT), folder.totals)
 
 
@@ -154,13 +155,13 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "grand_totals": lambda s, d: _folder(s, d).totals,
         "grand_total_check": _grand_total_check,
         "multi_row_materials": _multi_row_materials,
-        "grid_profile": lambda s, d: _folder(s, d).profile(),
-        "grid_profile_totals": lambda s, d: grid.profile_totals(_folder(s, d).facts),
-        "validation": lambda s, d: _folder(s, d).validation(),
+        "grid_profile": lambda s, d: _folder(s, d, settled=True).profile(),
+        "grid_profile_totals": lambda s, d: grid.profile_totals(_folder(s, d, settled=True).facts),
+        "validation": lambda s, d: _folder(s, d, settled=True).validation(),
         "description_vote": lambda s, d: waterfall.description_votes(_folder(s, d).long),
-        "waterfall": lambda s, d: waterfall.waterfall(_folder(s, d).long),
-        "waterfall_head": lambda s, d: waterfall.head(waterfall.waterfall(_folder(s, d).long)),
-        "waterfall_stats": lambda s, d: waterfall.stats(waterfall.waterfall(_folder(s, d).long)),
+        "waterfall": lambda s, d: _folder(s, d, settled=True).history(),
+        "waterfall_head": lambda s, d: waterfall.head(_folder(s, d, settled=True).history()),
+        "waterfall_stats": lambda s, d: waterfall.stats(_folder(s, d, settled=True).history()),
         "waterfall_roundtrip": _waterfall_roundtrip,
         "month_window": _month_window,
         "layout_detect": _layout_detect,

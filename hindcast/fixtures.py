@@ -15,8 +15,22 @@ YEARS_AHEAD = 20
 WINDOW = 5
 
 
+# Column types of the generated tables. Given, so no file is opened to infer them.
+TABLES = {
+    "region": "r_regionkey int, r_name string",
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "supplier": "s_suppkey bigint, s_name string, s_nationkey int, s_acctbal double",
+    "part": "p_partkey bigint, p_name string, p_brand string, p_type string, p_size int, p_retailprice double",
+    "orders": "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, "
+    "o_orderdate timestamp_ntz, o_orderpriority string",
+    "lineitem": "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, l_quantity double, "
+    "l_extendedprice double, l_discount double, l_tax double, l_returnflag string, l_linestatus string, "
+    "l_shipdate timestamp_ntz",
+}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spark.read.schema(TABLES[name]).parquet(f"{sf_dir}/{name}.parquet")
 
 
 def forecasts_text(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -136,31 +150,35 @@ def body_rows(wide: DataFrame, file: Column) -> DataFrame:
     )
 
 
-def _nulls(n: int) -> list[Column]:
-    return [F.lit(None).cast("string")] * n
-
-
 def header_rows(months: DataFrame, file: Column, first: Column, named: Column) -> DataFrame:
     """Header rows of each file month: names below the month row in even months, on it in odd ones.
 
     ``first`` is the month of the first column. Without ``named`` the code column has no name.
     """
-    names = [F.lit("batch"), F.when(named, F.lit("parent_code")), F.lit("parent_description"), F.lit("material_code"), F.lit("type")]
-    abbr = [F.date_format(F.add_months(first, i), "MMM") for i in range(WINDOW)]
-    fiscal = [F.format_string("%02d", F.month(F.add_months(first, i - 3))) for i in range(WINDOW)]
-    blank = _nulls(5)
-    even = F.month("cm") % 2 == 0
-    top = F.array(F.lit("Sum of qty"), *_nulls(4), F.lit("fy_month_no"), F.lit("date"), *_nulls(WINDOW - 2))
-    layouts = F.when(
-        even,
-        F.array(
-            top,
-            F.array(*blank, *fiscal),
-            F.array(*blank, *[F.concat(F.lit(" "), a) for a in abbr]),
-            F.array(*names, *_nulls(WINDOW)),
-        ),
-    ).otherwise(F.array(top, F.array(*blank, *fiscal), F.array(*names, *abbr)))
-    return months.select(file.alias("file"), F.posexplode(layouts).alias("row_idx", "cells"))
+    layouts = F.expr(
+        """CASE WHEN month(cm) % 2 = 0 THEN array(
+             array('Sum of qty', null, null, null, null, 'fy_month_no', 'date', null, null, null),
+             concat(array_repeat(cast(null AS string), 5), fiscal),
+             concat(array_repeat(cast(null AS string), 5), transform(abbr, a -> concat(' ', a))),
+             concat(names, array_repeat(cast(null AS string), 5)))
+           ELSE array(
+             array('Sum of qty', null, null, null, null, 'fy_month_no', 'date', null, null, null),
+             concat(array_repeat(cast(null AS string), 5), fiscal),
+             concat(names, abbr)) END"""
+    )
+    return (
+        months.select("cm", file.alias("file"), first.alias("first"), named.alias("named"))
+        .select(
+            "cm",
+            "file",
+            F.expr("transform(sequence(0, 4), i -> date_format(add_months(first, i), 'MMM'))").alias("abbr"),
+            F.expr("transform(sequence(0, 4), i -> format_string('%02d', month(add_months(first, i - 3))))").alias("fiscal"),
+            F.expr(
+                "array('batch', if(named, 'parent_code', null), 'parent_description', 'material_code', 'type')"
+            ).alias("names"),
+        )
+        .select("file", F.posexplode(layouts).alias("row_idx", "cells"))
+    )
 
 
 def file_name(first: Column, last: Column, ending: str = "") -> Column:

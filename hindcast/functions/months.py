@@ -12,7 +12,7 @@ MAX_WINDOW = 12
 
 
 def month_names() -> Column:
-    return F.array(*[F.lit(m) for m in MONTHS])
+    return F.expr("array('" + "', '".join(MONTHS) + "')")
 
 
 def month_number(abbr: Column) -> Column:

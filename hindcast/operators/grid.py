@@ -208,8 +208,8 @@ def material_counts(rows: DataFrame, layout: DataFrame) -> DataFrame:
     """
     month_cells = F.transform("months", lambda m: F.get("cells", m["pos"]))
     parent = F.get("cells", F.lit(1))
-    has_qty = F.exists(month_cells, is_number)
     leaf = parent.isNotNull()
+    no_code = leaf & whole_number(parent).isNull()
     return (
         data_rows(rows, layout)
         .select(
@@ -217,7 +217,7 @@ def material_counts(rows: DataFrame, layout: DataFrame) -> DataFrame:
             parent.alias("parent_code"),
             F.get("cells", F.lit(3)).alias("material_code"),
             F.when(leaf, F.size(F.filter(month_cells, is_non_numeric))).otherwise(0).alias("bad_cells"),
-            (leaf & has_qty & whole_number(parent).isNull()).alias("bad_parent"),
+            (no_code & F.exists(month_cells, is_number)).alias("bad_parent"),
         )
         .groupBy("file", "parent_code", "material_code")
         .agg(
@@ -236,7 +236,10 @@ def multi_row_materials(counts: DataFrame) -> DataFrame:
 
 
 def file_facts(rows: DataFrame, layout: DataFrame) -> DataFrame:
-    """One row per file: its layout with row counts, flagged cells and Grand Total rows."""
+    """One row per file: its layout with row counts, flagged cells and the Grand Total row.
+
+    ``total_cells`` holds the month cells of that row, at most twelve.
+    """
     counts = material_counts(rows, layout)
     leaf = F.col("parent_code").isNotNull()
     per_file = counts.groupBy("file").agg(
@@ -253,8 +256,16 @@ def file_facts(rows: DataFrame, layout: DataFrame) -> DataFrame:
             F.min(F.struct("parent_code", "material_code")).alias("split_example"),
         )
     )
-    total_rows = (
-        rows.filter(F.get("cells", F.lit(0)) == GRAND_TOTAL).groupBy("file").agg(F.count(F.lit(1)).alias("grand_total_rows"))
+    stated = (
+        rows.filter(F.get("cells", F.lit(0)) == GRAND_TOTAL)
+        .groupBy("file")
+        .agg(F.count(F.lit(1)).alias("grand_total_rows"), F.min("cells").alias("cells"))
+    )
+    total_cells = F.transform(
+        "months",
+        lambda m: F.struct(
+            m["abbr"].alias("abbr"), m["snop_month"].alias("snop_month"), F.get("cells", m["pos"]).alias("cell")
+        ),
     )
     zero = {
         c: F.coalesce(F.col(c), F.lit(0)).cast("bigint")
@@ -263,9 +274,9 @@ def file_facts(rows: DataFrame, layout: DataFrame) -> DataFrame:
     return (
         layout.join(per_file, "file", "left")
         .join(split, "file", "left")
-        .join(total_rows, "file", "left")
-        .withColumns(zero)
-        .withColumn("issues", _issues())
+        .join(stated, "file", "left")
+        .withColumns({**zero, "total_cells": total_cells, "issues": _issues()})
+        .drop("cells")
     )
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from hindcast.functions.months import month_key, month_key_date
-from hindcast.functions.numeric import sum0
+from hindcast.functions.numeric import is_number, sum0
 from hindcast.functions.text import joined_or_none
 
 # Files a complete folder holds, and the tolerance of the totals check.
@@ -117,62 +117,64 @@ def _file_rules() -> list[Column]:
     ]
 
 
+def _total_rules() -> Column:
+    """Rules on each Grand Total cell of a file that has one such row."""
+    return F.transform(
+        F.when(F.col("grand_total_rows") == 1, F.col("total_cells")),
+        lambda c: F.coalesce(
+            _hit("R10", c["cell"].isNull(), F.concat(F.lit("blank Grand Total for "), c["abbr"])),
+            _hit(
+                "R11",
+                ~is_number(c["cell"]),
+                F.concat(F.lit("Grand Total for "), c["abbr"], F.lit(" is not numeric: "), c["cell"]),
+            ),
+        ),
+    )
+
+
+def _difference_rule(tolerance: float) -> Column:
+    """The reconciliation, for a file whose Grand Total row can be used."""
+    readable = (F.col("grand_total_rows") == 1) & F.forall("total_cells", lambda c: is_number(c["cell"]))
+    return _hit(
+        "R15",
+        readable & (F.col("max_abs_diff_vs_grand_total") > tolerance),
+        F.format_string("melted sums differ from the Grand Total by %s", _text("max_abs_diff_vs_grand_total")),
+    )
+
+
 def violations(
     facts: DataFrame,
-    totals: DataFrame,
     checked: DataFrame,
     expected_files: int = EXPECTED_FILES,
     tolerance: float = TOLERANCE,
 ) -> DataFrame:
     """All rule violations as (file, rule, severity, detail).
 
-    ``totals`` are the Grand Total cells and ``checked`` the reconciliation. A file whose
-    totals row cannot be used is reported for that, not for its difference as well.
+    ``checked`` is the reconciliation. A file whose totals row cannot be used is reported
+    for that, not for its difference as well. Rules on the folder have no file.
     """
-    columns = ["file", "rule", "severity", "detail"]
-    per_file = facts.select("file", F.explode(F.filter(F.array(*_file_rules()), lambda h: h.isNotNull())).alias("h"))
-
-    usable = facts.filter((F.col("grand_total_rows") == 1)).select("file")
-    bad_cell = F.coalesce(
-        _hit("R10", F.col("cell").isNull(), F.format_string("blank Grand Total for %s", "abbr")),
-        _hit("R11", F.col("gt").isNull(), F.format_string("Grand Total for %s is not numeric: %s", "abbr", _text("cell"))),
+    no_file = F.lit(None).cast("string").alias("file")
+    hits = F.concat(
+        F.array(*_file_rules(), _difference_rule(tolerance)),
+        F.coalesce(_total_rules(), F.array().cast("array<struct<rule:string,severity:string,detail:string>>")),
     )
-    bad_totals = totals.join(usable, "file", "left_semi").select("file", bad_cell.alias("h")).filter(F.col("h").isNotNull())
-
-    unreadable = totals.filter(F.col("gt").isNull()).select("file").distinct()
-    differing = (
-        offenders(checked, tolerance)
-        .join(usable, "file", "left_semi")
-        .join(unreadable, "file", "left_anti")
+    per_file = facts.join(checked, "file", "left").select(
+        "file", F.explode(F.filter(hits, lambda h: h.isNotNull())).alias("h")
+    )
+    count = (
+        facts.agg(F.count(F.lit(1)).alias("n"))
+        .filter(F.col("n") != expected_files)
         .select(
-            "file",
-            F.struct(
-                F.lit("R15").alias("rule"),
-                F.lit("fail").alias("severity"),
-                F.format_string("melted sums differ from the Grand Total by %s", _text("max_abs_diff_vs_grand_total")).alias("detail"),
-            ).alias("h"),
+            no_file,
+            _hit("R12", F.lit(True), F.format_string(f"expected {expected_files} files, found %s", _text("n"))).alias("h"),
         )
     )
-
-    count = facts.agg(F.count(F.lit(1)).alias("n")).select(
-        F.lit(None).cast("string").alias("file"),
-        _hit("R12", F.col("n") != expected_files, F.format_string(f"expected {expected_files} files, found %s", _text("n"))).alias("h"),
-    ).filter(F.col("h").isNotNull())
-
     series = facts.filter(F.col("calc_month").isNotNull()).select(month_key_date(F.col("calc_month")).alias("month"))
+    step = F.format_string("%s → %s", month_key(F.col("prev_month")), month_key(F.col("next_month")))
     gaps = month_gaps(series, "month").select(
-        F.lit(None).cast("string").alias("file"),
-        F.struct(
-            F.lit("R14").alias("rule"),
-            F.lit("fail").alias("severity"),
-            F.format_string("gap in calculation-month series: %s → %s", month_key(F.col("prev_month")), month_key(F.col("next_month"))).alias("detail"),
-        ).alias("h"),
-    )
-
-    found = per_file
-    for part in (bad_totals, differing, count, gaps):
-        found = found.unionByName(part)
-    return found.select("file", "h.*").select(*columns)
+        no_file, _hit("R14", F.lit(True), F.concat(F.lit("gap in calculation-month series: "), step)).alias("h")
+    )
+    return per_file.unionByName(count).unionByName(gaps).select("file", "h.*")
 
 
 def summary(found: DataFrame) -> DataFrame:

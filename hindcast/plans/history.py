@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -12,18 +12,47 @@ from hindcast.sources.shared import settle
 from hindcast.sources.sheets import read_workbooks
 
 
-@dataclass(frozen=True)
 class GridFolder:
-    """Everything derived from the rows of a folder; nothing runs until it is used."""
+    """What a table of sheet rows holds, all files parsed at once.
 
-    layout: DataFrame
-    long: DataFrame
-    facts: DataFrame
-    totals: DataFrame
-    checked: DataFrame
+    For one result the plan may run straight through. With ``settled`` each part that
+    several results share is written when first asked for: decoding then runs once, and
+    the rows that are checked are the rows that are used.
+    """
+
+    def __init__(self, rows: DataFrame, settled: bool = False) -> None:
+        self._settled = settled
+        self._given = rows
+
+    def _keep(self, df: DataFrame, name: str) -> DataFrame:
+        return settle(df, name) if self._settled else df
+
+    @cached_property
+    def rows(self) -> DataFrame:
+        return self._keep(self._given, "grid-rows")
+
+    @cached_property
+    def layout(self) -> DataFrame:
+        return self._keep(grid.grid_layout(self.rows), "grid-layout")
+
+    @cached_property
+    def long(self) -> DataFrame:
+        return self._keep(grid.melt(self.rows, self.layout, strict=False), "grid-long")
+
+    @cached_property
+    def facts(self) -> DataFrame:
+        return self._keep(grid.file_facts(self.rows, self.layout), "grid-facts")
+
+    @cached_property
+    def totals(self) -> DataFrame:
+        return grid.grand_totals(self.rows, self.layout)
+
+    @cached_property
+    def checked(self) -> DataFrame:
+        return quality.reconcile(self.long, self.totals)
 
     def violations(self, expected_files: int = quality.EXPECTED_FILES, tolerance: float = quality.TOLERANCE) -> DataFrame:
-        return quality.violations(self.facts, self.totals, self.checked, expected_files, tolerance)
+        return quality.violations(self.facts, self.checked, expected_files, tolerance)
 
     def profile(self) -> DataFrame:
         return grid.profile(self.facts)
@@ -31,13 +60,8 @@ class GridFolder:
     def validation(self) -> DataFrame:
         return quality.validation(self.facts, self.checked)
 
-
-def parse_rows(rows: DataFrame) -> GridFolder:
-    """Parse all files of a table of sheet rows at once."""
-    layout = grid.grid_layout(rows)
-    long = grid.melt(rows, layout, strict=False)
-    totals = grid.grand_totals(rows, layout)
-    return GridFolder(layout, long, grid.file_facts(rows, layout), totals, quality.reconcile(long, totals))
+    def history(self) -> DataFrame:
+        return waterfall.waterfall(self.long)
 
 
 def write_history(
@@ -46,19 +70,10 @@ def write_history(
     expected_files: int = quality.EXPECTED_FILES,
     tolerance: float = quality.TOLERANCE,
 ) -> DataFrame:
-    """Check every file, and only if all pass, write the history; returns what was written.
-
-    Rows and melted rows are settled, so decoding runs once and the rows that are written
-    are the rows that were checked.
-    """
-    rows = settle(rows, "grid-rows")
-    layout = settle(grid.grid_layout(rows), "grid-layout")
-    long = settle(grid.melt(rows, layout, strict=False), "grid-long")
-    totals = grid.grand_totals(rows, layout)
-    facts = grid.file_facts(rows, layout)
-    checked = quality.reconcile(long, totals)
-    quality.enforce(quality.violations(facts, totals, checked, expected_files, tolerance))
-    write_history_csv(waterfall.waterfall(long), output)
+    """Check every file, and only if all pass, write the history; returns what was written."""
+    folder = GridFolder(rows, settled=True)
+    quality.enforce(folder.violations(expected_files, tolerance))
+    write_history_csv(folder.history(), output)
     return read_history_csv(rows.sparkSession, output)
 
 
