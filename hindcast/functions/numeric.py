@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import sys
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -55,10 +57,8 @@ def value_bucket(value: Column, steps: int = 4096) -> Column:
     Steps are logarithmic, so the code stays fine around any magnitude. Natural
     logs of doubles lie within +-746, hence the shift that keeps both signs apart.
     """
-    magnitude = (
-        F.floor(F.ln(F.when(F.abs(value) == float("inf"), F.lit(1.7e308)).otherwise(F.abs(value))) * steps)
-        + 800 * steps
-    )
+    finite = F.least(F.abs(value), F.lit(sys.float_info.max))
+    magnitude = F.floor(F.ln(finite) * steps) + 800 * steps
     return (
         F.when(F.isnan(value), F.lit(2000 * steps).cast("bigint"))
         .when(value > 0, magnitude)
