@@ -9,6 +9,9 @@ from hindcast.functions.months import iso_date, month_year_date
 from hindcast.functions.numeric import sum0
 from hindcast.functions.text import normalise_headers
 
+# A day number below that of 0001-01-01, the first date there is.
+BEFORE_ALL_DAYS = -1_000_000
+
 
 def typed_forecasts(raw: DataFrame) -> DataFrame:
     """Forecast rows with ``yyyy-MM-dd`` text months turned into dates; bad text raises."""
@@ -66,7 +69,7 @@ def vintage_order(calculation_month: Column, forecast: Column) -> Column:
     number makes the pick the same in every run, and keeps the key a plain BIGINT, so that
     the aggregate over it stays a hash aggregate; a struct key would sort all rows.
     """
-    day = F.coalesce(F.unix_date(calculation_month), F.lit(-(2**31))).cast("bigint")
+    day = F.coalesce(F.unix_date(calculation_month), F.lit(BEFORE_ALL_DAYS)).cast("bigint")
     return F.shiftleft(day, 32) + F.hash(forecast).cast("bigint")
 
 
