@@ -36,17 +36,15 @@ def _chosen(spark: SparkSession, sf_dir: str) -> DataFrame:
     return accuracy.filter_brands(_matched(spark, sf_dir))
 
 
-def _rows(spark: SparkSession, sf_dir: str, text: bool = False) -> DataFrame:
-    return fx.grid_rows(fx.grid_months(spark, sf_dir), fx.grid_lines(spark, sf_dir), text)
-
-
-def _folder(spark: SparkSession, sf_dir: str, settled: bool = False) -> GridFolder:
+def _folder(spark: SparkSession, sf_dir: str, settled: bool = False, text: bool = False) -> GridFolder:
     """Parsed grids; settled where a query reads the rows or the melt more than once."""
-    return GridFolder(_rows(spark, sf_dir), settled)
+    rows = fx.grid_rows(fx.grid_months(spark, sf_dir), fx.grid_lines(spark, sf_dir), text)
+    return GridFolder(rows=rows, settled=settled)
 
 
 def _faulty(spark: SparkSession, sf_dir: str) -> GridFolder:
-    return GridFolder(fx.faulty_grid_rows(fx.grid_months(spark, sf_dir), fx.grid_lines(spark, sf_dir)), settled=True)
+    rows = fx.faulty_grid_rows(fx.grid_months(spark, sf_dir), fx.grid_lines(spark, sf_dir))
+    return GridFolder(rows=rows, settled=True)
 
 
 def entry(spark: SparkSession) -> DataFrame:
@@ -67,18 +65,15 @@ def _waterfall_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _grid_leaf(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _rows(spark, sf_dir)
-    return grid.leaf_rows(rows, grid.grid_layout(rows)).drop("months", "cells")
+    return grid.leaf_rows(_folder(spark, sf_dir).bound).drop("months", "cells")
 
 
 def _grid_non_numeric(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _rows(spark, sf_dir, text=True)
-    return grid.non_numeric_cells(rows, grid.grid_layout(rows))
+    return grid.non_numeric_cells(_folder(spark, sf_dir, text=True).bound)
 
 
 def _grid_text_melt(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _rows(spark, sf_dir, text=True)
-    long = grid.melt(rows, grid.grid_layout(rows))
+    long = grid.melt(_folder(spark, sf_dir, text=True).bound)
     return long.groupBy("file", "snop_month").agg(F.count("qty").alias("cells"), F.sum("qty").alias("qty"))
 
 
@@ -88,8 +83,7 @@ def _grand_total_check(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _multi_row_materials(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _rows(spark, sf_dir)
-    return grid.multi_row_materials(grid.material_counts(rows, grid.grid_layout(rows)))
+    return grid.multi_row_materials(grid.material_counts(_folder(spark, sf_dir).bound))
 
 
 def _month_window(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -112,7 +106,7 @@ def _month_window(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _layout_detect(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return grid.grid_layout(_rows(spark, sf_dir)).select(
+    return _folder(spark, sf_dir).layout.select(
         "file",
         *[F.col(c).cast("bigint").alias(c) for c in ("anchor_row", "names_row", "data_start")],
         "layout",

@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from hindcast.sources.sheets import HEADER_ROWS
+
 YEARS_AHEAD = 20
 WINDOW = 5
 
@@ -145,7 +147,7 @@ def body_rows(wide: DataFrame, file: Column) -> DataFrame:
     cells = [F.col("label"), *[F.col(c) for c in ("pc", "pd", "mc", "ty")]]
     return wide.select(
         file.alias("file"),
-        F.lit(6).alias("row_idx"),
+        F.lit(HEADER_ROWS).alias("row_idx"),
         F.array(*cells, *[F.col(f"m{i}") for i in range(WINDOW)]).alias("cells"),
     )
 

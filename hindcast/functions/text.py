@@ -1,11 +1,18 @@
-"""Text helpers: header names, strict lookups, trimmed labels."""
+"""Names, labels and lists of text."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` worked out once, however often the body uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def normal_name(name: str) -> str:
     """Lower case, blanks and dashes to underscores, outer white space removed."""
     return name.lower().replace(" ", "_").replace("-", "_").strip()

@@ -1,23 +1,23 @@
 """Planning grids: find the header, bind month columns, melt, read the totals.
 
-Input is a table of sheet rows (file, row_idx, cells). Every file carries its own
-layout, so the layout is a table too: one row per file, joined to the rows by file.
-No join is hinted: adaptive execution broadcasts the layout when its measured size
-allows, and otherwise splits the partitions of a file that holds many rows.
+Every file has its own layout. Grids come as chunks that carry their header (bound in
+place, without a shuffle) or as single rows (joined to a layout with one row per file).
+The operators below work on rows bound either way.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hindcast.functions.months import month_index, month_number, month_window
 from hindcast.functions.numeric import is_non_numeric, is_number, lenient_double
-from hindcast.functions.text import joined_or_none, strip
+from hindcast.functions.text import joined_or_none, let, strip
 
-# Rows searched for the header, the label of the totals row, the name of
-# the code column, the two layout labels and the file-name format.
-HEADER_ROWS = 6
+# The label of the totals row, the name of the code column, the two layout
+# labels and the file-name format.
 GRAND_TOTAL = "Grand Total"
 CODE_COLUMN = "parent_code"
 MERGED = "merged names+months row"
@@ -25,102 +25,155 @@ SEPARATE = "separate header rows"
 FILE_NAME = r"(?U)^S&OP_grid file_(\w{3})-(\d{2}) to (\w{3})-(\d{2})_circulation\.(?:xlsx|csv)$"
 
 
-def detect_header(rows: DataFrame) -> DataFrame:
-    """Per file: the month row, the names row, the first data row and the month columns.
+def header_of(head: Column) -> Column:
+    """The month row, the names row, the first data row and the month columns of a sheet.
 
     The month row is the first with two or more month names; the names row the first
-    that names the code column. Only the first rows of a file are read.
+    that names the code column.
     """
-    labels = F.transform("cells", strip)
-    month_cells = F.filter(
-        F.transform(labels, lambda c, i: F.when(month_number(c) > 0, F.struct(i.alias("pos"), c.alias("abbr")))),
-        lambda m: m.isNotNull(),
-    )
-    anchor_at = F.when(F.size("month_cells") >= 2, F.col("row_idx"))
-    return (
-        rows.filter(F.col("row_idx") < HEADER_ROWS)
-        .select(
-            "file",
-            "row_idx",
-            month_cells.alias("month_cells"),
-            F.exists(labels, lambda c: c.eqNullSafe(CODE_COLUMN)).alias("has_names"),
-        )
-        .groupBy("file")
-        .agg(
-            F.min(anchor_at).alias("anchor_row"),
-            F.min(F.when(F.col("has_names"), F.col("row_idx"))).alias("names_row"),
-            F.min_by("month_cells", anchor_at).alias("month_cells"),
+
+    def marks(row: Column) -> Column:
+        return let(
+            F.transform(row["cells"], strip),
+            lambda labels: F.struct(
+                row["row_idx"].alias("row_idx"),
+                F.filter(
+                    F.transform(
+                        labels, lambda c, i: F.when(month_number(c) > 0, F.struct(i.alias("pos"), c.alias("abbr")))
+                    ),
+                    lambda m: m.isNotNull(),
+                ).alias("months"),
+                F.exists(labels, lambda c: c.eqNullSafe(CODE_COLUMN)).alias("has_names"),
+            ),
         )
-        .select(
-            "file",
-            "anchor_row",
-            "names_row",
-            F.when(
-                F.col("anchor_row").isNotNull() & F.col("names_row").isNotNull(),
-                F.greatest("anchor_row", "names_row") + 1,
-            ).alias("data_start"),
-            F.when(F.col("anchor_row") == F.col("names_row"), MERGED)
-            .when(F.col("anchor_row") != F.col("names_row"), SEPARATE)
-            .alias("layout"),
-            "month_cells",
+
+    def first(marked: Column, keep: Callable[[Column], Column]) -> Column:
+        return F.get(F.filter(marked, keep), F.lit(0))
+
+    def places(found: Column) -> Column:
+        anchor, names = found["anchor"]["row_idx"], found["names"]["row_idx"]
+        return F.struct(
+            anchor.alias("anchor_row"),
+            names.alias("names_row"),
+            F.when(anchor.isNotNull() & names.isNotNull(), F.greatest(anchor, names) + 1).alias("data_start"),
+            F.when(anchor == names, MERGED).when(anchor != names, SEPARATE).alias("layout"),
+            found["anchor"]["months"].alias("month_cells"),
         )
+
+    return let(
+        F.transform(head, marks),
+        lambda marked: let(
+            F.struct(
+                first(marked, lambda m: F.size(m["months"]) >= 2).alias("anchor"),
+                first(marked, lambda m: m["has_names"]).alias("names"),
+            ),
+            places,
+        ),
     )
 
 
-def name_window(files: DataFrame) -> DataFrame:
-    """Add what the file name says: first and last month and the months between.
+def window_of(file: Column) -> Column:
+    """What a file name says: first and last month and the months between.
 
     ``window`` is null when the name does not match, a month is unknown, or the months are
     reversed or more than twelve; the parts stay for the rule that reports it.
     """
     parts = ["start_abbr", "start_yy", "end_abbr", "end_yy"]
-    return (
-        files.withColumn("name_matches", F.col("file").rlike(FILE_NAME))
-        .withColumns(
-            {p: F.nullif(F.regexp_extract("file", FILE_NAME, i), F.lit("")) for i, p in enumerate(parts, 1)}
-        )
-        .withColumns(
-            {
-                "start_index": month_index(F.col("start_abbr"), F.col("start_yy")),
-                "end_index": month_index(F.col("end_abbr"), F.col("end_yy")),
-            }
+    texts = [F.nullif(F.regexp_extract(file, FILE_NAME, i), F.lit("")).alias(p) for i, p in enumerate(parts, 1)]
+
+    def indices(t: Column) -> Column:
+        return F.struct(
+            month_index(t["start_abbr"], t["start_yy"]).alias("start"), month_index(t["end_abbr"], t["end_yy"]).alias("end")
         )
-        .withColumn("window", month_window(F.col("start_index"), F.col("end_index")))
+
+    return let(
+        F.struct(*texts),
+        lambda t: let(
+            indices(t),
+            lambda i: F.struct(
+                file.rlike(FILE_NAME).alias("name_matches"),
+                *[t[p].alias(p) for p in parts],
+                i["start"].alias("start_index"),
+                i["end"].alias("end_index"),
+                month_window(i["start"], i["end"]).alias("window"),
+            ),
+        ),
     )
 
 
-def bind_months(headers: DataFrame) -> DataFrame:
-    """Add ``months``: column position, name and ``YYYY-MM`` key of each month column.
+def layout_of(file: Column, head: Column) -> Column:
+    """Header places and name window of a sheet, and its month columns bound to each other.
 
-    Null unless the sheet shows exactly the months of the file name, in order; the first
-    of them is the calculation month.
+    ``months`` holds position, name and ``YYYY-MM`` key of each month column. It is null
+    unless the sheet shows exactly the months of the file name, in order; the first of them
+    is the calculation month.
     """
-    window = F.col("window")
-    shown = F.transform("month_cells", lambda m: m["abbr"])
-    bound = F.transform(
-        "month_cells",
-        lambda m, i: F.struct(
-            m["pos"].alias("pos"), m["abbr"].alias("abbr"), F.get(window, i)["snop_month"].alias("snop_month")
-        ),
-    )
+    places = ["anchor_row", "names_row", "data_start", "layout"]
+    named = ["name_matches", "start_abbr", "start_yy", "end_abbr", "end_yy", "start_index", "end_index", "window"]
+
+    def bound(h: Column, w: Column) -> Column:
+        months = F.transform(
+            h["month_cells"],
+            lambda m, i: F.struct(
+                m["pos"].alias("pos"), m["abbr"].alias("abbr"), F.get(w["window"], i)["snop_month"].alias("snop_month")
+            ),
+        )
+        shown = F.transform(h["month_cells"], lambda m: m["abbr"])
+        return F.struct(
+            *[h[p].alias(p) for p in places],
+            *[w[n].alias(n) for n in named],
+            shown.alias("sheet_months"),
+            F.get(w["window"], F.lit(0))["snop_month"].alias("calc_month"),
+            F.when(h["data_start"].isNotNull() & (shown == w["window"]["abbr"]), months).alias("months"),
+        )
+
+    return let(header_of(head), lambda h: let(window_of(file), lambda w: bound(h, w)))
+
+
+def _spread(df: DataFrame, value: Column, *others: str) -> DataFrame:
+    """Fields of the struct ``value`` as columns beside ``others``.
+
+    The generator keeps the optimizer from copying ``value`` into every use of a field.
+    """
+    return df.select(*others, F.explode_outer(F.array(value)).alias("_v")).select(*others, "_v.*")
+
+
+def name_window(files: DataFrame) -> DataFrame:
+    """File names with the fields of `window_of`."""
+    return _spread(files, window_of(F.col("file")), "file")
+
+
+def grid_layout(heads: DataFrame) -> DataFrame:
+    """One row per file, from (file, head): the fields of `layout_of`."""
+    return _spread(heads, layout_of(F.col("file"), F.col("head")), "file")
+
+
+def bound_chunks(chunks: DataFrame) -> DataFrame:
+    """Rows of chunks with the layout of their file; files whose months are not bound have none.
+
+    The layout is worked out in each chunk, from the header the chunk carries.
+    """
+    bound = _spread(chunks, layout_of(F.col("file"), F.col("head")), "file", "rows")
     return (
-        name_window(headers)
-        .withColumn("sheet_months", shown)
-        .withColumn("calc_month", F.get(window, F.lit(0))["snop_month"])
-        .withColumn("months", F.when(F.col("data_start").isNotNull() & (shown == window["abbr"]), bound))
-        .drop("month_cells")
+        bound.filter(F.col("months").isNotNull())
+        .select("file", "calc_month", "data_start", "months", F.explode("rows").alias("row"))
+        .select("file", "calc_month", "data_start", "months", "row.row_idx", "row.cells")
     )
 
 
-def grid_layout(rows: DataFrame) -> DataFrame:
-    """One row per file: header places, file-name window and bound month columns."""
-    return bind_months(detect_header(rows))
-
+def bound_rows(rows: DataFrame, layout: DataFrame) -> DataFrame:
+    """Single sheet rows joined to the layout of their file.
 
-def data_rows(rows: DataFrame, layout: DataFrame) -> DataFrame:
-    """Rows below the header of files whose months are bound."""
+    No join is hinted: adaptive execution broadcasts the layout when its measured size
+    allows, and otherwise splits the partitions of a file that holds many rows.
+    """
     bound = layout.filter(F.col("months").isNotNull()).select("file", "calc_month", "data_start", "months")
-    return rows.join(bound, "file").filter(F.col("row_idx") >= F.col("data_start"))
+    return rows.join(bound, "file").select("file", "calc_month", "data_start", "months", "row_idx", "cells")
+
+
+def data_rows(bound: DataFrame) -> DataFrame:
+    """Rows below the header."""
+    return bound.filter(F.col("row_idx") >= F.col("data_start"))
 
 
 def _code_columns() -> list[Column]:
@@ -131,10 +184,10 @@ def _code_columns() -> list[Column]:
     ]
 
 
-def leaf_rows(rows: DataFrame, layout: DataFrame) -> DataFrame:
+def leaf_rows(bound: DataFrame) -> DataFrame:
     """Material rows as text columns; totals rows, which have no parent code, are left out."""
     return (
-        data_rows(rows, layout)
+        data_rows(bound)
         .filter(F.get("cells", F.lit(1)).isNotNull())
         .select("file", F.col("calc_month").alias("calculation_month"), *_code_columns(), "months", "cells")
     )
@@ -145,7 +198,7 @@ def whole_number(text: Column) -> Column:
     return F.when(text.rlike(r"^[+-]?\d+$"), text.try_cast("bigint"))
 
 
-def melt(rows: DataFrame, layout: DataFrame, strict: bool = True) -> DataFrame:
+def melt(bound: DataFrame, strict: bool = True) -> DataFrame:
     """One row per filled month cell of a material row.
 
     Empty and non-numeric cells are no forecast and give no row. A parent code that is
@@ -154,7 +207,7 @@ def melt(rows: DataFrame, layout: DataFrame, strict: bool = True) -> DataFrame:
     code = F.col("parent_code")
     cell = F.get("cells", F.col("month.pos"))
     return (
-        leaf_rows(rows, layout)
+        leaf_rows(bound)
         .select("*", F.explode("months").alias("month"))
         .filter(is_number(cell))
         .select(
@@ -169,11 +222,11 @@ def melt(rows: DataFrame, layout: DataFrame, strict: bool = True) -> DataFrame:
     )
 
 
-def non_numeric_cells(rows: DataFrame, layout: DataFrame) -> DataFrame:
+def non_numeric_cells(bound: DataFrame) -> DataFrame:
     """Per file: filled month cells that are no plain number, and the filled cells in all."""
     cell = F.get("cells", F.col("month.pos"))
     return (
-        leaf_rows(rows, layout)
+        leaf_rows(bound)
         .select("file", "cells", F.explode("months").alias("month"))
         .groupBy("file")
         .agg(
@@ -183,12 +236,10 @@ def non_numeric_cells(rows: DataFrame, layout: DataFrame) -> DataFrame:
     )
 
 
-def grand_totals(rows: DataFrame, layout: DataFrame) -> DataFrame:
+def grand_totals(bound: DataFrame) -> DataFrame:
     """File, month and value of every cell of the Grand Total row, text kept beside the number."""
-    bound = layout.filter(F.col("months").isNotNull()).select("file", "months")
     return (
-        rows.filter(F.get("cells", F.lit(0)) == GRAND_TOTAL)
-        .join(bound, "file")
+        bound.filter(F.get("cells", F.lit(0)) == GRAND_TOTAL)
         .select("file", "cells", F.explode("months").alias("month"))
         .select(
             "file",
@@ -200,7 +251,7 @@ def grand_totals(rows: DataFrame, layout: DataFrame) -> DataFrame:
     )
 
 
-def material_counts(rows: DataFrame, layout: DataFrame) -> DataFrame:
+def material_counts(bound: DataFrame) -> DataFrame:
     """Row and cell counts by (file, parent, material).
 
     Grouping by material first spreads a file with many rows over all tasks; what
@@ -211,7 +262,7 @@ def material_counts(rows: DataFrame, layout: DataFrame) -> DataFrame:
     leaf = parent.isNotNull()
     no_code = leaf & whole_number(parent).isNull()
     return (
-        data_rows(rows, layout)
+        data_rows(bound)
         .select(
             "file",
             parent.alias("parent_code"),
@@ -235,12 +286,12 @@ def multi_row_materials(counts: DataFrame) -> DataFrame:
     )
 
 
-def file_facts(rows: DataFrame, layout: DataFrame) -> DataFrame:
+def file_facts(bound: DataFrame, layout: DataFrame) -> DataFrame:
     """One row per file: its layout with row counts, flagged cells and the Grand Total row.
 
     ``total_cells`` holds the month cells of that row, at most twelve.
     """
-    counts = material_counts(rows, layout)
+    counts = material_counts(bound)
     leaf = F.col("parent_code").isNotNull()
     per_file = counts.groupBy("file").agg(
         F.sum(F.when(leaf, F.col("n_rows")).otherwise(0)).alias("leaf_rows"),
@@ -257,7 +308,7 @@ def file_facts(rows: DataFrame, layout: DataFrame) -> DataFrame:
         )
     )
     stated = (
-        rows.filter(F.get("cells", F.lit(0)) == GRAND_TOTAL)
+        bound.filter(F.get("cells", F.lit(0)) == GRAND_TOTAL)
         .groupBy("file")
         .agg(F.count(F.lit(1)).alias("grand_total_rows"), F.min("cells").alias("cells"))
     )

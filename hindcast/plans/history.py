@@ -9,43 +9,54 @@ from pyspark.sql import DataFrame, SparkSession
 from hindcast.operators import grid, quality, waterfall
 from hindcast.sources.history import read_history_csv, write_history_csv
 from hindcast.sources.shared import settle
-from hindcast.sources.sheets import read_workbooks
+from hindcast.sources.sheets import heads_of_chunks, heads_of_rows, read_workbooks
 
 
 class GridFolder:
-    """What a table of sheet rows holds, all files parsed at once.
+    """What a folder of grids holds, all files parsed at once.
 
-    For one result the plan may run straight through. With ``settled`` each part that
-    several results share is written when first asked for: decoding then runs once, and
-    the rows that are checked are the rows that are used.
+    Grids are given as chunks or as single rows. For one result the plan may run straight
+    through. With ``settled`` each part that several results share is written when first
+    asked for: decoding then runs once, and the rows that are checked are the rows that
+    are used.
     """
 
-    def __init__(self, rows: DataFrame, settled: bool = False) -> None:
+    def __init__(
+        self, chunks: DataFrame | None = None, rows: DataFrame | None = None, settled: bool = False
+    ) -> None:
+        if (chunks is None) == (rows is None):
+            raise ValueError("give chunks or rows")
         self._settled = settled
-        self._given = rows
+        self._chunks = chunks
+        self._rows = rows
 
     def _keep(self, df: DataFrame, name: str) -> DataFrame:
         return settle(df, name) if self._settled else df
 
     @cached_property
-    def rows(self) -> DataFrame:
-        return self._keep(self._given, "grid-rows")
+    def source(self) -> DataFrame:
+        return self._keep(self._rows if self._chunks is None else self._chunks, "grid-source")
 
     @cached_property
     def layout(self) -> DataFrame:
-        return self._keep(grid.grid_layout(self.rows), "grid-layout")
+        heads = heads_of_rows(self.source) if self._chunks is None else heads_of_chunks(self.source)
+        return self._keep(grid.grid_layout(heads), "grid-layout")
+
+    @cached_property
+    def bound(self) -> DataFrame:
+        return grid.bound_rows(self.source, self.layout) if self._chunks is None else grid.bound_chunks(self.source)
 
     @cached_property
     def long(self) -> DataFrame:
-        return self._keep(grid.melt(self.rows, self.layout, strict=False), "grid-long")
+        return self._keep(grid.melt(self.bound, strict=False), "grid-long")
 
     @cached_property
     def facts(self) -> DataFrame:
-        return self._keep(grid.file_facts(self.rows, self.layout), "grid-facts")
+        return self._keep(grid.file_facts(self.bound, self.layout), "grid-facts")
 
     @cached_property
     def totals(self) -> DataFrame:
-        return grid.grand_totals(self.rows, self.layout)
+        return grid.grand_totals(self.bound)
 
     @cached_property
     def checked(self) -> DataFrame:
@@ -65,20 +76,19 @@ class GridFolder:
 
 
 def write_history(
-    rows: DataFrame,
+    folder: GridFolder,
     output: str,
     expected_files: int = quality.EXPECTED_FILES,
     tolerance: float = quality.TOLERANCE,
 ) -> DataFrame:
     """Check every file, and only if all pass, write the history; returns what was written."""
-    folder = GridFolder(rows, settled=True)
     quality.enforce(folder.violations(expected_files, tolerance))
     write_history_csv(folder.history(), output)
-    return read_history_csv(rows.sparkSession, output)
+    return read_history_csv(folder.long.sparkSession, output)
 
 
 def build_history(
     spark: SparkSession, folder: str, output: str, expected_files: int = quality.EXPECTED_FILES
 ) -> DataFrame:
     """`write_history` for a folder of workbooks."""
-    return write_history(read_workbooks(spark, folder), output, expected_files)
+    return write_history(GridFolder(read_workbooks(spark, folder), settled=True), output, expected_files)

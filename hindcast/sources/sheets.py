@@ -1,27 +1,31 @@
-"""Sheets as one table of rows: (file, row_idx, cells)."""
+"""Sheets as one table of chunks: (file, chunk, head, rows).
+
+A chunk is a bounded run of rows of one sheet. Each carries the first rows of its sheet,
+so whatever the header decides can be worked out inside the chunk: no row of a sheet has
+to be shuffled to meet its header, and a sheet with many rows is just many chunks.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from hindcast.functions.text import normal_name_col
 from hindcast.sources.workbook import sheet_rows
 
-SHEET_ROWS = T.StructType(
-    [
-        T.StructField("file", T.StringType()),
-        T.StructField("row_idx", T.IntegerType()),
-        T.StructField("cells", T.ArrayType(T.StringType())),
-    ]
-)
+_ROWS = "array<struct<row_idx:int,cells:array<string>>>"
+SHEET_CHUNKS = f"file string, chunk int, head {_ROWS}, rows {_ROWS}"
+SHEET_ROWS = "file string, row_idx int, cells array<string>"
+_ARROW_ROWS = pa.list_(pa.struct([("row_idx", pa.int32()), ("cells", pa.list_(pa.string()))]))
+_ARROW_CHUNKS = pa.schema([("file", pa.string()), ("chunk", pa.int32()), ("head", _ARROW_ROWS), ("rows", _ARROW_ROWS)])
 # Fixed value: the sheet that holds the planning grid.
 GRID_SHEET = "full_s&op"
-_ROWS_PER_BATCH = 2000
+# Fixed value: rows of a sheet that may hold its header.
+HEADER_ROWS = 6
+ROWS_PER_CHUNK = 1000
 
 
 def base_name(path: Column) -> Column:
@@ -46,6 +50,23 @@ def list_files(spark: SparkSession, folder: str, pattern: str = "*.xlsx") -> Dat
     )
 
 
+def _chunks(content: bytes, file: str, sheet: str | None, drop_empty: bool) -> Iterator[dict]:
+    """Chunks of one sheet; one without rows when the sheet is absent or empty."""
+    head: list[dict] = []
+    held: list[dict] = []
+    chunk = 0
+    for row_idx, cells in sheet_rows(content, sheet, drop_empty):
+        row = {"row_idx": row_idx, "cells": cells}
+        if row_idx < HEADER_ROWS:
+            head.append(row)
+        held.append(row)
+        if len(held) == ROWS_PER_CHUNK:
+            yield {"file": file, "chunk": chunk, "head": head, "rows": held}
+            chunk, held = chunk + 1, []
+    if held or chunk == 0:
+        yield {"file": file, "chunk": chunk, "head": head, "rows": held}
+
+
 def read_workbooks(
     spark: SparkSession,
     path: str,
@@ -53,44 +74,50 @@ def read_workbooks(
     pattern: str = "*.xlsx",
     drop_empty: bool = True,
 ) -> DataFrame:
-    """Rows of one sheet of every workbook below ``path``.
+    """Chunks of one sheet of every workbook below ``path``.
 
     One task decodes whole workbooks, which the format bounds at 1,048,576 rows each.
-    A workbook without the sheet, or with an empty one, gives one row without cells,
+    A workbook without the sheet, or with an empty one, gives one chunk without rows,
     so that later checks still see the file.
     """
 
-    def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for file, content in zip(batch["file"], batch["content"]):
-                held: list[tuple[str, int, list[str | None]]] = []
-                empty = True
-                for row_idx, cells in sheet_rows(content, sheet, drop_empty):
-                    empty = False
-                    held.append((file, row_idx, cells))
-                    if len(held) == _ROWS_PER_BATCH:
-                        yield pd.DataFrame(held, columns=SHEET_ROWS.names)
-                        held = []
-                if empty:
-                    held.append((file, 0, []))
-                if held:
-                    yield pd.DataFrame(held, columns=SHEET_ROWS.names)
+                for chunk in _chunks(content.as_py(), file.as_py(), sheet, drop_empty):
+                    yield pa.RecordBatch.from_pylist([chunk], _ARROW_CHUNKS)
 
     return (
         spark.read.format("binaryFile")
         .option("pathGlobFilter", pattern)
         .load(path)
         .select(base_name(F.col("path")).alias("file"), "content")
-        .mapInPandas(decode, SHEET_ROWS)
+        .mapInArrow(decode, SHEET_CHUNKS)
+    )
+
+
+def heads_of_chunks(chunks: DataFrame) -> DataFrame:
+    """File and first rows, one row per file."""
+    return chunks.filter(F.col("chunk") == 0).select("file", "head")
+
+
+def heads_of_rows(rows: DataFrame) -> DataFrame:
+    """The same from a table of `SHEET_ROWS`, such as grids stored by another job.
+
+    A file has at most six such rows, which is all that is gathered.
+    """
+    return (
+        rows.filter(F.col("row_idx") < HEADER_ROWS)
+        .groupBy("file")
+        .agg(F.array_sort(F.collect_list(F.struct("row_idx", "cells"))).alias("head"))
     )
 
 
 def read_csv_sheets(spark: SparkSession, path: str, pattern: str = "*.csv") -> DataFrame:
-    """Rows of sheets exported as CSV: quoted commas, doubled quotes and line breaks included.
+    """Chunks of sheets exported as CSV: quoted commas, doubled quotes and line breaks included.
 
-    A file is one record, so it has to fit a task; larger sources come as a table of
-    `SHEET_ROWS`, which every operator takes as it is. Empty rows are dropped before
-    rows are numbered, and empty cells are null.
+    A file is one record, so it has to fit a task; larger sources come as `SHEET_ROWS`.
+    Empty rows are dropped before rows are numbered, and empty cells are null.
     """
     # A quoted stretch or plain text, repeated: an escaped quote reads as two stretches.
     record = r'((?:[^"\n]++|"[^"]*+")++)'
@@ -103,10 +130,11 @@ def read_csv_sheets(spark: SparkSession, path: str, pattern: str = "*.csv") -> D
         ).otherwise(cell)
         return F.nullif(bare, F.lit(""))
 
+    def cells(line: Column) -> Column:
+        return F.transform(F.regexp_extract_all(F.concat(F.lit(","), line), F.lit(field)), unquoted)
+
     records = F.filter(
-        F.transform(
-            F.regexp_extract_all("value", F.lit(record)), lambda r: F.regexp_replace(r, r"\r$", "")
-        ),
+        F.transform(F.regexp_extract_all("value", F.lit(record)), lambda r: F.regexp_replace(r, r"\r$", "")),
         lambda r: r.rlike(r'[^,"\s]'),
     )
     return (
@@ -114,38 +142,27 @@ def read_csv_sheets(spark: SparkSession, path: str, pattern: str = "*.csv") -> D
         .text(path, wholetext=True)
         .select(
             base_name(F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))).alias("file"),
-            F.posexplode_outer(records).alias("row_idx", "line"),
-        )
-        .select(
-            "file",
-            F.coalesce("row_idx", F.lit(0)).alias("row_idx"),
-            F.coalesce(
-                F.transform(
-                    F.regexp_extract_all(F.concat(F.lit(","), "line"), F.lit(field)), unquoted
-                ),
-                F.array().cast("array<string>"),
-            ).alias("cells"),
+            F.transform(records, lambda r, i: F.struct(i.alias("row_idx"), cells(r).alias("cells"))).alias("rows"),
         )
+        .select("file", F.lit(0).alias("chunk"), F.slice("rows", 1, HEADER_ROWS).alias("head"), "rows")
     )
 
 
-def named_columns(rows: DataFrame, header_row: int, names: list[str]) -> DataFrame:
+def named_columns(chunks: DataFrame, header_row: int, names: list[str]) -> DataFrame:
     """Columns picked by normalised header name from sheets with a header row.
 
     Each file is read by its own header; a header that lacks one of ``names`` raises.
     """
-    header = rows.filter(F.col("row_idx") == header_row).select(
-        "file", F.transform("cells", normal_name_col).alias("header")
-    )
+    header = F.get(F.filter("head", lambda h: h["row_idx"] == header_row), F.lit(0))["cells"]
 
     def picked(name: str) -> Column:
         place = F.array_position("header", name).cast("int")
-        return F.when(place > 0, F.get("cells", place - 1)).otherwise(
+        return F.when(place > 0, F.get("row.cells", place - 1)).otherwise(
             F.raise_error(F.concat(F.col("file"), F.lit(f": no header row with a column {name}"))).cast("string")
         )
 
     return (
-        rows.filter(F.col("row_idx") > header_row)
-        .join(header, "file", "left")
+        chunks.select("file", F.transform(header, normal_name_col).alias("header"), F.explode("rows").alias("row"))
+        .filter(F.col("row.row_idx") > header_row)
         .select("file", *[picked(name).alias(name) for name in names])
     )

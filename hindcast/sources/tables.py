@@ -43,12 +43,12 @@ def read_forecasts(spark: SparkSession, path: str, pattern: str = "*") -> DataFr
 
 def read_actuals(spark: SparkSession, path: str) -> DataFrame:
     """Actual-sales workbooks, whose header is the sixth sheet row, as monthly volumes."""
-    rows = read_workbooks(spark, path, sheet=None, drop_empty=False)
-    return monthly_actuals(named_columns(rows, ACTUALS_HEADER_ROW, ACTUALS_HEADER).drop("file"))
+    chunks = read_workbooks(spark, path, sheet=None, drop_empty=False)
+    return monthly_actuals(named_columns(chunks, ACTUALS_HEADER_ROW, ACTUALS_HEADER).drop("file"))
 
 
 def read_hierarchy(spark: SparkSession, path: str) -> DataFrame:
     """Product-hierarchy workbooks, header in the first row, as one brand per product."""
-    rows = read_workbooks(spark, path, sheet=None, drop_empty=False)
-    named = named_columns(rows, HIERARCHY_HEADER_ROW, HIERARCHY_HEADER).drop("file")
+    chunks = read_workbooks(spark, path, sheet=None, drop_empty=False)
+    named = named_columns(chunks, HIERARCHY_HEADER_ROW, HIERARCHY_HEADER).drop("file")
     return brand_of_product(named.filter(F.col("material_code").isNotNull()))

@@ -1,9 +1,8 @@
 import pytest
 from pyspark.sql import functions as F
-from workbooks import merged_header, separate_header, sheet_rows
+from workbooks import grid_folder, merged_header, separate_header
 
 from hindcast.operators import grid
-from hindcast.plans.history import GridFolder
 
 A = "S&OP_grid file_Nov-25 to Jan-26_circulation.xlsx"
 B = "S&OP_grid file_Dec-25 to Feb-26_circulation.xlsx"
@@ -20,13 +19,13 @@ BODY_B = [
 ]
 
 
-@pytest.fixture(scope="module")
-def folder(spark):
+@pytest.fixture(scope="module", params=["rows", "chunks"])
+def folder(request, spark):
     files = {
         A: separate_header(["Nov", "Dec", "Jan"]) + BODY_A,
         B: merged_header(["Dec", "Jan", "Feb"]) + BODY_B,
     }
-    return GridFolder(sheet_rows(spark, files), settled=True)
+    return grid_folder(spark, files, request.param, settled=True)
 
 
 def test_layouts(folder):
@@ -40,20 +39,19 @@ def test_layouts(folder):
 
 def test_header_below_the_sixth_row_is_not_found(spark):
     rows = [[None, "x"]] * 4 + separate_header(["Nov", "Dec", "Jan"]) + BODY_A
-    got = grid.grid_layout(sheet_rows(spark, {A: rows})).first()
+    got = grid_folder(spark, {A: rows}).layout.first()
     assert got.data_start is None and got.months is None and got.layout is None
 
 
 def test_one_month_name_is_no_month_row(spark):
     rows = [["Nov", "parent_code"], [None, "Nov", "Dec", "Jan"]]
-    got = grid.grid_layout(sheet_rows(spark, {A: rows})).first()
+    got = grid_folder(spark, {A: rows}).layout.first()
     assert (got.anchor_row, got.names_row, got.data_start) == (1, 0, 2)
 
 
 def test_blanks_between_month_columns(spark):
     rows = [["batch", "parent_code", None, None, "Nov", None, "Dec", "x", "Jan"], ["b", 1, "d", "m", 1, 9, 2, 9, 3]]
-    sheet = sheet_rows(spark, {A: rows})
-    got = grid.melt(sheet, grid.grid_layout(sheet)).orderBy("snop_month").collect()
+    got = grid.melt(grid_folder(spark, {A: rows}, "chunks").bound).orderBy("snop_month").collect()
     assert [(r.snop_month, r.qty) for r in got] == [("2025-11", 1.0), ("2025-12", 2.0), ("2026-01", 3.0)]
 
 
@@ -71,21 +69,21 @@ def test_melt_drops_totals_and_empty_cells(folder):
 
 
 def test_short_rows_are_padded_with_nothing(spark):
-    sheet = sheet_rows(spark, {A: merged_header(["Nov", "Dec", "Jan"]) + [["b", 1, "d"], ["b", 1, "d", "m", "t", 4], []]})
-    got = grid.melt(sheet, grid.grid_layout(sheet)).collect()
+    rows = merged_header(["Nov", "Dec", "Jan"]) + [["b", 1, "d"], ["b", 1, "d", "m", "t", 4], []]
+    got = grid.melt(grid_folder(spark, {A: rows}).bound).collect()
     assert [(r.snop_month, r.qty) for r in got] == [("2025-11", 4.0)]
 
 
 def test_parent_code_that_is_no_integer(spark):
     head = merged_header(["Nov", "Dec", "Jan"])
-    empty = sheet_rows(spark, {A: head + [["b", "x1", "d", "m", "t"], ["b", 1, "d", "m", "t", 4]]})
-    assert grid.melt(empty, grid.grid_layout(empty)).count() == 1
-    assert GridFolder(empty).facts.first().bad_parents == 0
-    filled = sheet_rows(spark, {A: head + [["b", "x1", "d", "m", "t", 4], ["b", "1.0", "d", "m", "t", 4]]})
+    empty = grid_folder(spark, {A: head + [["b", "x1", "d", "m", "t"], ["b", 1, "d", "m", "t", 4]]})
+    assert grid.melt(empty.bound).count() == 1
+    assert empty.facts.first().bad_parents == 0
+    filled = grid_folder(spark, {A: head + [["b", "x1", "d", "m", "t", 4], ["b", "1.0", "d", "m", "t", 4]]})
     with pytest.raises(Exception, match="CAST_INVALID_INPUT"):
-        grid.melt(filled, grid.grid_layout(filled)).collect()
-    assert GridFolder(filled).facts.first().bad_parents == 2
-    assert [r.parent_code for r in GridFolder(filled).long.collect()] == [None, None]
+        grid.melt(filled.bound).collect()
+    assert filled.facts.first().bad_parents == 2
+    assert [r.parent_code for r in filled.long.collect()] == [None, None]
 
 
 def test_profile(folder):
@@ -99,12 +97,12 @@ def test_profile(folder):
 
 
 def test_profile_without_issues(spark):
-    sheet = sheet_rows(spark, {A: merged_header(["Nov", "Dec", "Jan"]) + [["b", 1, "d", "m", "t", 4]]})
-    assert GridFolder(sheet).profile().first().issues == "none"
+    sheet = grid_folder(spark, {A: merged_header(["Nov", "Dec", "Jan"]) + [["b", 1, "d", "m", "t", 4]]})
+    assert sheet.profile().first().issues == "none"
 
 
 def test_non_numeric_cells_by_file(spark, folder):
-    got = {r.file: (r.filled_cells, r.non_numeric_cells) for r in grid.non_numeric_cells(folder.rows, folder.layout).collect()}
+    got = {r.file: (r.filled_cells, r.non_numeric_cells) for r in grid.non_numeric_cells(folder.bound).collect()}
     assert got == {A: (4, 0), B: (3, 2)}
 
 
@@ -114,7 +112,7 @@ def test_grand_totals(folder):
 
 
 def test_multi_row_materials(folder):
-    counts = grid.material_counts(folder.rows, folder.layout)
+    counts = grid.material_counts(folder.bound)
     assert [tuple(r) for r in grid.multi_row_materials(counts).collect()] == [(A, "11", "m1", 2)]
 
 
@@ -124,6 +122,6 @@ def test_validation(folder):
 
 
 def test_file_without_months_has_difference_zero(spark):
-    sheet = sheet_rows(spark, {"x.xlsx": [["a", "b"]]})
-    assert GridFolder(sheet).validation().first().max_abs_diff_vs_grand_total == 0.0
-    assert GridFolder(sheet).long.select(F.count("*")).first()[0] == 0
+    sheet = grid_folder(spark, {"x.xlsx": [["a", "b"]]})
+    assert sheet.validation().first().max_abs_diff_vs_grand_total == 0.0
+    assert sheet.long.select(F.count("*")).first()[0] == 0

@@ -1,10 +1,10 @@
 import pytest
 from pyspark.sql import functions as F
-from workbooks import merged_header, separate_header, sheet_rows, write_workbook
+from workbooks import grid_folder, merged_header, separate_header, write_workbook
 
 from hindcast.functions.months import MONTHS
 from hindcast.operators import quality
-from hindcast.plans.history import GridFolder, build_history
+from hindcast.plans.history import build_history
 
 SPAN = ["Nov", "Dec", "Jan"]
 
@@ -19,7 +19,7 @@ def sheet(months=SPAN, leaf=(1, 2, 3), total=(1, 2, 3), code=11, totals=1, head=
 
 
 def found(spark, files, expected=None):
-    folder = GridFolder(sheet_rows(spark, files))
+    folder = grid_folder(spark, files, "chunks")
     rows = folder.violations(len(files) if expected is None else expected).collect()
     return sorted((r.rule, r.severity, r.file) for r in rows), {r.rule: r.detail for r in rows}
 
@@ -72,7 +72,7 @@ def series(spark, starts):
         abbr, yy = start.split("-")
         after = MONTHS[(MONTHS.index(abbr) + 1) % 12]
         last = f"{after}-{int(yy) + (abbr == 'Dec')}"
-        files[(" " * 0) + name(start, last)] = sheet([abbr, after], (1, 2), (1, 2))
+        files[name(start, last)] = sheet([abbr, after], (1, 2), (1, 2))
     return files
 
 
@@ -107,7 +107,7 @@ def test_reconcile_counts_a_side_that_is_missing_as_zero(spark):
 
 
 def test_all_offenders_in_one_error(spark):
-    folder = GridFolder(sheet_rows(spark, {name(): sheet(totals=0), name("Foo-25"): sheet()}))
+    folder = grid_folder(spark, {name(): sheet(totals=0), name("Foo-25"): sheet()})
     with pytest.raises(quality.QualityError) as error:
         quality.enforce(folder.violations(16))
     text = str(error.value)
@@ -115,7 +115,7 @@ def test_all_offenders_in_one_error(spark):
 
 
 def test_warnings_do_not_raise(spark):
-    folder = GridFolder(sheet_rows(spark, {name(): sheet(leaf=("n/a", 2, 3), total=(0, 2, 3))}))
+    folder = grid_folder(spark, {name(): sheet(leaf=("n/a", 2, 3), total=(0, 2, 3))})
     quality.enforce(folder.violations(1))
 
 

@@ -42,7 +42,7 @@ def test_sums_agree_along_the_grid_path(spark):
     from hindcast.plans.history import GridFolder
 
     rows = fx.grid_rows(fx.grid_months(spark, SF_DIR), fx.grid_lines(spark, SF_DIR))
-    folder = GridFolder(rows, settled=True)
+    folder = GridFolder(rows=rows, settled=True)
     sums = {
         folder.long.agg(F.sum("qty")).first()[0],
         folder.totals.agg(F.sum("gt")).first()[0],

@@ -1,5 +1,4 @@
 import pytest
-from pyspark.sql import functions as F
 from workbooks import write_workbook
 
 from hindcast.plans.accuracy import read_matched, report
@@ -11,7 +10,10 @@ NAME = "S&OP_grid file_Aug-25 to Sep-25_circulation"
 
 
 def rows_of(df):
-    return [(r.file, r.row_idx, r.cells) for r in df.orderBy("file", "row_idx").collect()]
+    chunks = df.orderBy("file", "chunk").collect()
+    for r in chunks:
+        assert [tuple(h) for h in r.head] == [tuple(w) for c in chunks for w in c.rows if c.file == r.file and w.row_idx < 6]
+    return [(r.file, w.row_idx, w.cells) for r in chunks for w in r.rows]
 
 
 def test_inventory_sorted_with_sizes(spark, tmp_path):
@@ -47,14 +49,15 @@ def test_sheet_numbers_kept_when_asked(spark, tmp_path):
 def test_missing_or_empty_sheet_leaves_a_trace(spark, tmp_path):
     write_workbook(tmp_path / "a.xlsx", {"s": [["x"]]})
     write_workbook(tmp_path / "b.xlsx", {"full_s&op": [[None]]})
-    assert rows_of(read_workbooks(spark, str(tmp_path))) == [("a.xlsx", 0, []), ("b.xlsx", 0, [])]
+    got = read_workbooks(spark, str(tmp_path)).orderBy("file").collect()
+    assert [(r.file, r.chunk, r.head, r.rows) for r in got] == [("a.xlsx", 0, [], []), ("b.xlsx", 0, [], [])]
 
 
-def test_long_sheet_crosses_batches(spark, tmp_path):
+def test_long_sheet_comes_in_chunks(spark, tmp_path):
     write_workbook(tmp_path / "a.xlsx", {"full_s&op": [[i, f"t{i}"] for i in range(4500)]})
     got = read_workbooks(spark, str(tmp_path))
-    assert got.count() == 4500
-    assert got.agg(F.sum(F.col("cells")[0].cast("int"))).first()[0] == sum(range(4500))
+    assert [(r.chunk, len(r.rows)) for r in got.orderBy("chunk").collect()] == [(0, 1000), (1, 1000), (2, 1000), (3, 1000), (4, 500)]
+    assert [i for _, i, _ in rows_of(got)] == list(range(4500))
 
 
 def test_csv_sheet_quotes_commas_and_breaks(spark, tmp_path):

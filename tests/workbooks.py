@@ -81,10 +81,31 @@ def merged_header(months: list[str]) -> list[list]:
 
 
 def sheet_rows(spark, files: dict[str, list[list]]):
-    """Files given as rows of cells, as a table of sheet rows."""
+    """Files given as rows of cells, as a table of single sheet rows."""
     from hindcast.sources.sheets import SHEET_ROWS
 
     data = [
         (name, i, [None if c is None else str(c) for c in row]) for name, rows in files.items() for i, row in enumerate(rows)
     ]
     return spark.createDataFrame(data, SHEET_ROWS)
+
+
+def sheet_chunks(spark, files: dict[str, list[list]], size: int = 2):
+    """The same files as chunks of ``size`` rows."""
+    from hindcast.sources.sheets import SHEET_CHUNKS
+
+    data = []
+    for name, rows in files.items():
+        rows = [(i, [None if c is None else str(c) for c in row]) for i, row in enumerate(rows)]
+        for start in range(0, max(len(rows), 1), size):
+            data.append((name, start // size, rows[:6], rows[start : start + size]))
+    return spark.createDataFrame(data, SHEET_CHUNKS)
+
+
+def grid_folder(spark, files: dict[str, list[list]], form: str = "rows", settled: bool = False):
+    """Files of a grid folder, parsed from chunks or from single rows."""
+    from hindcast.plans.history import GridFolder
+
+    if form == "chunks":
+        return GridFolder(chunks=sheet_chunks(spark, files), settled=settled)
+    return GridFolder(rows=sheet_rows(spark, files), settled=settled)
