@@ -51,7 +51,7 @@ def is_non_numeric(cell: Column) -> Column:
     return cell.isNotNull() & ~cell.rlike(PLAIN_NUMBER)
 
 
-def value_bucket(value: Column, steps: int = 4096) -> Column:
+def value_bucket(value: Column, steps: int) -> Column:
     """Coarse integer code that never decreases as ``value`` grows.
 
     Steps are logarithmic, so the code stays fine around any magnitude. Natural

@@ -23,6 +23,8 @@ CODE_COLUMN = "parent_code"
 MERGED = "merged names+months row"
 SEPARATE = "separate header rows"
 FILE_NAME = r"(?U)^S&OP_grid file_(\w{3})-(\d{2}) to (\w{3})-(\d{2})_circulation\.(?:xlsx|csv)$"
+# Join keys over which the rows of one file are spread.
+SHARES = 16
 
 
 def header_of(head: Column) -> Column:
@@ -164,11 +166,20 @@ def bound_chunks(chunks: DataFrame) -> DataFrame:
 def bound_rows(rows: DataFrame, layout: DataFrame) -> DataFrame:
     """Single sheet rows joined to the layout of their file.
 
-    No join is hinted: adaptive execution broadcasts the layout when its measured size
-    allows, and otherwise splits the partitions of a file that holds many rows.
+    Rows of a file are spread by material over several join keys, and its one layout row
+    is repeated for each, so that a file with very many rows does not meet in one task.
+    The join is not hinted: adaptive execution broadcasts the layout when its measured
+    size allows.
     """
-    bound = layout.filter(F.col("months").isNotNull()).select("file", "calc_month", "data_start", "months")
-    return rows.join(bound, "file").select("file", "calc_month", "data_start", "months", "row_idx", "cells")
+    share = F.pmod(F.hash(F.get("cells", F.lit(3))), F.lit(SHARES)).alias("_share")
+    bound = layout.filter(F.col("months").isNotNull()).select(
+        "file", "calc_month", "data_start", "months", F.explode(F.sequence(F.lit(0), F.lit(SHARES - 1))).alias("_share")
+    )
+    return (
+        rows.select("file", "row_idx", "cells", share)
+        .join(bound, ["file", "_share"])
+        .select("file", "calc_month", "data_start", "months", "row_idx", "cells")
+    )
 
 
 def data_rows(bound: DataFrame) -> DataFrame:

@@ -125,3 +125,22 @@ def test_file_without_months_has_difference_zero(spark):
     sheet = grid_folder(spark, {"x.xlsx": [["a", "b"]]})
     assert sheet.validation().first().max_abs_diff_vs_grand_total == 0.0
     assert sheet.long.select(F.count("*")).first()[0] == 0
+
+
+def test_rows_of_one_file_are_spread_over_partitions(spark):
+    body = [["b", i % 7, "d", f"m{i}", "t", 1, 2, 3] for i in range(200)]
+    folder = grid_folder(spark, {A: merged_header(["Nov", "Dec", "Jan"]) + body})
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        assert folder.bound.filter("row_idx >= data_start").select(F.spark_partition_id()).distinct().count() > 1
+        assert folder.long.count() == 600
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+
+
+def test_chunks_bind_without_a_shuffle(spark):
+    folder = grid_folder(spark, {A: merged_header(["Nov", "Dec", "Jan"])}, "chunks")
+    plan = folder.long._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Join" not in plan and "Python" not in plan

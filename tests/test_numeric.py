@@ -72,10 +72,10 @@ def test_bucket_keeps_order(spark):
     random.seed(3)
     values = [s * m * 10.0**e for s in (1, -1) for e in range(-300, 301, 20) for m in (1.0, random.uniform(1, 9.9))]
     values += [0.0, 5e-324, -5e-324, 1.7976931348623157e308, math.inf, -math.inf] + [random.gauss(1, 0.01) for _ in range(500)]
-    df = spark.createDataFrame([(v,) for v in values], "v double").select("v", value_bucket(F.col("v")).alias("b"))
+    df = spark.createDataFrame([(v,) for v in values], "v double").select("v", value_bucket(F.col("v"), 512).alias("b"))
     ordered = [r.b for r in sorted(df.collect(), key=lambda r: r.v)]
     assert ordered == sorted(ordered)
-    assert one(spark, value_bucket(F.lit(math.nan))) > max(ordered)
+    assert one(spark, value_bucket(F.lit(math.nan), 512)) > max(ordered)
 
 
 def test_header_names(spark):
