@@ -16,7 +16,7 @@ def shared_folder(spark: SparkSession) -> str:
     Only a local session may go without the setting; it then gets a temporary
     folder. On a cluster a machine-local folder would be lost with its machine.
     """
-    folder = spark.conf.get(_SETTING, None)
+    folder = spark.conf.get(_SETTING, None) or spark.sparkContext.getCheckpointDir()
     if folder:
         return folder.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):

@@ -141,6 +141,7 @@ def test_three_folders_to_report(spark, tmp_path):
     tables = report(matched)
     assert [(r.fa_oldest, r.fa_latest) for r in tables.by_month.collect()] == [(100.0, 75.0)]
     assert {r.vintage: r.fa for r in tables.by_month_long.collect()} == {"oldest": 100.0, "latest": 75.0}
+    assert list(tables.by_month_long.toPandas().columns) == ["snop_month", "vintage", "fa"]
     assert {r.brand: r.metric for r in tables.heat("delta").collect()} == {"All brands": -25.0, "early": -25.0}
     assert [r.brand for r in tables.brand_order.orderBy("position").collect()] == ["All brands", "early"]
     assert tables.bias.first().pct_revised_up == 100.0
