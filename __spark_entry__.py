@@ -47,6 +47,20 @@ def _faulty(spark: SparkSession, sf_dir: str) -> GridFolder:
     return GridFolder(rows=rows, settled=True)
 
 
+def _corpus() -> tuple[dict, dict]:
+    """Queries and oracles of the training-data operators, if these are installed."""
+    try:
+        import corpus_pipeline
+        from hindcast.llm import oracles
+        from hindcast.llm import queries as corpus
+    except ModuleNotFoundError as error:
+        if error.name not in ("corpus_pipeline", "hindcast.llm"):
+            raise
+        return {}, {}
+    sql = oracles.ORACLES | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
+    return corpus.QUERIES | {"pipeline": corpus_pipeline.run}, sql
+
+
 def entry(spark: SparkSession) -> DataFrame:
     """Accuracy of the oldest and the latest forecast by month."""
     return accuracy.fa_by_month(_chosen(spark, SMALL))
@@ -124,7 +138,7 @@ def _month_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Every query: name to a function of (session, table folder)."""
-    return {
+    return _corpus()[0] | {
         "forecasts_typed": lambda s, d: matched.typed_forecasts(fx.forecasts_text(s, d)),
         "forecasts_csv_scan": _forecasts_csv_scan,
         "actuals_monthly": lambda s, d: matched.monthly_actuals(fx.actuals_raw(s, d)),
@@ -324,7 +338,7 @@ def oracle_sql() -> dict[str, str]:
     """DuckDB SQL per query; `file_inventory` lists files, which SQL over the tables cannot."""
     forecasts = _MATCHED + "SELECT * FROM forecasts"
     history = _GRID + "SELECT * FROM history"
-    return {
+    return _corpus()[1] | {
         "forecasts_typed": forecasts,
         "forecasts_csv_scan": forecasts,
         "actuals_monthly": _MATCHED + "SELECT * FROM actuals",
