@@ -1,3 +1,34 @@
 """What the queries return, in DuckDB SQL, where SQL can say it."""
 
-ORACLES: dict[str, str] = {}
+from hindcast.llm.decontaminate import WIDTH, WORD
+
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+_DECONTAMINATION = f"""
+    WITH docs AS (
+      SELECT row_number() OVER () AS row_id, doc_id, regexp_extract_all({_LOWER}, '{WORD}') AS words FROM documents),
+    items AS (SELECT cast(item_id AS varchar) AS item, regexp_extract_all({_LOWER}, '{WORD}') AS words FROM benchmark),
+    sized AS (SELECT *, least(len(words), {WIDTH}) AS width FROM items WHERE len(words) > 0),
+    windows AS (
+      SELECT DISTINCT item, width, unnest([words[i:i + width - 1] FOR i IN range(1, len(words) - width + 2)]) AS w
+      FROM sized),
+    widths AS (SELECT DISTINCT width FROM windows),
+    seen AS (
+      SELECT row_id, width, unnest(range(1, len(words) - width + 2)) AS start,
+             unnest([words[i:i + width - 1] FOR i IN range(1, len(words) - width + 2)]) AS w
+      FROM docs, widths WHERE len(words) >= width),
+    hits AS (SELECT row_id, start, seen.width, item FROM seen JOIN windows USING (w)),
+    found AS (
+      SELECT row_id, count(DISTINCT item) AS n_items, string_agg(DISTINCT item, ',' ORDER BY item) AS items
+      FROM hits GROUP BY row_id),
+    covered AS (
+      SELECT row_id, count(DISTINCT word) AS n_hit
+      FROM (SELECT row_id, unnest(range(start, start + width)) AS word FROM hits) GROUP BY row_id)
+    SELECT doc_id, len(words)::bigint AS n_words, coalesce(n_hit, 0)::bigint AS n_hit,
+           coalesce(n_items, 0)::bigint AS n_items, sha256(coalesce(items, '')) AS items_sha256,
+           coalesce(n_hit, 0) > 0 AS contaminated
+    FROM docs LEFT JOIN found USING (row_id) LEFT JOIN covered USING (row_id)"""
+
+ORACLES: dict[str, str] = {
+    "op8_decontamination": _DECONTAMINATION,
+}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hindcast.llm import anomalies, languages, pieces, tokens, toxicity
+from hindcast.llm import anomalies, decontaminate, languages, pieces, tokens, toxicity
 
 DROPOUT, SEED = 0.1, 20240229
 
@@ -44,6 +44,18 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.predict_toxicity(docs, chain)
 
 
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select(
+        "doc_id",
+        "n_words",
+        "n_hit",
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+        (F.col("n_hit") > 0).alias("contaminated"),
+    )
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     return anomalies.apply_rules(docs, anomalies.fit_rules(docs, labels))
@@ -54,5 +66,6 @@ QUERIES = {
     "op5_token_counts": op5_token_counts,
     "op6_language_id": op6_language_id,
     "op7_toxicity": op7_toxicity,
+    "op8_decontamination": op8_decontamination,
     "op10_quality_rules": op10_quality_rules,
 }
