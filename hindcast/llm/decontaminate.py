@@ -35,6 +35,11 @@ def _starts(words: Column, width: int | Column) -> Column:
     return F.when(last >= 1, F.sequence(F.lit(1), last)).otherwise(F.array().cast("array<int>"))
 
 
+def run_of(words: Column, start: Column, width: int) -> list[Column]:
+    """The ``width`` elements from 1-based ``start`` on, each by place (a slice would copy the whole array)."""
+    return [F.get(words, start + (k - 1)) for k in range(width)]
+
+
 def benchmark_windows(benchmark: DataFrame, width: int = WIDTH, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
     """Distinct windows of the items: ``window``, their ``width``, and ``items`` that have them.
 
@@ -84,12 +89,12 @@ def contamination(
 
     def passing(length: int) -> Column:
         def seen(i: Column) -> Column:
-            slot = F.xxhash64(F.slice("words", i, length)).bitwiseAND(F.lit((1 << SCREEN_BITS) - 1))
+            slot = F.xxhash64(F.array(*run_of(F.col("words"), i, length))).bitwiseAND(F.lit((1 << SCREEN_BITS) - 1))
             word = F.get(screen, F.shiftright(slot, 6).cast("int"))
             return F.getbit(word, slot.bitwiseAND(F.lit(63)).cast("int")) == 1
 
         found = F.filter(_starts(F.col("words"), length), seen)
-        return F.transform(found, lambda i: F.struct(i.alias("start"), F.slice("words", i, length).alias("window")))
+        return F.transform(found, lambda i: F.struct(i.alias("start"), F.array(*run_of(F.col("words"), i, length)).alias("window")))
 
     none = F.array().cast("array<struct<start:int,window:array<string>>>")
     texts = docs.select(

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hindcast.llm import anomalies, decontaminate, languages, pieces, secrets, tokens, toxicity
+from hindcast.llm import anomalies, decontaminate, languages, licenses, pieces, secrets, tokens, toxicity
 
 DROPOUT, SEED = 0.1, 20240229
 
@@ -25,6 +25,12 @@ def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode_pieces(docs, vocabulary("piece_bpe_32k.model"), DROPOUT, SEED)
 
 
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.license_scan(table(spark, sf_dir, "documents"))
+    names = F.transform("matches", lambda m: m["name"])
+    return found.select("doc_id", "n_windows", F.size("matches").cast("long").alias("n_licenses"), F.array_join(names, ",").alias("licenses"))
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return tokens.token_counts(docs, vocabulary("byte_bpe_50k.json"))
@@ -67,6 +73,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op2_sentencepiece": op2_sentencepiece,
+    "op4_license_scan": op4_license_scan,
     "op5_token_counts": op5_token_counts,
     "op6_language_id": op6_language_id,
     "op7_toxicity": op7_toxicity,
