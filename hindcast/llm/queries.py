@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hindcast.llm import anomalies, decontaminate, languages, licenses, pieces, secrets, substrings, tokens, toxicity
+from hindcast.llm import anomalies, decontaminate, languages, licenses, pieces, secrets, similar, substrings, tokens, toxicity
 
 DROPOUT, SEED = 0.1, 20240229
 
@@ -29,6 +29,10 @@ def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode_pieces(docs, vocabulary("piece_bpe_32k.model"), DROPOUT, SEED)
 
 
+def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return similar.similar_documents(table(spark, sf_dir, "documents")).drop("text_hash")
+
+
 def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = licenses.license_scan(table(spark, sf_dir, "documents"))
     names = F.transform("matches", lambda m: m["name"])
@@ -78,6 +82,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_sentencepiece": op2_sentencepiece,
+    "op3_jaccard_join": op3_jaccard_join,
     "op4_license_scan": op4_license_scan,
     "op5_token_counts": op5_token_counts,
     "op6_language_id": op6_language_id,
