@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hindcast.llm import languages, pieces
+from hindcast.llm import decontaminate, languages, pieces, secrets, similar
 from hindcast.llm.queries import DROPOUT, SEED, table, vocabulary
 from hindcast.sources.shared import settle
 
@@ -27,6 +27,21 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return told.filter(kept).select(*docs.columns)
 
 
+def one_of_similar(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep one document of each group of near-duplicates, the one with the smallest id."""
+    return similar.one_of_each(docs, similar.similar_documents(docs))
+
+
+def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop documents that repeat ten words of a benchmark item."""
+    return decontaminate.drop_contaminated(docs, decontaminate.contamination(docs, table(spark, sf_dir, "benchmark")))
+
+
+def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep every document, with its secrets masked."""
+    return secrets.mask_secrets(docs, secrets.secret_scan(docs)).withColumn("n_chars", F.char_length("text").cast("long"))
+
+
 def as_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Encode what is left for training."""
     return pieces.encode_pieces(docs, vocabulary("piece_bpe_32k.model"), DROPOUT, SEED)
@@ -34,6 +49,9 @@ def as_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [
     ("language_id", known_language),
+    ("jaccard_join", one_of_similar),
+    ("decontamination", without_benchmark),
+    ("secret_scan", without_secrets),
     ("sentencepiece", as_pieces),
 ]
 

@@ -30,7 +30,7 @@ def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return similar.similar_documents(table(spark, sf_dir, "documents")).drop("text_hash")
+    return similar.similar_documents(table(spark, sf_dir, "documents")).drop("text_hash", "is_lead")
 
 
 def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

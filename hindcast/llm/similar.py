@@ -361,8 +361,8 @@ def components(edges: DataFrame) -> DataFrame:
 def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Classes of documents linked by a Jaccard similarity of 3/4 or more of five-word shingles.
 
-    Returns ``doc_id, text_hash, n_shingles, component_id``, one row for each input row; the
-    component is named by its smallest id. Words are split at ASCII white space, A-Z lowered; a
+    Returns ``doc_id, text_hash, n_shingles, component_id, is_lead``, one row for each input row;
+    the component is named by its smallest id, and the row that has it leads. Words are split at ASCII white space, A-Z lowered; a
     text of fewer than five words is one shingle; null and empty texts link with nothing, not
     even each other. Texts with equal sets are one set from the start, so exact copies never
     form a group. Null ids are never the smallest; a component of such only has none. Repeated
@@ -454,7 +454,29 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     labels = components(links)
 
     members = labelled(of_docs.select("doc_id", "text_hash", "n", F.col("set_hash").alias("name")), "name")
-    ids = members.filter("n > 0").groupBy("of_name").agg(F.min("doc_id").alias("component_id")).withColumnRenamed("of_name", "_of")
-    out = members.join(ids, (F.col("of_name") == F.col("_of")) & (F.col("n") > 0), "left")
-    component = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", "text_hash", F.col("n").alias("n_shingles"), component.alias("component_id"))
+    first = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")
+    leads = members.filter("n > 0").groupBy("of_name").agg(F.min(first).alias("lead")).withColumnRenamed("of_name", "_of")
+    out = members.join(leads, (F.col("of_name") == F.col("_of")) & (F.col("n") > 0), "left")
+    alone = F.col("lead").isNull()
+    is_lead = F.col("lead.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("lead.text_hash") == F.col("text_hash"))
+    return out.select(
+        "doc_id",
+        "text_hash",
+        F.col("n").alias("n_shingles"),
+        F.when(alone, F.col("doc_id")).otherwise(F.col("lead.doc_id")).alias("component_id"),
+        (alone | is_lead).alias("is_lead"),
+    )
+
+
+def one_of_each(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One document of each component, its lead; texts without words all stay.
+
+    ``found`` is what :func:`similar_documents` gave for ``docs``. Of rows that repeat the lead's
+    id and text, any one stays.
+    """
+    leads = found.filter("is_lead").groupBy(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"))
+    leads = leads.agg(F.when(F.max("n_shingles") > 0, F.count("*")).otherwise(1).alias("_times"))
+    same = F.col(id_col).cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64(F.col(text_col)) == F.col("_hash"))
+    kept = docs.join(leads, same)
+    once = kept.filter("_times = 1").select(*docs.columns)
+    return once.unionByName(kept.filter("_times > 1").dropDuplicates(["_id", "_hash"]).select(*docs.columns))
