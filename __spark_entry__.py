@@ -13,11 +13,11 @@ from pyspark.sql import functions as F
 
 from hindcast import fixtures as fx
 from hindcast.operators import accuracy, grid, matched, quality, waterfall
-from hindcast.plans.history import GridFolder
+from hindcast.plans.history import GridFolder, write_history
 from hindcast.sources.history import read_history_csv, write_history_csv
 from hindcast.sources.shared import new_folder
-from hindcast.sources.sheets import list_files
-from hindcast.sources.tables import read_forecasts
+from hindcast.sources.sheets import named_columns
+from hindcast.sources.tables import ACTUALS_HEADER_ROW, HIERARCHY_HEADER, HIERARCHY_HEADER_ROW, read_forecasts
 
 SMALL = "/root/testdata/sf0.001"
 DROPPED_BRAND = "NATION_3"
@@ -63,7 +63,39 @@ def _corpus() -> tuple[dict, dict]:
 
 def entry(spark: SparkSession) -> DataFrame:
     """Accuracy of the oldest and the latest forecast by month."""
-    return accuracy.fa_by_month(_chosen(spark, SMALL))
+    return accuracy.fa_by_month(_chosen(spark, SMALL)).orderBy("snop_month")
+
+
+def _brand_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every brand of the hierarchy but one."""
+    brands = accuracy.brand_list(matched.brand_of_product(fx.hierarchy_raw(spark, sf_dir)))
+    return accuracy.filter_brands(_matched(spark, sf_dir), brands.filter(F.col("brand") != DROPPED_BRAND))
+
+
+def _vintage_ties(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return matched.vintages(matched.typed_forecasts(fx.forecasts_by_line(spark, sf_dir)))
+
+
+def _chunked(spark: SparkSession, sf_dir: str) -> GridFolder:
+    rows = fx.grid_rows(fx.grid_months(spark, sf_dir), fx.grid_lines(spark, sf_dir))
+    return GridFolder(chunks=fx.chunks_of(rows))
+
+
+def _actuals_sheet(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sheet = fx.sheet_of(fx.actuals_raw(spark, sf_dir), ACTUALS_HEADER_ROW)
+    return matched.monthly_actuals(named_columns(sheet, ACTUALS_HEADER_ROW, matched.ACTUALS_HEADER).drop("file"))
+
+
+def _hierarchy_sheet(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sheet = fx.sheet_of(fx.hierarchy_raw(spark, sf_dir), HIERARCHY_HEADER_ROW)
+    return matched.brand_of_product(named_columns(sheet, HIERARCHY_HEADER_ROW, HIERARCHY_HEADER).drop("file"))
+
+
+def _gated_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Checked as a whole folder, written by month, read back."""
+    months = fx.grid_months(spark, sf_dir)
+    rows = fx.grid_rows(months, fx.grid_lines(spark, sf_dir), filled=True)
+    return write_history(GridFolder(rows=rows, settled=True), new_folder(spark, "gated"), months.count(), form="parquet")
 
 
 def _forecasts_csv_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -144,16 +176,15 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "actuals_monthly": lambda s, d: matched.monthly_actuals(fx.actuals_raw(s, d)),
         "hierarchy_unique": lambda s, d: matched.brand_of_product(fx.hierarchy_raw(s, d)),
         "matched_frame": _matched,
+        "vintage_ties": _vintage_ties,
         "fa_generic": lambda s, d: accuracy.fa(_chosen(s, d), ["brand"], "oldest"),
-        "fa_by_month": lambda s, d: accuracy.fa_by_month(_chosen(s, d)),
+        "fa_by_month": lambda s, d: accuracy.fa_by_month(_chosen(s, d)).orderBy("snop_month"),
         "fa_long": lambda s, d: accuracy.fa_long(accuracy.fa_by_month(_chosen(s, d))),
         "fa_by_brand_month": lambda s, d: accuracy.fa_by_brand_month(_chosen(s, d)),
         "heat_metric": lambda s, d: accuracy.heat_metric(accuracy.fa_by_brand_month(_chosen(s, d)), "delta"),
         "brand_order": lambda s, d: accuracy.brand_order(_chosen(s, d)),
         "brand_list": lambda s, d: accuracy.brand_list(_matched(s, d)),
-        "brand_filter": lambda s, d: accuracy.filter_brands(
-            _matched(s, d), accuracy.brand_list(_matched(s, d)).filter(F.col("brand") != DROPPED_BRAND)
-        ),
+        "brand_filter": _brand_filter,
         "brand_bias": lambda s, d: accuracy.brand_bias(_chosen(s, d)),
         "top_brands": lambda s, d: accuracy.top_brands(accuracy.brand_bias(_chosen(s, d)), 5),
         "grid_leaf": _grid_leaf,
@@ -171,11 +202,16 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "waterfall_head": lambda s, d: waterfall.head(_folder(s, d, settled=True).history()),
         "waterfall_stats": lambda s, d: waterfall.stats(_folder(s, d, settled=True).history()),
         "waterfall_roundtrip": _waterfall_roundtrip,
+        "chunk_melt": lambda s, d: _chunked(s, d).long,
+        "chunk_profile": lambda s, d: _chunked(s, d).profile(),
+        "chunk_waterfall": lambda s, d: _chunked(s, d).history(),
+        "actuals_sheet": _actuals_sheet,
+        "hierarchy_sheet": _hierarchy_sheet,
+        "gated_history": _gated_history,
         "month_window": _month_window,
         "layout_detect": _layout_detect,
         "month_gaps": _month_gaps,
         "dq_report": lambda s, d: quality.summary(_faulty(s, d).violations()).drop("example"),
-        "file_inventory": lambda s, d: list_files(s, d, "*.parquet"),
     }
 
 
@@ -245,14 +281,14 @@ WITH lines AS (
   SELECT cast(date_trunc('month', o_orderdate) + INTERVAL 20 YEAR AS date) AS cm, r_name AS batch,
          cast(s_nationkey AS bigint) AS pc, p_type AS pd, 'M' || cast(l_suppkey AS varchar) AS mc,
          l_linestatus AS ty, l_quantity, l_linenumber,
-         (year(l_shipdate) - year(o_orderdate)) * 12 + month(l_shipdate) - month(o_orderdate) AS off
+         (((year(l_shipdate) - year(o_orderdate)) * 12 + month(l_shipdate) - month(o_orderdate)) % 5 + 5) % 5 AS off
   FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN supplier ON l_suppkey = s_suppkey
        JOIN part ON l_partkey = p_partkey JOIN nation ON s_nationkey = n_nationkey
        JOIN region ON n_regionkey = r_regionkey),
-base AS (SELECT * FROM lines WHERE off BETWEEN 0 AND 4),
+base AS (SELECT * FROM lines),
 files AS (
   SELECT DISTINCT cm, {_FILE} AS file, strftime(cm, '%Y-%m') AS calc_month,
-         (year(cm) * 12 + month(cm)) % 11 AS kind
+         (year(cm) * 12 + month(cm)) % 14 AS kind
   FROM base),
 leaf AS (SELECT cm, batch, pc, pd, mc, ty FROM base GROUP BY ALL),
 cells AS (
@@ -304,19 +340,21 @@ _TEXT = """
 , texts AS (
   SELECT file, strftime(cm + to_months(cast(off AS integer)), '%Y-%m') AS snop_month,
          CASE l_linenumber WHEN 7 THEN 'n/a' WHEN 6 THEN '1e5'
+              WHEN 5 THEN cast(cast(l_quantity AS bigint) AS varchar) || chr(10)
               ELSE cast(cast(l_quantity AS bigint) AS varchar) END AS cell
   FROM base JOIN files USING (cm))
 """
 
 _RULES = """
-, usable AS (SELECT * FROM totals WHERE kind IN (0, 7, 8, 9, 10)),
-blank AS (SELECT * FROM usable WHERE gt IS NULL AND NOT (kind = 7 AND off = 0)),
-named AS (SELECT cm, lag(cm) OVER (ORDER BY cm) AS prev FROM files WHERE kind NOT IN (1, 2, 3)),
+, usable AS (SELECT * FROM totals WHERE kind IN (0, 7, 8, 9, 10, 11, 12)),
+blank AS (SELECT * FROM usable WHERE (gt IS NULL AND NOT (kind = 7 AND off = 0)) OR (kind = 11 AND off = 1)),
+named AS (SELECT cm, lag(cm) OVER (ORDER BY cm) AS prev FROM files WHERE kind NOT IN (1, 2, 3, 13)),
 hits AS (
   SELECT 'R1' AS rule, 'fail' AS severity, count(*) AS violations FROM files WHERE kind = 3
   UNION ALL SELECT 'R2', 'fail', count(*) FROM files WHERE kind = 2
   UNION ALL SELECT 'R3', 'fail', count(*) FROM files WHERE kind = 4
   UNION ALL SELECT 'R4', 'fail', count(*) FROM files WHERE kind = 1
+  UNION ALL SELECT 'R5', 'fail', count(*) FROM files WHERE kind = 13
   UNION ALL SELECT 'R6', 'fail', count(*) FROM files WHERE kind = 5
   UNION ALL SELECT 'R7', 'fail', count(*) FROM files WHERE kind = 5
   UNION ALL SELECT 'R8', 'fail', count(DISTINCT cm) FROM leaf JOIN files USING (cm) WHERE kind = 8 AND pc = 3
@@ -327,17 +365,27 @@ hits AS (
   UNION ALL SELECT 'R14', 'fail', count(*) FROM named WHERE prev + INTERVAL 1 MONTH <> cm
   UNION ALL SELECT 'R15', 'fail', count(DISTINCT cm) FROM leaf JOIN files USING (cm)
             WHERE kind = 9 AND pc = 3 AND cm NOT IN (SELECT cm FROM blank)
+  UNION ALL SELECT 'V1', 'warn', count(DISTINCT cm) FROM leaf JOIN files USING (cm)
+            WHERE kind = 12 AND pc = 2 AND NOT EXISTS (
+              SELECT 1 FROM cells c WHERE c.off = 0 AND c.cm = leaf.cm AND c.batch = leaf.batch AND c.pc = leaf.pc
+                                    AND c.pd = leaf.pd AND c.mc = leaf.mc AND c.ty = leaf.ty)
   UNION ALL SELECT 'V2', 'warn', count(DISTINCT cm) FROM split JOIN files USING (cm)
-            WHERE kind IN (0, 6, 7, 8, 10) OR (kind = 9 AND pc <> 3))
+            WHERE kind IN (0, 6, 7, 8, 10, 11, 12) OR (kind = 9 AND pc <> 3))
 """
 
 _LONG_NAMES = "array_to_string([strftime(cm + to_months(cast(i AS integer)), '%b') FOR i IN range(0, 5)], '{0}')"
 
 
 def oracle_sql() -> dict[str, str]:
-    """DuckDB SQL per query; `file_inventory` lists files, which SQL over the tables cannot."""
+    """DuckDB SQL per query."""
     forecasts = _MATCHED + "SELECT * FROM forecasts"
     history = _GRID + "SELECT * FROM history"
+    profile = (
+        _GRID
+        + f"""SELECT file, calc_month, {_LONG_NAMES.format(' → ')} AS snop_months,
+                    CASE WHEN month(cm) % 2 = 0 THEN 'separate header rows' ELSE 'merged names+months row' END AS layout,
+                    leaf_rows, total_rows_dropped, issues FROM facts"""
+    )
     return _corpus()[1] | {
         "forecasts_typed": forecasts,
         "forecasts_csv_scan": forecasts,
@@ -368,9 +416,8 @@ def oracle_sql() -> dict[str, str]:
                     pd AS parent_description, mc AS material_code FROM leaf JOIN files USING (cm)""",
         "grid_melt": _GRID + "SELECT * FROM long",
         "grid_text_melt": _GRID + _TEXT
-        + """SELECT file, snop_month, count(try_cast(cell AS double)) AS cells,
-                    sum(try_cast(cell AS double)) AS qty
-             FROM texts WHERE try_cast(cell AS double) IS NOT NULL GROUP BY 1, 2""",
+        + """SELECT file, snop_month, count(*) AS cells, sum(try_cast(cell AS double)) AS qty
+             FROM texts WHERE cell <> 'n/a' AND NOT contains(cell, chr(10)) GROUP BY 1, 2""",
         "grid_non_numeric": _GRID + _TEXT
         + r"""SELECT file, count(cell) AS filled_cells,
                      count(*) FILTER (NOT regexp_full_match(cell, '-?\d*\.?\d+')) AS non_numeric_cells
@@ -384,10 +431,7 @@ def oracle_sql() -> dict[str, str]:
              FULL JOIN (SELECT file, snop_month, gt FROM totals) USING (file, snop_month) GROUP BY 1""",
         "multi_row_materials": _GRID
         + "SELECT file, cast(pc AS varchar) AS parent_code, mc AS material_code, n_rows FROM split",
-        "grid_profile": _GRID
-        + f"""SELECT file, calc_month, {_LONG_NAMES.format(' → ')} AS snop_months,
-                    CASE WHEN month(cm) % 2 = 0 THEN 'separate header rows' ELSE 'merged names+months row' END AS layout,
-                    leaf_rows, total_rows_dropped, issues FROM facts""",
+        "grid_profile": profile,
         "grid_profile_totals": _GRID
         + """SELECT count(*) AS files, cast(sum(leaf_rows) AS bigint) AS leaf_rows,
                     cast(sum(total_rows_dropped) AS bigint) AS total_rows_dropped,
@@ -400,6 +444,25 @@ def oracle_sql() -> dict[str, str]:
         "waterfall_stats": _GRID
         + """SELECT count(*) AS n_rows, count(DISTINCT parent_code) AS n_parents, sum(qty) AS total_qty FROM history""",
         "waterfall_roundtrip": history,
+        "vintage_ties": """
+            WITH lines AS (
+              SELECT l_suppkey AS parent_code, cast(date_trunc('month', l_shipdate) AS date) AS snop_month,
+                     date_trunc('month', o_orderdate) AS calculation_month,
+                     CASE WHEN l_linenumber <> 4 THEN l_quantity END AS fc
+              FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_linestatus = 'O')
+            SELECT parent_code, snop_month, max(fc) FILTER (oldest = 1) AS oldest_fc, max(fc) FILTER (latest = 1) AS latest_fc
+            FROM (SELECT *,
+                    row_number() OVER (PARTITION BY parent_code, snop_month ORDER BY calculation_month, fc NULLS FIRST) AS oldest,
+                    row_number() OVER (PARTITION BY parent_code, snop_month
+                                       ORDER BY calculation_month DESC, fc DESC NULLS LAST) AS latest
+                  FROM lines)
+            GROUP BY ALL""",
+        "chunk_melt": _GRID + "SELECT * FROM long",
+        "chunk_profile": profile,
+        "chunk_waterfall": history,
+        "actuals_sheet": _MATCHED + "SELECT * FROM actuals",
+        "hierarchy_sheet": _MATCHED + "SELECT * FROM hierarchy",
+        "gated_history": history,
         "month_window": f"""
             WITH o AS (SELECT DISTINCT cast(date_trunc('month', o_orderdate) + INTERVAL 20 YEAR AS date) AS cm FROM orders),
             k AS (SELECT cm, year(cm) * 12 + month(cm) AS i FROM o),

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hindcast.sources.sheets import HEADER_ROWS
+from hindcast.sources.sheets import HEADER_ROWS, heads_of_rows
 
 YEARS_AHEAD = 20
 WINDOW = 5
@@ -51,6 +51,18 @@ def forecasts_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def forecasts_by_line(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Forecasts line by line: several of one month, and some without a value."""
+    lines = table(spark, sf_dir, "lineitem").filter(F.col("l_linestatus") == "O")
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate")
+    return lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).select(
+        F.col("l_suppkey").alias("parent_code"),
+        F.date_format(F.trunc("o_orderdate", "month"), "yyyy-MM-dd").alias("calculation_month"),
+        F.date_format(F.trunc("l_shipdate", "month"), "yyyy-MM-dd").alias("snop_month"),
+        F.when(F.col("l_linenumber") != 4, F.col("l_quantity")).alias("fc_kl"),
+    )
+
+
 def actuals_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bill-wise sales with the header names and text months of the sales sheet."""
     return (
@@ -82,14 +94,16 @@ def hierarchy_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def ordered_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Order lines with their grid file month ``cm`` and month column ``off`` (0 to 4)."""
+    """Every order line with its grid file month ``cm`` and month column ``off``.
+
+    The months from order to shipment, modulo the width of a sheet, name the column.
+    """
     lines, orders = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "orders")
     ordered, shipped = F.col("o_orderdate"), F.col("l_shipdate")
     return (
         lines.join(orders.select("o_orderkey", "o_orderdate"), F.col("l_orderkey") == F.col("o_orderkey"))
-        .withColumn("off", (F.year(shipped) - F.year(ordered)) * 12 + F.month(shipped) - F.month(ordered))
+        .withColumn("off", F.pmod((F.year(shipped) - F.year(ordered)) * 12 + F.month(shipped) - F.month(ordered), F.lit(WINDOW)))
         .withColumn("cm", F.add_months(F.trunc("o_orderdate", "month"), 12 * YEARS_AHEAD))
-        .filter(F.col("off").between(0, WINDOW - 1))
     )
 
 
@@ -197,15 +211,17 @@ def plain_name() -> Column:
     return file_name(F.col("cm"), F.add_months("cm", WINDOW - 1))
 
 
-def grid_rows(months: DataFrame, lines: DataFrame, text: bool = False) -> DataFrame:
+def grid_rows(months: DataFrame, lines: DataFrame, text: bool = False, filled: bool = False) -> DataFrame:
     """A folder of well-formed grids as sheet rows, one file per order month.
 
     With ``text`` every line is a row of its own whose cell may hold text that is no number.
+    With ``filled`` a Grand Total row shows 0 for a month without lines.
     """
     if text:
         cell = (
             F.when(F.col("l_linenumber") == 7, "n/a")
             .when(F.col("l_linenumber") == 6, "1e5")
+            .when(F.col("l_linenumber") == 5, F.concat(quantity_text(F.col("l_quantity")), F.lit("\n")))
             .otherwise(quantity_text(F.col("l_quantity")))
         )
         wide = lines.withColumn("label", F.col("batch")).withColumns(
@@ -213,22 +229,27 @@ def grid_rows(months: DataFrame, lines: DataFrame, text: bool = False) -> DataFr
         )
     else:
         wide = grid_wide(lines).withColumns({f"m{i}": quantity_text(F.col(f"m{i}")) for i in range(WINDOW)})
+    if filled:
+        total = F.col("label") == "Grand Total"
+        wide = wide.withColumns({f"m{i}": F.coalesce(f"m{i}", F.when(total, F.lit("0"))) for i in range(WINDOW)})
     return header_rows(months, plain_name(), F.col("cm"), F.lit(True)).unionByName(body_rows(wide, plain_name()))
 
 
 def faulty_grid_rows(months: DataFrame, lines: DataFrame) -> DataFrame:
-    """The same folder with one kind of fault in most files, by file month modulo 11.
+    """The same folder with one kind of fault in most files, by file month modulo 14.
 
     1 name with an ending; 2 reversed window; 3 unknown month name; 4 no code column;
     5 sheet months one late; 6 Grand Total row twice; 7 text in a Grand Total cell;
-    8 parent 3 with a code that is no number; 9 parent 3 missing; 0 and 10 none.
+    8 parent 3 with a code that is no number; 9 parent 3 missing; 11 a blank Grand Total cell;
+    12 text in empty cells of parent 2; 13 a year in digits that are no ASCII; 0 and 10 none.
     """
-    kind = (F.year("cm") * 12 + F.month("cm")) % 11
+    kind = (F.year("cm") * 12 + F.month("cm")) % 14
     last = F.add_months("cm", WINDOW - 1)
     name = (
         F.when(kind == 1, file_name(F.col("cm"), last, " (1)"))
         .when(kind == 2, file_name(last, F.col("cm")))
         .when(kind == 3, F.regexp_replace(plain_name(), "file_...", "file_Foo"))
+        .when(kind == 13, F.translate(plain_name(), "0123456789", "\u0660\u0661\u0662\u0663\u0664\u0665\u0666\u0667\u0668\u0669"))
         .otherwise(plain_name())
     )
     wide = grid_wide(lines)
@@ -238,7 +259,41 @@ def faulty_grid_rows(months: DataFrame, lines: DataFrame) -> DataFrame:
         .withColumn("pc", F.when((kind == 8) & (F.col("pc") == "3"), "x3").otherwise(F.col("pc")))
         .withColumns({f"m{i}": quantity_text(F.col(f"m{i}")) for i in range(WINDOW)})
         .withColumn("m0", F.when((kind == 7) & total, "n/a").otherwise(F.col("m0")))
+        .withColumn("m0", F.when((kind == 12) & (F.col("pc") == "2") & F.col("m0").isNull(), "n/a").otherwise(F.col("m0")))
+        .withColumn("m1", F.when(~((kind == 11) & total), F.col("m1")))
         .withColumn("copy", F.explode(F.sequence(F.lit(1), F.when((kind == 6) & total, 2).otherwise(1))))
     )
     first = F.add_months("cm", F.when(kind == 5, 1).otherwise(0))
     return header_rows(months, name, first, kind != 4).unionByName(body_rows(faulty, name))
+
+
+def _spread(rows: DataFrame, per_chunk: int) -> DataFrame:
+    """Rows with a chunk number from 1, by their hash, so that chunks are of like size."""
+    total = rows.groupBy("file").agg(F.count(F.lit(1)).alias("in_file"))
+    numbered = rows.join(total, "file")
+    return numbered.withColumn(
+        "chunk", (F.pmod(F.xxhash64("cells"), F.ceil(F.col("in_file") / per_chunk)) + 1).cast("int")
+    )
+
+
+def chunks_of(rows: DataFrame, per_chunk: int = 200) -> DataFrame:
+    """Sheet rows as bounded chunks that carry their header; chunk 0 holds the header alone."""
+    heads = heads_of_rows(rows)
+    row = F.struct("row_idx", "cells")
+    body = _spread(rows.filter(F.col("row_idx") >= HEADER_ROWS), per_chunk)
+    body = body.groupBy("file", "chunk").agg(F.collect_list(row).alias("rows"))
+    first = heads.select("file", F.lit(0).alias("chunk"), "head", F.col("head").alias("rows"))
+    return first.unionByName(body.join(heads, "file").select("file", "chunk", "head", "rows"))
+
+
+def sheet_of(table_: DataFrame, header_row: int, per_chunk: int = 200) -> DataFrame:
+    """A table as chunks of one sheet with a header row below ``header_row`` rows of title."""
+    title = [F.struct(F.lit(i).alias("row_idx"), F.array(F.lit("title")).alias("cells")) for i in range(header_row)]
+    names = F.struct(F.lit(header_row).alias("row_idx"), F.array(*map(F.lit, table_.columns)).alias("cells"))
+    rows = table_.select(
+        F.lit("sheet").alias("file"),
+        F.lit(header_row + 1).alias("row_idx"),
+        F.array(*[F.col(c).cast("string") for c in table_.columns]).alias("cells"),
+    )
+    body = _spread(rows, per_chunk).groupBy("file", "chunk").agg(F.collect_list(F.struct("row_idx", "cells")).alias("rows"))
+    return body.select("file", "chunk", F.array(*title, names).alias("head"), "rows")

@@ -8,9 +8,10 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # A plain decimal number, as the grid check defines it, and the
-# wider spelling the value conversion accepts.
-PLAIN_NUMBER = r"^-?\d*\.?\d+$"
-ANY_NUMBER = r"^[+-]?(?:(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?|(?i:inf|infinity|nan))$"
+# wider spelling the value conversion accepts. Both end at the end of the text: a sign for
+# the end of a line would let a line break through.
+PLAIN_NUMBER = r"^-?\d*\.?\d+\z"
+ANY_NUMBER = r"^[+-]?(?:(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?|(?i:inf|infinity|nan))\z"
 
 
 def sum0(value: Column) -> Column:
@@ -31,9 +32,12 @@ def ieee_div(numerator: Column, denominator: Column) -> Column:
 
 
 def round_half_even(value: Column, digits: int) -> Column:
-    """Round the binary value scaled by a power of ten, halves to the even neighbour."""
+    """Round the binary value scaled by a power of ten, halves to the even neighbour.
+
+    A value too large to be scaled has no digits behind the point and stays as it is.
+    """
     scale = float(10**digits)
-    return F.rint(value * scale) / scale
+    return F.when(F.abs(value) > sys.float_info.max / scale, value).otherwise(F.rint(value * scale) / scale)
 
 
 def is_number(cell: Column) -> Column:

@@ -7,7 +7,7 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from hindcast.functions.numeric import ieee_div, round_half_even, sum0
+from hindcast.functions.numeric import ieee_div, round_half_even, sum0, value_bucket
 from hindcast.operators.median import grouped_medians
 
 # The two vintages, the label of the overall rows, the metrics of the
@@ -16,6 +16,9 @@ VINTAGES = ("oldest", "latest")
 ALL_BRANDS = "All brands"
 METRICS = ("fa_latest", "fa_oldest", "delta")
 TOP_BRANDS = 25
+# Steps per factor e of an accuracy, and a step number below all of them.
+BRAND_STEPS = 64
+BEFORE_STEPS = 1 << 40
 
 
 def brand_list(matched: DataFrame) -> DataFrame:
@@ -66,8 +69,8 @@ def _with_fa(sums: DataFrame) -> DataFrame:
 
 
 def fa_by_month(matched: DataFrame) -> DataFrame:
-    """Accuracy of both vintages by month, from one aggregate."""
-    return _with_fa(_both_sums(matched, ["snop_month"])).select("snop_month", "fa_oldest", "fa_latest").orderBy("snop_month")
+    """Accuracy of both vintages by month, from one aggregate, in no order."""
+    return _with_fa(_both_sums(matched, ["snop_month"])).select("snop_month", "fa_oldest", "fa_latest")
 
 
 def fa_long(by_month: DataFrame) -> DataFrame:
@@ -111,12 +114,18 @@ def heat_metric(by_brand_month: DataFrame, metric: str = "fa_latest") -> DataFra
 def brand_order(matched: DataFrame) -> DataFrame:
     """Display order of brands: the overall row first, then by accuracy of the latest vintage.
 
-    Ranks one row per brand, after the aggregate. Equal accuracies go by name.
+    Equal accuracies go by name. Brands are ranked within steps of accuracy, to which the
+    brands of lower steps are added, so no task ranks all brands; the steps number some
+    hundreds, however many brands there are.
     """
-    ranked = fa(matched, ["brand"], "latest").select(
-        "brand",
-        F.col("fa").alias("fa_latest"),
-        F.row_number().over(Window.orderBy(F.asc_nulls_first("fa"), "brand")).cast("bigint").alias("position"),
+    step = F.coalesce(value_bucket(F.col("fa"), BRAND_STEPS), F.lit(-BEFORE_STEPS)).alias("step")
+    rated = fa(matched, ["brand"], "latest").select("brand", F.col("fa").alias("fa_latest"), step)
+    before = Window.orderBy("step").rowsBetween(Window.unboundedPreceding, -1)
+    steps = rated.groupBy("step").agg(F.count(F.lit(1)).alias("n"))
+    steps = steps.select("step", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+    inside = Window.partitionBy("step").orderBy(F.asc_nulls_first("fa_latest"), "brand")
+    ranked = rated.join(steps, "step").select(
+        "brand", "fa_latest", (F.col("before") + F.row_number().over(inside)).cast("bigint").alias("position")
     )
     overall = matched.sparkSession.range(1).select(
         F.lit(ALL_BRANDS).alias("brand"), F.lit(None).cast("double").alias("fa_latest"), F.col("id").alias("position")

@@ -22,7 +22,7 @@ GRAND_TOTAL = "Grand Total"
 CODE_COLUMN = "parent_code"
 MERGED = "merged names+months row"
 SEPARATE = "separate header rows"
-FILE_NAME = r"(?U)^S&OP_grid file_(\w{3})-(\d{2}) to (\w{3})-(\d{2})_circulation\.(?:xlsx|csv)$"
+FILE_NAME = r"(?U)^S&OP_grid file_(\w{3})-(\d{2}) to (\w{3})-(\d{2})_circulation\.(?:xlsx|csv)\z"
 # Join keys over which the rows of one file are spread.
 SHARES = 16
 
@@ -206,7 +206,7 @@ def leaf_rows(bound: DataFrame) -> DataFrame:
 
 def whole_number(text: Column) -> Column:
     """Text to BIGINT, null for text that is no plain whole number."""
-    return F.when(text.rlike(r"^[+-]?\d+$"), text.try_cast("bigint"))
+    return F.when(text.rlike(r"^[+-]?\d+\z"), text.try_cast("bigint"))
 
 
 def melt(bound: DataFrame, strict: bool = True) -> DataFrame:
@@ -300,23 +300,18 @@ def multi_row_materials(counts: DataFrame) -> DataFrame:
 def file_facts(bound: DataFrame, layout: DataFrame) -> DataFrame:
     """One row per file: its layout with row counts, flagged cells and the Grand Total row.
 
-    ``total_cells`` holds the month cells of that row, at most twelve.
+    ``total_cells`` holds the month cells of that row, at most twelve. Rows are counted in one
+    pass and moved once, as counts; a second pass reads nothing but Grand Total rows.
     """
-    counts = material_counts(bound)
     leaf = F.col("parent_code").isNotNull()
-    per_file = counts.groupBy("file").agg(
+    several = leaf & (F.col("n_rows") > 1)
+    per_file = material_counts(bound).groupBy("file").agg(
         F.sum(F.when(leaf, F.col("n_rows")).otherwise(0)).alias("leaf_rows"),
         F.sum(F.when(leaf, F.lit(0)).otherwise(F.col("n_rows"))).alias("total_rows_dropped"),
         F.sum("bad_cells").alias("non_numeric_cells"),
         F.sum("bad_parents").alias("bad_parents"),
-    )
-    split = (
-        multi_row_materials(counts)
-        .groupBy("file")
-        .agg(
-            F.count(F.lit(1)).alias("split_materials"),
-            F.min(F.struct("parent_code", "material_code")).alias("split_example"),
-        )
+        F.count_if(several).alias("split_materials"),
+        F.min(F.when(several, F.struct("parent_code", "material_code"))).alias("split_example"),
     )
     stated = (
         bound.filter(F.get("cells", F.lit(0)) == GRAND_TOTAL)
@@ -335,7 +330,6 @@ def file_facts(bound: DataFrame, layout: DataFrame) -> DataFrame:
     }
     return (
         layout.join(per_file, "file", "left")
-        .join(split, "file", "left")
         .join(stated, "file", "left")
         .withColumns({**zero, "total_cells": total_cells, "issues": _issues()})
         .drop("cells")
@@ -343,7 +337,7 @@ def file_facts(bound: DataFrame, layout: DataFrame) -> DataFrame:
 
 
 def _issues() -> Column:
-    """Warnings of a file, as texts."""
+    """Warnings of a file, as texts. Their wording is part of the report."""
     example = F.concat(
         F.coalesce("split_example.parent_code", F.lit("None")),
         F.lit("/"),

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hindcast.functions.months import iso_date, month_year_date
 from hindcast.functions.numeric import sum0
 from hindcast.functions.text import normalise_headers
 
+# Header names of the sales sheet after normalisation.
+ACTUALS_HEADER = ["parent_material_code", "month_year", "sec_vol_kl_mth_(billwise)"]
 # A day number below that of 0001-01-01, the first date there is.
 BEFORE_ALL_DAYS = -1_000_000
 
@@ -29,11 +31,7 @@ def monthly_actuals(raw: DataFrame) -> DataFrame:
     Headers are normalised first. A product-month with nothing but nulls has volume 0.
     """
     named = normalise_headers(raw).withColumnsRenamed(
-        {
-            "parent_material_code": "parent_code",
-            "month_year": "snop_month",
-            "sec_vol_kl_mth_(billwise)": "actual_kl",
-        }
+        dict(zip(ACTUALS_HEADER, ["parent_code", "snop_month", "actual_kl"], strict=True))
     )
     return (
         named.select(
@@ -62,22 +60,23 @@ def brand_of_product(raw: DataFrame) -> DataFrame:
     )
 
 
-def vintage_order(calculation_month: Column, forecast: Column) -> Column:
-    """Order of forecasts for one product-month: by calculation month, a null month first.
+def vintages(forecasts: DataFrame) -> DataFrame:
+    """Oldest and latest forecast per product and target month, null values included.
 
-    Two rows of one month have no order of their own. A hash of the value below the day
-    number makes the pick the same in every run, and keeps the key a plain BIGINT, so that
-    the aggregate over it stays a hash aggregate; a struct key would sort all rows.
+    Forecasts go by (calculation month, value): a null month comes before all others, and of
+    several forecasts of one month the smallest counts as the oldest and the largest as the
+    latest, a null being smaller than any value. Forecasts of one month are merged first, so
+    both aggregates order by a plain day number and stay hash aggregates that combine before
+    they shuffle.
     """
-    day = F.coalesce(F.unix_date(calculation_month), F.lit(BEFORE_ALL_DAYS)).cast("bigint")
-    return F.shiftleft(day, 32) + F.hash(forecast).cast("bigint")
-
-
-def vintages(forecasts: DataFrame) -> DataFrame:
-    """Oldest and latest forecast per product and target month, null values included."""
-    order = vintage_order(F.col("calculation_month"), F.col("fc_kl"))
-    return forecasts.groupBy("parent_code", "snop_month").agg(
-        F.min_by("fc_kl", order).alias("oldest_fc"), F.max_by("fc_kl", order).alias("latest_fc")
+    value = F.col("fc_kl")
+    day = F.coalesce(F.unix_date("calculation_month"), F.lit(BEFORE_ALL_DAYS)).alias("day")
+    merged = forecasts.groupBy("parent_code", "snop_month", day).agg(
+        F.min(value).alias("low"), F.max(value).alias("high"), F.count_if(value.isNull()).alias("nulls")
+    )
+    return merged.groupBy("parent_code", "snop_month").agg(
+        F.min_by(F.when(F.col("nulls") == 0, F.col("low")), "day").alias("oldest_fc"),
+        F.max_by("high", "day").alias("latest_fc"),
     )
 
 

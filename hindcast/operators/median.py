@@ -9,20 +9,51 @@ from pyspark.sql import functions as F
 
 from hindcast.functions.numeric import value_bucket
 
-# Buckets per factor e of a value.
+# Buckets per factor e of a value, and parts of the bucket that holds the middle.
 STEPS = 512
+PARTS = 1 << 16
+
+
+def _middle(counts: DataFrame, part: list[str], place: str, below: Column) -> DataFrame:
+    """Where the middle ranks lie: the places of each ``part`` that hold one of them.
+
+    ``counts`` has values with their numbers. The histogram over ``place`` combines before it
+    moves; ``below`` is how many values of the group come before the part.
+    """
+    group = Window.partitionBy(*part)
+    upto = group.orderBy(place).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    keep = [c for c in ("before", "low_rank", "high_rank") if c in counts.columns]
+    held = counts.groupBy(*part, place).agg(
+        F.sum("n").alias("held"),
+        F.min("value").alias("low"),
+        F.max("value").alias("high"),
+        *[F.first(c).alias(c) for c in keep],
+    )
+    held = held.withColumn("start", below + F.sum("held").over(upto) - F.col("held"))
+    if not keep:
+        total = F.sum("held").over(group)
+        held = held.withColumns({"low_rank": F.floor((total - 1) / 2), "high_rank": F.floor(total / 2)})
+    inside = (F.col("start") <= F.col("high_rank")) & (F.col("start") + F.col("held") > F.col("low_rank"))
+    names = [F.col(c).alias(f"_{c}") for c in [*part, place]]
+    return held.filter(inside).select(*names, F.col("start").alias("before"), "low_rank", "high_rank", "low", "high")
+
+
+def _only(counts: DataFrame, middle: DataFrame, part: list[str]) -> DataFrame:
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in part])
+    return counts.join(middle, same).drop(*[f"_{c}" for c in part])
 
 
 def grouped_medians(df: DataFrame, keys: list[str], values: dict[str, Column]) -> DataFrame:
     """Exact median of each of ``values`` per group of ``keys``; nulls are ignored.
 
-    The built-in median keeps all distinct values of a group in one task's memory. Here a
-    histogram over order-keeping buckets, which combines before its shuffle, tells in which
-    bucket the middle ranks lie. Only rows of that bucket, a 0.2 % wide range of values,
-    are counted by value and ranked, so neither a hot group nor a hot value meets one task.
+    The built-in median keeps all distinct values of a group in one task's memory. Here rows
+    first become counts by value, which combine before they move. A histogram over
+    order-keeping buckets tells in which bucket the middle ranks lie; that bucket, 0.2 % wide,
+    is cut into ``PARTS`` equal parts, and a second histogram tells the part. Only values of
+    that part are ranked, so a task sees a 65,536th of the bucket, however near to each other
+    the values of a hot group lie.
     """
     names = list(values)
-    part = [*keys, "measure", "bucket"]
     stacked = (
         df.select(
             *keys,
@@ -31,34 +62,23 @@ def grouped_medians(df: DataFrame, keys: list[str], values: dict[str, Column]) -
             ).alias("m"),
         )
         .filter(F.col("m.value").isNotNull())
-        .select(*keys, "m.measure", "m.value", value_bucket(F.col("m.value"), STEPS).alias("bucket"))
+        .groupBy(*keys, F.col("m.measure").alias("measure"), F.col("m.value").alias("value"))
+        .agg(F.count(F.lit(1)).alias("n"))
+        .withColumn("bucket", value_bucket(F.col("value"), STEPS))
     )
+    group, bucket, part = [*keys, "measure"], [*keys, "measure", "bucket"], [*keys, "measure", "bucket", "part"]
+    found = _only(stacked, _middle(stacked, group, "bucket", F.lit(0)), bucket)
+    along = (F.col("value") - F.col("low")) / (F.col("high") - F.col("low"))
+    finite = (F.col("high") > F.col("low")) & (F.abs(F.col("high") - F.col("low")) < float("inf"))
+    narrow = F.when(finite, F.least(F.floor(along * PARTS), F.lit(PARTS - 1)))
+    found = found.withColumn("part", F.coalesce(narrow, F.lit(0).cast("bigint"))).drop("low", "high")
+    middle = _middle(found, bucket, "part", F.first("before").over(Window.partitionBy(*bucket))).drop("low", "high")
+    found = _only(found.drop("before", "low_rank", "high_rank"), middle, part)
 
-    group = Window.partitionBy(*keys, "measure")
-    upto = group.orderBy("bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    middle = (
-        stacked.groupBy(*part)
-        .agg(F.count(F.lit(1)).alias("in_bucket"))
-        .withColumn("before", F.sum("in_bucket").over(upto) - F.col("in_bucket"))
-        .withColumn("total", F.sum("in_bucket").over(group))
-        .withColumn("low_rank", F.floor((F.col("total") - 1) / 2))
-        .withColumn("high_rank", F.floor(F.col("total") / 2))
-        .filter(
-            (F.col("before") <= F.col("high_rank")) & (F.col("before") + F.col("in_bucket") > F.col("low_rank"))
-        )
-        .select(*[F.col(c).alias(f"_{c}") for c in part], "before", "low_rank", "high_rank")
-    )
-    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in part])
     inside = Window.partitionBy(*part).orderBy("value").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    last = F.col("before") + F.sum("n").over(inside) - 1
-    ranked = (
-        stacked.join(middle, same)
-        .groupBy(*part, "before", "low_rank", "high_rank", "value")
-        .agg(F.count(F.lit(1)).alias("n"))
-        .withColumn("last", last)
-        .withColumn("first", F.col("last") - F.col("n") + 1)
-        .filter((F.col("first") <= F.col("high_rank")) & (F.col("last") >= F.col("low_rank")))
-    )
+    ranked = found.withColumn("last", F.col("before") + F.sum("n").over(inside) - 1)
+    ranked = ranked.withColumn("first", F.col("last") - F.col("n") + 1)
+    ranked = ranked.filter((F.col("first") <= F.col("high_rank")) & (F.col("last") >= F.col("low_rank")))
 
     def at(rank: str, measure: int) -> Column:
         hit = (F.col("measure") == measure) & F.col(rank).between(F.col("first"), F.col("last"))

@@ -14,6 +14,7 @@ from hindcast.functions.text import joined_or_none
 # Files a complete folder holds, and the tolerance of the totals check.
 EXPECTED_FILES = 16
 TOLERANCE = 1e-6
+MONTH_KEY = r"^\d{4}-(?:0[1-9]|1[0-2])\z"
 
 
 class QualityError(RuntimeError):
@@ -80,7 +81,7 @@ def _text(column: str) -> Column:
 def _file_rules() -> list[Column]:
     """Rules that the facts of one file decide."""
     reversed_or_long = F.format_string(
-        "month window %s-%s to %s-%s is longer than 12 months or reversed",
+        "name spans %s-%s to %s-%s: backwards, or more than a year",
         "start_abbr", "start_yy", "end_abbr", "end_yy",
     )
     dated = F.col("start_index").isNotNull() & F.col("end_index").isNotNull()
@@ -95,10 +96,10 @@ def _file_rules() -> list[Column]:
         _hit(
             "R3",
             ~found,
-            F.format_string("header block not found (anchor row=%s, names row=%s)", _text("anchor_row"), _text("names_row")),
+            F.format_string("no header: month row %s, names row %s", _text("anchor_row"), _text("names_row")),
         ),
-        _hit("R4", ~F.col("name_matches"), F.lit("file name does not match the pattern")),
-        _hit("R5", F.col("name_matches") & ~digits, F.lit("cannot parse months from file name")),
+        _hit("R4", ~F.col("name_matches"), F.lit("not named like a grid file")),
+        _hit("R5", F.col("name_matches") & ~digits, F.lit("name has a year that is no number")),
         _hit(
             "R6",
             found & named & (F.col("sheet_months") != window_names),
@@ -111,7 +112,6 @@ def _file_rules() -> list[Column]:
         _hit("R7", found & named & (F.size(unmapped) > 0), F.format_string("months without a key: %s", F.array_join(unmapped, " "))),
         _hit("R8", F.col("bad_parents") > 0, F.format_string("%s row(s) with a parent code that is no integer", _text("bad_parents"))),
         _hit("R9", F.col("months").isNotNull() & (F.col("grand_total_rows") != 1), F.format_string("expected 1 Grand Total row, found %s", _text("grand_total_rows"))),
-        _hit("R13", F.col("calc_month").isNotNull() & ~F.col("calc_month").rlike(r"^\d{4}-(0[1-9]|1[0-2])$"), F.format_string("malformed month key %s", _text("calc_month"))),
         _hit("V1", F.col("non_numeric_cells") > 0, F.format_string("%s non-numeric cell(s)", _text("non_numeric_cells")), "warn"),
         _hit("V2", F.col("split_materials") > 0, F.format_string("%s material(s) on several rows", _text("split_materials")), "warn"),
     ]
@@ -172,11 +172,22 @@ def violations(
     series = facts.filter(F.col("calc_month").isNotNull()).select(month_key_date(F.col("calc_month")).alias("month"))
     step = F.format_string("%s → %s", month_key(F.col("prev_month")), month_key(F.col("next_month")))
     gaps = month_gaps(series, "month").select(
-        no_file, _hit("R14", F.lit(True), F.concat(F.lit("gap in calculation-month series: "), step)).alias("h")
+        no_file, _hit("R14", F.lit(True), F.concat(F.lit("months do not follow on: "), step)).alias("h")
     )
     return per_file.unionByName(count).unionByName(gaps).select("file", "h.*")
 
 
+def month_key_violations(history: DataFrame) -> DataFrame:
+    """Rule R13 on a history that is read back: month keys that are no ``YYYY-MM``."""
+    key = F.explode(F.array("calculation_month", "snop_month")).alias("key")
+    wrong = ~F.coalesce(F.col("key").rlike(MONTH_KEY), F.lit(False))
+    found = history.select(key).filter(wrong).groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+    told = F.format_string("%s row(s) with the month key %s", _text("n"), _text("key"))
+    return found.select(
+        F.lit(None).cast("string").alias("file"), F.lit("R13").alias("rule"), F.lit("fail").alias("severity"), told.alias("detail")
+    )
+
+
 def summary(found: DataFrame) -> DataFrame:
     """Violations counted by rule, with the first of each as an example."""
     return found.groupBy("rule", "severity").agg(

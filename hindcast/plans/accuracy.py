@@ -34,7 +34,7 @@ def report(matched: DataFrame, brands: Iterable[str] | DataFrame | None = None)
     by_month = accuracy.fa_by_month(chosen)
     bias = accuracy.brand_bias(chosen)
     return AccuracyReport(
-        by_month,
+        by_month.orderBy("snop_month"),
         accuracy.fa_long(by_month),
         accuracy.fa_by_brand_month(chosen),
         accuracy.brand_order(chosen),

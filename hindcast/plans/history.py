@@ -2,23 +2,26 @@
 
 from __future__ import annotations
 
+import uuid
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 
 from hindcast.operators import grid, quality, waterfall
-from hindcast.sources.history import read_history_csv, write_history_csv
+from hindcast.sources.history import read_history_csv, read_history_parquet, write_history_csv, write_history_parquet
 from hindcast.sources.shared import settle
 from hindcast.sources.sheets import heads_of_chunks, heads_of_rows, read_workbooks
 
+FORMS = {"csv": (write_history_csv, read_history_csv), "parquet": (write_history_parquet, read_history_parquet)}
+
 
 class GridFolder:
     """What a folder of grids holds, all files parsed at once.
 
     Grids are given as chunks or as single rows. For one result the plan may run straight
     through. With ``settled`` each part that several results share is written when first
-    asked for: decoding then runs once, and the rows that are checked are the rows that
-    are used.
+    asked for: decoded chunks, the layout, the melt and the facts. Rows are a stored table
+    already and are not copied.
     """
 
     def __init__(
@@ -35,7 +38,7 @@ class GridFolder:
 
     @cached_property
     def source(self) -> DataFrame:
-        return self._keep(self._rows if self._chunks is None else self._chunks, "grid-source")
+        return self._rows if self._chunks is None else self._keep(self._chunks, "grid-source")
 
     @cached_property
     def layout(self) -> DataFrame:
@@ -80,11 +83,24 @@ def write_history(
     output: str,
     expected_files: int = quality.EXPECTED_FILES,
     tolerance: float = quality.TOLERANCE,
+    form: str = "csv",
 ) -> DataFrame:
-    """Check every file, and only if all pass, write the history; returns what was written."""
+    """Check every file, and only if all pass, write the history; returns what was written.
+
+    ``form`` is ``csv`` or ``parquet``, the latter with a folder for each calculation month.
+    Each run writes a folder of its own below ``output``, so the history before it stays whole
+    until the new one is, and readers of a folder never see half of one. What is read back is
+    checked for malformed month keys.
+    """
+    if form not in FORMS:
+        raise ValueError(f"form is one of {sorted(FORMS)}")
+    write, read = FORMS[form]
     quality.enforce(folder.violations(expected_files, tolerance))
-    write_history_csv(folder.history(), output)
-    return read_history_csv(folder.long.sparkSession, output)
+    path = f"{output.rstrip('/')}/history-{uuid.uuid4().hex}"
+    write(folder.history(), path)
+    history = read(folder.long.sparkSession, path)
+    quality.enforce(quality.month_key_violations(history))
+    return history
 
 
 def build_history(

@@ -19,23 +19,27 @@ WATERFALL = T.StructType(
 
 
 def write_history_csv(history: DataFrame, path: str) -> None:
-    """CSV files with a header, in output order over the whole folder."""
-    history.orderBy(*WATERFALL_ORDER).write.mode("overwrite").option("header", True).csv(path)
+    """CSV files with a header, in output order over the whole folder, into a folder that is new."""
+    history.orderBy(*WATERFALL_ORDER).write.option("header", True).csv(path)
 
 
 def read_history_csv(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(WATERFALL).option("header", True).option("mode", "FAILFAST").csv(path)
 
 
+def read_history_parquet(spark: SparkSession, path: str) -> DataFrame:
+    """The month keys stay text, though they stand in folder names."""
+    return spark.read.schema(WATERFALL).parquet(path).select(*WATERFALL.names)
+
+
 def write_history_parquet(history: DataFrame, path: str) -> None:
-    """Parquet by calculation month; readers of some months skip the others.
+    """Parquet by calculation month, into a new folder; readers of some months skip the others.
 
     Rebalancing puts a month into few files and splits one that outgrows them.
     """
     (
         history.hint("rebalance", "calculation_month")
         .sortWithinPartitions("calculation_month", *WATERFALL_ORDER[:2])
-        .write.mode("overwrite")
-        .partitionBy("calculation_month")
+        .write.partitionBy("calculation_month")
         .parquet(path)
     )

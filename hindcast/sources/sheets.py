@@ -50,14 +50,14 @@ def list_files(spark: SparkSession, folder: str, pattern: str = "*.xlsx") -> Dat
     )
 
 
-def _chunks(content: bytes, file: str, sheet: str | None, drop_empty: bool) -> Iterator[dict]:
+def _chunks(content: bytes, file: str, sheet: str | None, drop_empty: bool, head_rows: int) -> Iterator[dict]:
     """Chunks of one sheet; one without rows when the sheet is absent or empty."""
     head: list[dict] = []
     held: list[dict] = []
     chunk = 0
     for row_idx, cells in sheet_rows(content, sheet, drop_empty):
         row = {"row_idx": row_idx, "cells": cells}
-        if row_idx < HEADER_ROWS:
+        if row_idx < head_rows:
             head.append(row)
         held.append(row)
         if len(held) == ROWS_PER_CHUNK:
@@ -73,8 +73,9 @@ def read_workbooks(
     sheet: str | None = GRID_SHEET,
     pattern: str = "*.xlsx",
     drop_empty: bool = True,
+    head_rows: int = HEADER_ROWS,
 ) -> DataFrame:
-    """Chunks of one sheet of every workbook below ``path``.
+    """Chunks of one sheet of every workbook below ``path``, each with the first ``head_rows``.
 
     One task decodes whole workbooks, which the format bounds at 1,048,576 rows each.
     A workbook without the sheet, or with an empty one, gives one chunk without rows,
@@ -84,7 +85,7 @@ def read_workbooks(
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for file, content in zip(batch["file"], batch["content"]):
-                for chunk in _chunks(content.as_py(), file.as_py(), sheet, drop_empty):
+                for chunk in _chunks(content.as_py(), file.as_py(), sheet, drop_empty, head_rows):
                     yield pa.RecordBatch.from_pylist([chunk], _ARROW_CHUNKS)
 
     return (
@@ -104,10 +105,13 @@ def heads_of_chunks(chunks: DataFrame) -> DataFrame:
 def heads_of_rows(rows: DataFrame) -> DataFrame:
     """The same from a table of `SHEET_ROWS`, such as grids stored by another job.
 
-    A file has at most six such rows, which is all that is gathered.
+    The first cells of each index are kept before rows are gathered, so that a file has six
+    of them at most, whatever its indices are.
     """
     return (
         rows.filter(F.col("row_idx") < HEADER_ROWS)
+        .groupBy("file", "row_idx")
+        .agg(F.min("cells").alias("cells"))
         .groupBy("file")
         .agg(F.array_sort(F.collect_list(F.struct("row_idx", "cells"))).alias("head"))
     )

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from hindcast.operators.matched import brand_of_product, monthly_actuals, typed_forecasts
+from hindcast.operators.matched import ACTUALS_HEADER, brand_of_product, monthly_actuals, typed_forecasts
 from hindcast.sources.sheets import named_columns, read_workbooks
 
 FORECASTS_CSV = T.StructType(
@@ -17,8 +17,7 @@ FORECASTS_CSV = T.StructType(
         T.StructField("fc_kl", T.DoubleType()),
     ]
 )
-# Header names after normalisation, and the header row of each sheet.
-ACTUALS_HEADER = ["parent_material_code", "month_year", "sec_vol_kl_mth_(billwise)"]
+# Header names of the hierarchy after normalisation, and each sheet's header row.
 ACTUALS_HEADER_ROW = 5
 HIERARCHY_HEADER = ["material_code", "material_desc", "material_group_code"]
 HIERARCHY_HEADER_ROW = 0
