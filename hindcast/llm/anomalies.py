@@ -178,7 +178,7 @@ def fit_rules(
         x = features(np.column_stack([c.to_numpy() for c in sample.columns]) if len(sample) else np.zeros((0, len(STATS))))
         forest = grow_forest(x, seed)
         if not len(x):
-            return QualityRules(forest, 1.0)
+            return QualityRules(forest, float("inf"))
         shared = docs.sparkSession.sparkContext.broadcast(forest)
 
         def bins(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -197,8 +197,9 @@ def fit_rules(
     kept_good = np.cumsum(good) / max(good.sum(), 1)
     kept_bad = np.cumsum(bad) / max(bad.sum(), 1)
     gain = np.where(kept_good >= keep_share, kept_good - kept_bad, -np.inf)
-    at = int(np.argmax(gain)) if bad.sum() and good.sum() else BINS - 1
-    return QualityRules(forest, (at + 1) / BINS)
+    if not bad.sum() or not good.sum():
+        return QualityRules(forest, float("inf"))
+    return QualityRules(forest, (int(np.argmax(gain)) + 1) / BINS)
 
 
 def apply_rules(docs: DataFrame, rules: QualityRules, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

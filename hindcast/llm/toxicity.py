@@ -36,11 +36,13 @@ class Linear:
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def fit_linear(index, sizes, earlier, target, n_features: int, penalty: float = 3e-4) -> Linear:
+def fit_linear(index, sizes, earlier, target, used: np.ndarray, penalty: float = 1e-3) -> Linear:
     """Logistic regression on sparse 0/1 rows and the ``earlier`` columns, by accelerated descent.
 
-    Both labels weigh the same in total, so that rare categories are learned too.
+    Only features marked in ``used`` get a weight. Both labels weigh the same in total, so that
+    rare categories are learned too.
     """
+    n_features = len(used)
     n = len(target)
     model = Linear(np.zeros(n_features), 0.0, np.zeros(earlier.shape[1]))
     positive = target.sum()
@@ -55,7 +57,7 @@ def fit_linear(index, sizes, earlier, target, n_features: int, penalty: float =
         model = Linear(state[:n_features], state[n_features], state[n_features + 1 :])
         error = (model.prob(index, sizes, earlier) - target) * weight
         grad = np.r_[np.bincount(index, weights=error[row], minlength=n_features), error.sum(), error @ earlier]
-        grad[:n_features] += penalty * state[:n_features] / n_features
+        grad[:n_features] = (grad[:n_features] + penalty * state[:n_features]) * used
         m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad**2
         state = state - 0.1 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-9)
     return Linear(state[:n_features], float(state[n_features]), state[n_features + 1 :])
@@ -92,16 +94,19 @@ def fit_chain(
     docs: DataFrame,
     labels: DataFrame,
     categories: list[str],
-    max_rows: int = 10_000,
+    max_rows: int = 20_000,
     max_words: int = 1000,
-    min_docs: int = 5,
+    min_docs: int = 3,
+    min_strength: float = 3.0,
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> Chain:
     """Train the chain on ``max_rows`` labelled documents at most, those whose ids hash lowest.
 
     Words are counted by category in Spark; each category brings the ``max_words`` words whose
-    presence tells most about it (at least ``min_docs`` documents). A later model is trained on
+    presence tells most about it: in ``min_docs`` documents at least, and ``min_strength``
+    standard deviations from what chance would give, so that words that say nothing are not
+    learned by heart. A later model is trained on
     earlier probabilities that come from models which did not see the row (``FOLDS`` folds by
     row order), so it does not trust them more than it may. The cut of a category is the one
     with the best F1 of such out-of-fold probabilities. Null labels count as 0; ids that are
@@ -130,14 +135,15 @@ def fit_chain(
         totals = sample.agg(F.count("*").alias("n"), *[F.sum(c).alias(c) for c in targets]).first()
         per_word = sample.mapInArrow(words, f"word binary, {longs}").groupBy("word")
         per_word = per_word.agg(F.count("*").alias("n"), *[F.sum(c).alias(c) for c in targets]).filter(F.col("n") >= min_docs)
-        chosen: set[bytes] = set()
+        chosen: list[set[bytes]] = []
         for c in targets:
-            y, n = F.lit(float(totals[c] or 0)), F.lit(float(totals["n"]))
+            y, n = F.lit(float(totals[c] or 0)), F.lit(float(max(totals["n"], 1)))
             expected = F.col("n") * y / n
             spread = F.sqrt(expected * (1 - y / n) * (1 - F.col("n") / n)) + 0.5
             told = per_word.select("word", (F.abs(F.col(c) - expected) / spread).alias("z"))
-            chosen.update(bytes(r["word"]) for r in told.orderBy(F.desc("z"), "word").limit(max_words).collect())
-        place = {w: i for i, w in enumerate(sorted(chosen))}
+            told = told.filter(F.col("z") >= min_strength)
+            chosen.append({bytes(r["word"]) for r in told.orderBy(F.desc("z"), "word").limit(max_words).collect()})
+        place = {w: i for i, w in enumerate(sorted(set().union(*chosen)))}
         chain = Chain(list(categories), place, [], [])
         shared = docs.sparkSession.sparkContext.broadcast(chain)
 
@@ -159,14 +165,15 @@ def fit_chain(
     index = np.asarray(lists.flatten()).astype(np.int64)
     fold = np.arange(n) % FOLDS
     unseen, fitted = np.zeros((n, 0)), np.zeros((n, 0))
-    for c in targets:
+    for c, words_of in zip(targets, chosen, strict=True):
+        used = np.array([w in words_of for w in place], bool)
         y = table[c].to_numpy().astype(float)
         out = np.zeros(n)
         for k in range(FOLDS):
             inside = fold != k
-            model = fit_linear(index[np.repeat(inside, sizes)], sizes[inside], unseen[inside], y[inside], len(place))
+            model = fit_linear(index[np.repeat(inside, sizes)], sizes[inside], unseen[inside], y[inside], used)
             out[~inside] = model.prob(index[np.repeat(~inside, sizes)], sizes[~inside], unseen[~inside])
-        chain.models.append(fit_linear(index, sizes, unseen, y, len(place)))
+        chain.models.append(fit_linear(index, sizes, unseen, y, used))
         chain.cuts.append(_best_cut(out, y))
         unseen = np.column_stack([unseen, out])
     return chain
