@@ -43,15 +43,11 @@ def _only(counts: DataFrame, middle: DataFrame, part: list[str]) -> DataFrame:
     return counts.join(middle, same).drop(*[f"_{c}" for c in part])
 
 
-def grouped_medians(df: DataFrame, keys: list[str], values: dict[str, Column]) -> DataFrame:
-    """Exact median of each of ``values`` per group of ``keys``; nulls are ignored.
+def value_ranks(df: DataFrame, keys: list[str], values: dict[str, Column]) -> DataFrame:
+    """Values in the part that holds the middle of each group and measure, with their numbers.
 
-    The built-in median keeps all distinct values of a group in one task's memory. Here rows
-    first become counts by value, which combine before they move. A histogram over
-    order-keeping buckets tells in which bucket the middle ranks lie; that bucket, 0.2 % wide,
-    is cut into ``PARTS`` equal parts, and a second histogram tells the part. Only values of
-    that part are ranked, so a task sees a 65,536th of the bucket, however near to each other
-    the values of a hot group lie.
+    ``before`` is how many values come before the part; ``low_rank`` and ``high_rank`` are the
+    middle ranks.
     """
     names = list(values)
     stacked = (
@@ -74,7 +70,21 @@ def grouped_medians(df: DataFrame, keys: list[str], values: dict[str, Column]) -
     found = found.withColumn("part", F.coalesce(narrow, F.lit(0).cast("bigint"))).drop("low", "high")
     middle = _middle(found, bucket, "part", F.first("before").over(Window.partitionBy(*bucket))).drop("low", "high")
     found = _only(found.drop("before", "low_rank", "high_rank"), middle, part)
+    return found
 
+
+def grouped_medians(df: DataFrame, keys: list[str], values: dict[str, Column]) -> DataFrame:
+    """Exact median of each of ``values`` per group of ``keys``; nulls are ignored.
+
+    The built-in median keeps all distinct values of a group in one task's memory. Here rows
+    first become counts by value, which combine before they move. A histogram over
+    order-keeping buckets tells in which bucket the middle ranks lie; that bucket, 0.2 % wide,
+    is cut into ``PARTS`` equal parts, and a second histogram tells the part. Only values of
+    that part are ranked, so a task sees a 65,536th of the bucket, however near to each other
+    the values of a hot group lie.
+    """
+    names, part = list(values), [*keys, "measure", "bucket", "part"]
+    found = value_ranks(df, keys, values)
     inside = Window.partitionBy(*part).orderBy("value").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     ranked = found.withColumn("last", F.col("before") + F.sum("n").over(inside) - 1)
     ranked = ranked.withColumn("first", F.col("last") - F.col("n") + 1)

@@ -7,7 +7,7 @@ import posixpath
 import re
 import zipfile
 from collections.abc import Iterator
-from datetime import datetime, timedelta
+from datetime import datetime, time, timedelta
 from decimal import Decimal
 from xml.etree import ElementTree
 
@@ -104,7 +104,7 @@ def _date(text: str, from_1904: bool) -> str:
     """ISO text of a day number, with the time of day if there is one."""
     start = datetime(1904, 1, 1) if from_1904 else datetime(1899, 12, 30)
     moment = start + timedelta(seconds=round(float(text) * 86400))
-    return moment.date().isoformat() if not moment.time() else moment.isoformat()
+    return moment.date().isoformat() if moment.time() == time() else moment.isoformat()
 
 
 def _from_1904(book: zipfile.ZipFile) -> bool:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from hindcast.functions.numeric import round_half_even
 from hindcast.operators import accuracy
+from hindcast.operators import median
 from hindcast.operators.median import grouped_medians
 
 MATCHED = "parent_code bigint, snop_month string, actual_kl double, oldest_fc double, latest_fc double, brand string"
@@ -149,6 +150,29 @@ def test_medians_against_brute_force(spark, seed):
     assert all(got[k].mv == pytest.approx(built_in[k], rel=1e-12, abs=1e-300) for k in groups)
 
 
+def test_median_of_values_close_together_is_cut_into_small_parts(spark):
+    n = 1_000_000
+    df = spark.range(n).select(F.lit("g").alias("k"), (1 + (F.col("id") * 7919 % n - n / 2) * 1e-9).alias("v"))
+    largest = median.value_ranks(df, ["k"], {"m": F.col("v")}).groupBy("k", "measure", "bucket", "part").count()
+    assert largest.agg(F.max("count")).first()[0] < 200
+    got = grouped_medians(df, ["k"], {"m": F.col("v")}).first().m
+    assert got == pytest.approx(1 - 0.5e-9, abs=1e-15)
+
+
+def test_medians_with_infinities(spark):
+    inf = float("inf")
+    rows = [("a", inf), ("a", inf), ("a", 1.0), ("b", -inf), ("b", 5.0), ("b", inf)]
+    got = grouped_medians(spark.createDataFrame(rows, "k string, v double"), ["k"], {"m": F.col("v")}).collect()
+    assert {r.k: r.m for r in got} == {"a": inf, "b": 5.0}
+
+
+def test_brand_order_counts_on_over_steps(spark):
+    rows = [(i, "2026-01-01", 10.0, 1.0, float(i % 7 * 5), f"b{i:02d}") for i in range(40)]
+    got = accuracy.brand_order(frame(spark, rows)).orderBy("position").collect()
+    assert [r.position for r in got] == list(range(41))
+    assert [(r.fa_latest, r.brand) for r in got[1:]] == sorted((r.fa_latest, r.brand) for r in got[1:])
+
+
 def test_invariants_on_random_rows(spark):
     rng = random.Random(5)
     rows = [

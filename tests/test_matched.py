@@ -101,7 +101,27 @@ def test_vintages_stay_a_hash_aggregate_and_the_join_reuses_their_partitioning(s
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     lines = text.splitlines()
-    assert any("HashAggregate" in line and "partial_min_by(fc_kl" in line for line in lines)
+    assert any("HashAggregate" in line and "partial_min_by(" in line for line in lines)
     assert "Cartesian" not in text and "NestedLoop" not in text
-    # Two aggregates by product and month, one by product, and the brand join by product.
-    assert text.count("Exchange hashpartitioning(parent_code") == 4
+    assert "SortAggregate" not in "".join(x for x in lines if "min_by" in x and "material" not in x and "brand" not in x)
+    # Forecasts by product, target and calculation month, then by product and target month;
+    # sales by product and month; brands by product; and the brand join by product.
+    assert text.count("Exchange hashpartitioning(parent_code") == 5
+
+
+@pytest.mark.parametrize("order", [1, -1])
+def test_forecasts_of_one_month_go_by_value(spark, order):
+    # The pair of values has one 32-bit hash.
+    rows = [(1, "2026-01-01", "2026-04-01", v) for v in (9.0, 5.0, 7.0)]
+    rows += [(2, "2026-01-01", "2026-04-01", v) for v in (3259.0, 275413.875)]
+    rows += [(3, "2026-01-01", "2026-04-01", v) for v in (4.0, None, 6.0)]
+    rows += [(4, "2026-01-01", "2026-04-01", 1.0), (4, "2026-02-01", "2026-04-01", None)]
+    rows += [(5, None, "2026-04-01", 2.0), (5, "2026-02-01", "2026-04-01", 8.0), (5, "2026-02-01", "2026-04-01", 3.0)]
+    got = matched.vintages(forecasts(spark, rows[::order])).collect()
+    assert {r.parent_code: (r.oldest_fc, r.latest_fc) for r in got} == {
+        1: (5.0, 9.0),
+        2: (3259.0, 275413.875),
+        3: (None, 6.0),
+        4: (1.0, None),
+        5: (2.0, 8.0),
+    }

@@ -54,6 +54,18 @@ def test_sums_agree_along_the_grid_path(spark):
     assert len(sums) == 1
 
 
+def test_every_line_is_in_the_grids(spark):
+    from hindcast import fixtures as fx
+
+    assert fx.ordered_lines(spark, SF_DIR).count() == fx.table(spark, SF_DIR, "lineitem").count()
+
+
+def test_file_facts_move_rows_once(spark):
+    """One wide shuffle of counts; what else moves has a row for each file."""
+    plan = entry.queries()["chunk_profile"](spark, SF_DIR)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("material_code") and plan.count("Aggregate [file") <= 8
+
+
 def test_matched_rows_are_unique(spark):
     df = entry.queries()["matched_frame"](spark, SF_DIR)
     assert df.groupBy("parent_code", "snop_month").count().filter("count > 1").count() == 0

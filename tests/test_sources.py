@@ -171,3 +171,58 @@ def test_history_round_trip(spark, tmp_path):
     parquet = spark.read.parquet(str(tmp_path / "pq")).filter("calculation_month = '2025-09'")
     assert parquet.count() == 1
     assert "PartitionFilters: [isnotnull(calculation_month" in parquet._jdf.queryExecution().toString()
+
+
+def test_number_formats_of_dates(tmp_path):
+    import io
+    import zipfile
+
+    from hindcast.sources.workbook import sheet_rows
+
+    path = tmp_path / "dated.xlsx"
+    write_workbook(path, {"s": [[45992, 45992.5, 7], [45992, 1, 45992]]})
+    styles = (
+        '<styleSheet xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"><numFmts count="2">'
+        '<numFmt numFmtId="170" formatCode="dd/mm/yyyy"/><numFmt numFmtId="171" formatCode="0.00 &quot;days&quot;"/></numFmts>'
+        '<cellXfs count="4"><xf numFmtId="0"/><xf numFmtId="14"/><xf numFmtId="170"/><xf numFmtId="171"/></cellXfs></styleSheet>'
+    )
+    out = io.BytesIO()
+    with zipfile.ZipFile(path) as book, zipfile.ZipFile(out, "w") as copy:
+        for name in book.namelist():
+            text = book.read(name).decode()
+            for cell, style in (("A1", 1), ("B1", 2), ("A2", 3)):
+                text = text.replace(f'r="{cell}"', f'r="{cell}" s="{style}"')
+            copy.writestr(name, text)
+        copy.writestr("xl/styles.xml", styles)
+    assert [c for _, c in sheet_rows(out.getvalue(), "s", True)] == [["2025-12-01", "2025-12-01T12:00:00", "7"], ["45992", "1", "45992"]]
+
+
+def test_each_history_has_a_folder_of_its_own(spark, tmp_path):
+    from workbooks import grid_folder, merged_header
+
+    from hindcast.operators import quality
+    from hindcast.plans.history import write_history
+
+    name = "S&OP_grid file_Nov-25 to Dec-25_circulation.xlsx"
+    rows = merged_header(["Nov", "Dec"]) + [["b", 11, "d", "m", "t", 1, 2], ["Grand Total", None, None, None, None, 1, 2]]
+    folder = grid_folder(spark, {name: rows}, "chunks")
+    for form in ("csv", "parquet"):
+        read = write_history(folder, str(tmp_path / form), 1, form=form)
+        again = write_history(folder, str(tmp_path / form), 1, form=form)
+        assert sorted(map(tuple, read.collect())) == sorted(map(tuple, again.collect()))
+        assert len(list((tmp_path / form).iterdir())) == 2
+    with pytest.raises(ValueError):
+        write_history(folder, str(tmp_path), 1, form="xml")
+    with pytest.raises(quality.QualityError):
+        write_history(folder, str(tmp_path / "none"), 2)
+    assert not (tmp_path / "none").exists()
+
+
+def test_malformed_month_keys_are_rule_13(spark):
+    from hindcast.operators import quality
+
+    rows = [("2026-01", "2026-02", 1, "d", 1.0), ("2026-13", "2026-02", 1, "d", 1.0), (None, "2026-2", 1, "d", 1.0)]
+    history = spark.createDataFrame(rows, "calculation_month string, snop_month string, parent_code long, parent_description string, qty double")
+    found = quality.month_key_violations(history).collect()
+    assert {r.detail for r in found} == {f"1 row(s) with the month key {k}" for k in ("2026-13", "None", "2026-2")}
+    assert {r.rule for r in found} == {"R13"}
