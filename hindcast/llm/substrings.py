@@ -16,10 +16,12 @@ from hindcast.sources.shared import settle
 WIDTH = 35
 # Words in the run whose hash decides under which anchor a window falls.
 ANCHOR = 8
-# Places of one anchor that one task may hold in automata.
-MOST_PLACES = 2000
+# Places of one anchor that one task may hold, and words of one automaton. An anchor with more
+# words still stays in its task, but as hashes of its windows, which take a tenth of the memory.
+MOST_PLACES = 200_000
+AUTOMATON_WORDS = 100_000
 # Anchored stretches for each shard, on average.
-PLACES_PER_SHARD = 20_000
+PLACES_PER_SHARD = 5_000
 _HIGH, _LOW = np.uint64(0xFFFFFFFF00000000), np.uint64(0xFFFFFFFF)
 _NO_WINDOW = np.uint64(0xFFFFFFFFFFFFFFFF)
 
@@ -200,6 +202,8 @@ def repeated_windows(pieces: list[bytes], width: int) -> dict[bytes, int]:
     times: dict[bytes, int] = {}
     for piece in pieces:
         times[piece] = times.get(piece, 0) + 1
+    if sum(map(len, times)) > 8 * AUTOMATON_WORDS:
+        return _counted_windows(times, width)
     words = {piece: np.frombuffer(piece, np.uint64).tolist() for piece in times}
     shard = SuffixAutomaton()
     for piece, n in times.items():
@@ -215,6 +219,26 @@ def repeated_windows(pieces: list[bytes], width: int) -> dict[bytes, int]:
     return out
 
 
+def _counted_windows(times: dict[bytes, int], width: int) -> dict[bytes, int]:
+    """The same for many words: windows by two hashes each, counted in arrays."""
+    pieces = list(times)
+    sizes = np.fromiter((len(p) // 8 for p in pieces), np.int64, len(pieces))
+    words, owner = np.frombuffer(b"".join(pieces), np.uint64), np.repeat(np.arange(len(pieces)), sizes)
+    one, two = window_hashes(words, width), window_hashes(mixed(words ^ _LOW), width)
+    inside = np.flatnonzero(owner[: len(one)] == owner[width - 1 :])
+    one, two, owner = one[inside], two[inside], owner[inside]
+    order = np.lexsort((two, one))
+    fresh = np.r_[True, (one[order][1:] != one[order][:-1]) | (two[order][1:] != two[order][:-1])]
+    kind = np.empty(len(order), np.int64)
+    kind[order] = np.cumsum(fresh) - 1
+    number = np.bincount(kind, weights=np.fromiter(times.values(), float, len(times))[owner])
+    hit = number[kind] > 1
+    place = inside - (np.cumsum(sizes) - sizes)[owner]
+    bits = np.zeros(len(pieces), np.int64)
+    np.bitwise_or.at(bits, owner[hit], np.int64(1) << place[hit])
+    return dict(zip(pieces, bits.tolist(), strict=True))
+
+
 def _judge(width: int):
     """One shard: an automaton for each anchor in it, through which its stretches stream."""
 
@@ -312,9 +336,10 @@ def cut_repeats(
     through it. A window falls under its lowest-hashing run of ``ANCHOR`` words. Anchors are
     counted over all texts, and only stretches under an anchor that comes twice are looked at
     again: all stretches of an anchor meet in one shard, whose suffix automaton tells by
-    matching statistics which windows occur twice. Anchors with over ``MOST_PLACES`` places are
-    not put into one task: their windows are counted by two 64-bit hashes, which Spark combines
-    before it moves them. Words are compared by a 64-bit hash each.
+    matching statistics which windows occur twice; if the different stretches of an anchor hold
+    over ``AUTOMATON_WORDS`` words, hashes of their windows are counted instead. Anchors with over
+    ``MOST_PLACES`` places are not put into one task at all: Spark counts their windows by two
+    64-bit hashes, which combine before they move. Words are compared by a 64-bit hash each.
 
     Null and empty texts have no words and nothing to remove. Rows with the same id and text are
     separate documents, so their windows repeat each other. Null ids stay. Other columns are not
