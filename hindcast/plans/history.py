@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from hindcast.operators import grid, quality, waterfall
 from hindcast.sources.history import read_history_csv, read_history_parquet, write_history_csv, write_history_parquet
-from hindcast.sources.shared import settle
+from hindcast.sources.shared import passing_tables, settle
 from hindcast.sources.sheets import heads_of_chunks, heads_of_rows, read_workbooks
 
 FORMS = {"csv": (write_history_csv, read_history_csv), "parquet": (write_history_parquet, read_history_parquet)}
@@ -106,5 +106,6 @@ def write_history(
 def build_history(
     spark: SparkSession, folder: str, output: str, expected_files: int = quality.EXPECTED_FILES
 ) -> DataFrame:
-    """`write_history` for a folder of workbooks."""
-    return write_history(GridFolder(read_workbooks(spark, folder), settled=True), output, expected_files)
+    """`write_history` for a folder of workbooks; leaves no other tables behind."""
+    with passing_tables(spark):
+        return write_history(GridFolder(read_workbooks(spark, folder), settled=True), output, expected_files)

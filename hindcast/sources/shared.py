@@ -2,19 +2,25 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 _SETTING = "spark.checkpoint.dir"
+_written: list[str] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
     """Folder named by ``spark.checkpoint.dir``.
 
     Only a local session may go without the setting; it then gets a temporary
-    folder. On a cluster a machine-local folder would be lost with its machine.
+    folder, which goes when Python ends. On a cluster a machine-local folder would be
+    lost with its machine.
     """
     folder = spark.conf.get(_SETTING, None) or spark.sparkContext.getCheckpointDir()
     if folder:
@@ -22,6 +28,7 @@ def shared_folder(spark: SparkSession) -> str:
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError(f"set {_SETTING} to a folder that every executor can reach")
     folder = tempfile.mkdtemp(prefix="hindcast-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
     spark.conf.set(_SETTING, folder)
     return folder
 
@@ -39,5 +46,19 @@ def settle(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = new_folder(spark, name)
+    _written.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+@contextmanager
+def passing_tables(spark: SparkSession) -> Iterator[None]:
+    """Remove the tables that `settle` writes inside, once what is made of them is written."""
+    first = len(_written)
+    try:
+        yield
+    finally:
+        for path in _written[first:]:
+            place = spark._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+        del _written[first:]

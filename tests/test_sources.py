@@ -226,3 +226,17 @@ def test_malformed_month_keys_are_rule_13(spark):
     found = quality.month_key_violations(history).collect()
     assert {r.detail for r in found} == {f"1 row(s) with the month key {k}" for k in ("2026-13", "None", "2026-2")}
     assert {r.rule for r in found} == {"R13"}
+
+
+def test_passing_tables_go(spark):
+    import os
+
+    from hindcast.sources.shared import passing_tables, settle, shared_folder
+
+    folder = shared_folder(spark).removeprefix("file:")
+    kept = settle(spark.range(3), "kept")
+    before = set(os.listdir(folder))
+    with passing_tables(spark):
+        assert settle(spark.range(5), "passing").count() == 5
+        assert set(os.listdir(folder)) > before
+    assert set(os.listdir(folder)) == before and kept.count() == 3
