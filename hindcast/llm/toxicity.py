@@ -114,9 +114,9 @@ def fit_chain(
     """
     marks = labels.filter(F.col(id_col).isNotNull()).groupBy(F.col(id_col).cast("long").alias("id"))
     marks = marks.agg(*[F.max(F.coalesce(F.col(c).cast("int"), F.lit(0))).alias(f"y{i}") for i, c in enumerate(categories)])
-    # The bound on labelled rows applies before the join, so little text is moved.
+    # The bound on labelled rows applies before the join, so they can be broadcast and no text moves.
     marks = marks.orderBy(F.xxhash64("id"), "id").limit(max_rows)
-    sample = _rows(docs, id_col, text_col).join(marks, F.col("doc_id") == F.col("id")).drop("id")
+    sample = _rows(docs, id_col, text_col).join(F.broadcast(marks), F.col("doc_id") == F.col("id")).drop("id")
     sample = sample.dropDuplicates(["doc_id"])
     targets = [f"y{i}" for i in range(len(categories))]
 
