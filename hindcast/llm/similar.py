@@ -16,13 +16,17 @@ from hindcast.sources.shared import settle
 SHINGLE = 5
 # Two sets of sizes a and b have a Jaccard similarity of 3/4 or more exactly if they differ in
 # at most (a + b) / 7 elements.
-PROFILE = 128
+# A set's profile counts its elements by class; there are as many classes as give each four to
+# eight elements, within these bounds, so that unrelated sets of any size differ by profile.
+CLASS_BITS = (4, 14)
 # Mean features in a partition for the largest sets of a level.
 FILL = 2.3
 SIGNATURES_PER_BUCKET = 1_000_000
 # Groups up to this size are compared in full at once.
 SMALL_GROUP = 4
 BLOCK_ROWS = 1024
+# Turns in which each set of a larger group is compared with a few from other classes.
+MERGE_TURNS, FEW = 3, 2
 # A shingle that comes this often in one block of texts may be a frequent one.
 OFTEN_IN_BLOCK = 4
 FREQUENT_SHARE, FREQUENT_LEAST, FREQUENT_MOST = 1 / 2000, 32, 4_000_000
@@ -67,11 +71,14 @@ def _set_hashes(grams: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return out
 
 
-def _profiles(grams: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """How many elements of each set fall into each of ``PROFILE`` classes (255 at most)."""
+def profiles(grams: np.ndarray, sizes: np.ndarray) -> list[bytes]:
+    """How many elements of each set fall into each of its classes, as 16-bit numbers."""
+    classes = 1 << np.clip(np.log2(np.maximum(sizes, 1)).astype(np.int64) - 2, *CLASS_BITS)
+    ends = np.cumsum(classes)
     owner = np.repeat(np.arange(len(sizes)), sizes)
-    at = owner * PROFILE + (mixed(grams) % np.uint64(PROFILE)).astype(np.int64)
-    return np.minimum(np.bincount(at, minlength=len(sizes) * PROFILE), 255).astype(np.uint8).reshape(-1, PROFILE)
+    at = (ends - classes)[owner] + (mixed(grams) & (classes[owner] - 1).astype(np.uint64)).astype(np.int64)
+    counts = np.minimum(np.bincount(at, minlength=int(classes.sum())), 65535).astype(np.uint16)
+    return [counts[e - c : e].tobytes() for e, c in zip(ends.tolist(), classes.tolist(), strict=True)]
 
 
 def _summaries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -83,7 +90,7 @@ def _summaries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         value, times = value[times >= OFTEN_IN_BLOCK], times[times >= OFTEN_IN_BLOCK]
         n, more = len(sizes), len(value)
         none = pa.nulls(more, pa.int64())
-        profile = [p.tobytes() for p in _profiles(grams, sizes)]
+        profile = profiles(grams, sizes)
         yield pa.RecordBatch.from_arrays(
             [
                 pa.concat_arrays([batch.column("doc_id"), none]),
@@ -263,42 +270,65 @@ def _meet(n_buckets: int):
     return meet
 
 
-def may_link(n_a: np.ndarray, n_b: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Whether sets of these sizes and profiles can link: profiles differ no more than sets do."""
-    apart = np.abs(a.astype(np.int16) - b.astype(np.int16)).sum(axis=1, dtype=np.int64)
-    return 7 * apart <= n_a + n_b
+def may_link(n_a: np.ndarray, n_b: np.ndarray, a: list[bytes], b: list[bytes]) -> np.ndarray:
+    """Whether sets of these sizes and profiles can link: profiles differ no more than sets do.
 
-
-def _profile_rows(column) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, PROFILE)
+    Classes are the lowest bits of a hash, so a longer profile folds onto a shorter one.
+    """
+    out = np.zeros(len(a), bool)
+    shape = np.array([len(x) for x in a], np.int64) << 32 | np.array([len(x) for x in b], np.int64)
+    for s in np.unique(shape):
+        rows = np.flatnonzero(shape == s)
+        for start in range(0, len(rows), BLOCK_ROWS):
+            part = rows[start : start + BLOCK_ROWS]
+            one, two = (
+                np.frombuffer(b"".join([side[i] for i in part]), np.uint16).reshape(len(part), -1).astype(np.int64) for side in (a, b)
+            )
+            least = min(one.shape[1], two.shape[1])
+            one, two = (x.reshape(len(part), -1, least).sum(axis=1) for x in (one, two))
+            out[part] = 7 * np.abs(one - two).sum(axis=1) <= n_a[part] + n_b[part]
+    return out
 
 
 def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         if batch.num_rows:
             n_x, n_y = batch.column("n_x").to_numpy(), batch.column("n_y").to_numpy()
-            can = may_link(n_x, n_y, _profile_rows(batch.column("p_x")), _profile_rows(batch.column("p_y")))
+            can = may_link(n_x, n_y, batch.column("p_x").to_pylist(), batch.column("p_y").to_pylist())
             yield batch.select(["x", "y"]).filter(pa.array(can))
 
 
-def _across(part: pa.Table) -> pa.Table:
-    """Pairs of one block pair of groups that lie in different classes and may link."""
-    sig, side = part["sig"].to_numpy(), part["side"].to_numpy()
-    same = part["same"][0].as_py()
-    name, label, n = part["name"].to_numpy(), part["label"].to_numpy(), part["n"].to_numpy()
-    profile = _profile_rows(part["profile"])
-    order = np.argsort(sig, kind="stable")
-    edges = np.flatnonzero(np.r_[True, sig[order][1:] != sig[order][:-1], True])
-    out = [np.zeros((0, 2), np.int64)]
-    for a, b in zip(edges[:-1], edges[1:], strict=True):
-        rows = order[a:b]
-        left, right = (rows, rows) if same else (rows[side[rows] == 0], rows[side[rows] == 1])
-        for i in left:
-            fit = right[(label[right] != label[i]) & ((name[right] > name[i]) | (not same))]
-            fit = fit[may_link(n[fit], n[i], profile[fit], profile[i : i + 1])] if len(fit) else fit
-            out.append(np.column_stack([np.minimum(name[fit], name[i]), np.maximum(name[fit], name[i])]))
-    pairs = np.unique(np.concatenate(out), axis=0)
-    return pa.table({"x": pairs[:, 0], "y": pairs[:, 1]})
+def _across(few: int | None, turn: int):
+    def across(part: pa.Table) -> pa.Table:
+        """Pairs of one block pair of groups that lie in different classes and may link.
+
+        With ``few``, that many for each set, and those that come first in an order of this
+        turn, so that the groups of a set mostly name the same ones.
+        """
+        sig, side = part["sig"].to_numpy(), part["side"].to_numpy()
+        same = part["same"][0].as_py()
+        name, label, n = part["name"].to_numpy(), part["label"].to_numpy(), part["n"].to_numpy()
+        profile = part["profile"].to_pylist()
+        order = np.lexsort((mixed(name.view(np.uint64) ^ np.uint64(turn)), sig))
+        edges = np.flatnonzero(np.r_[True, sig[order][1:] != sig[order][:-1], True])
+        out = [np.zeros((0, 2), np.int64)]
+        for a, b in zip(edges[:-1], edges[1:], strict=True):
+            rows = order[a:b]
+            left, right = (rows, rows) if same else (rows[side[rows] == 0], rows[side[rows] == 1])
+            for i in left:
+                fit = right[label[right] != label[i]]
+                if few is None and same:
+                    fit = fit[name[fit] > name[i]]
+                fit = fit[4 * np.minimum(n[fit], n[i]) >= 3 * np.maximum(n[fit], n[i])]
+                fit = fit if few is None else fit[: 4 * few]
+                if len(fit):
+                    fit = fit[may_link(n[fit], np.full(len(fit), n[i]), [profile[j] for j in fit], [profile[i]] * len(fit))]
+                fit = fit if few is None else fit[:few]
+                out.append(np.column_stack([np.minimum(name[fit], name[i]), np.maximum(name[fit], name[i])]))
+        pairs = np.unique(np.concatenate(out), axis=0)
+        return pa.table({"x": pairs[:, 0], "y": pairs[:, 1]})
+
+    return across
 
 
 def _linked(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -343,6 +373,7 @@ def components(edges: DataFrame) -> DataFrame:
         return pairs.groupBy("u").agg(F.min("v").alias("m"))
 
     edges = settle(edges.select(F.col("x").alias("u"), F.col("y").alias("v")).distinct(), "edges")
+    seen = None
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = smallest(both).withColumn("m", F.least("u", "m"))
@@ -350,10 +381,10 @@ def components(edges: DataFrame) -> DataFrame:
         low = smallest(large)
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v")
         small = small.unionByName(low.select("u", F.col("m").alias("v"))).distinct()
-        moved = settle(small, "edges")
-        if moved.exceptAll(edges).isEmpty() and edges.exceptAll(moved).isEmpty():
+        edges = settle(small, "edges")
+        before, seen = seen, edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20)"))).first()
+        if before == seen:
             break
-        edges = moved
     own = edges.select(F.col("v").alias("name")).distinct().withColumn("label", F.col("name"))
     return edges.select(F.col("u").alias("name"), F.col("v").alias("label")).unionByName(own)
 
@@ -371,8 +402,9 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     Every link is found: sets that link share a PartEnum signature (:func:`signatures`). Pairs
     of small groups, and each larger group's first set with all others, are held against size
     and profile, then compared exactly, for each set first with its smallest partner only. Where
-    a larger group then still lies in several classes, all pairs across classes are held against
-    the profiles, in blocks, and compared. Frequent shingles, which signatures leave out, are
+    a larger group then still lies in several classes, each of its sets is compared with a few
+    from other classes, some times over, which leaves near copies in one class; at last all pairs
+    across classes are held against the profiles, in blocks, and compared. Frequent shingles, which signatures leave out, are
     looked for by block; missing one costs time and no link.
     """
     spark = docs.sparkSession
@@ -433,25 +465,40 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         of = labels.select(F.col("name").alias(end), F.col("label").alias(f"of_{end}"))
         return pairs.join(of, end, "left").withColumn(f"of_{end}", F.coalesce(f"of_{end}", end))
 
-    apart = labelled(labelled(near, "x"), "y").filter("of_x <> of_y").select("x", "y").join(first, ["x", "y"], "left_anti")
-    groups = labelled(met.filter("is_group").select(F.col("x").alias("sig"), F.col("y").alias("name")).distinct(), "name")
-    split = groups.groupBy("sig").agg(F.count("*").alias("members"), F.min("of_name").alias("a"), F.max("of_name").alias("b"))
-    split = split.filter("a <> b").select("sig", (F.col("members") / BLOCK_ROWS).cast("int").alias("last"))
-    open_ = groups.join(split, "sig").join(sets.select("name", "n", "profile"), "name")
-    block = F.pmod(F.xxhash64("name", "sig"), F.col("last") + 1).cast("int")
-    open_ = open_.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), "last")))
-    open_ = open_.select(
-        F.when(F.col("last") == 0, F.pmod("sig", F.lit(shards))).otherwise(F.col("sig")).alias("part"),
-        F.least("block", "other").alias("low"),
-        F.greatest("block", "other").alias("high"),
-        (F.col("block") > F.col("other")).cast("int").alias("side"),
-        (F.col("block") == F.col("other")).alias("same"),
-        "sig", "name", F.col("of_name").alias("label"), "n", "profile",
-    )
-    crossing = open_.groupBy("part", "low", "high").applyInArrow(_across, "x long, y long").join(first, ["x", "y"], "left_anti")
-    rest = settle(apart.unionByName(crossing).distinct(), "rest")
-    links = links.unionByName(verified(rest, texts, shards))
-    labels = components(links)
+    groups_of = met.filter("is_group").select(F.col("x").alias("sig"), F.col("y").alias("name")).distinct()
+
+    def crossing(few: int | None, turn: int = 0) -> DataFrame:
+        """Pairs across classes of the larger groups that still lie in several."""
+        groups = labelled(groups_of, "name")
+        split = groups.groupBy("sig").agg(F.count("*").alias("members"), F.min("of_name").alias("a"), F.max("of_name").alias("b"))
+        split = split.filter("a <> b").select("sig", (F.col("members") / BLOCK_ROWS).cast("int").alias("last"))
+        open_ = groups.join(split, "sig").join(sets.select("name", "n", "profile"), "name")
+        block = F.pmod(F.xxhash64("name", "sig"), F.col("last") + 1).cast("int")
+        open_ = open_.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), "last")))
+        open_ = open_.select(
+            F.when(F.col("last") == 0, F.pmod("sig", F.lit(shards))).otherwise(F.col("sig")).alias("part"),
+            F.least("block", "other").alias("low"),
+            F.greatest("block", "other").alias("high"),
+            (F.col("block") > F.col("other")).cast("int").alias("side"),
+            (F.col("block") == F.col("other")).alias("same"),
+            "sig", "name", F.col("of_name").alias("label"), "n", "profile",
+        )
+        return open_.groupBy("part", "low", "high").applyInArrow(_across(few, turn), "x long, y long")
+
+    tested = first
+    for turn in range(1, MERGE_TURNS + 1):
+        some = settle(crossing(FEW, turn).distinct().join(tested, ["x", "y"], "left_anti"), "some")
+        if some.isEmpty():
+            break
+        links = settle(links.unionByName(verified(some, texts, shards)), "links")
+        tested = tested.unionByName(some)
+        labels = components(links)
+    apart = labelled(labelled(near, "x"), "y").filter("of_x <> of_y").select("x", "y")
+    rest = apart.unionByName(crossing(None)).distinct().join(tested, ["x", "y"], "left_anti")
+    rest = settle(rest, "rest")
+    if not rest.isEmpty():
+        links = links.unionByName(verified(rest, texts, shards))
+        labels = components(links)
 
     members = labelled(of_docs.select("doc_id", "text_hash", "n", F.col("set_hash").alias("name")), "name")
     first = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")

@@ -92,6 +92,22 @@ def test_linked_sets_share_a_signature():
     assert tried > 500
 
 
+def test_linked_sets_pass_by_profile():
+    rng = np.random.default_rng(6)
+    for _ in range(300):
+        a = int(rng.integers(1, 3000))
+        b = max(1, a + int(rng.integers(-a // 4 - 1, a // 3 + 2)))
+        shared = -(-3 * (a + b) // 7)
+        if shared <= min(a, b):
+            pool = rng.integers(0, 2**63, a + b - shared).astype(np.uint64)
+            sizes = np.array([a, b])
+            one, two = similar.profiles(np.r_[pool[:a], pool[:shared], pool[a:]], sizes)
+            assert similar.may_link(sizes[:1], sizes[1:], [one], [two])[0]
+    sets = rng.integers(0, 2**63, 20_000).astype(np.uint64)
+    one, two = similar.profiles(sets, np.array([10_000, 10_000]))
+    assert not similar.may_link(np.array([10_000]), np.array([10_000]), [one], [two])[0]
+
+
 def test_shingles_of_short_texts():
     grams, sizes = shingle_sets([b"", b"a b", b"A b", b"a b c d e f", b"x"], WordHashes())
     assert sizes.tolist() == [0, 1, 1, 2, 1]
