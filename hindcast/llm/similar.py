@@ -154,6 +154,12 @@ def signatures(grams: np.ndarray, sizes: np.ndarray, frequent: np.ndarray) -> tu
     return np.concatenate(out), np.concatenate(of)
 
 
+def _group_names(kept: np.ndarray, bucket: np.ndarray | int, n_buckets: int) -> np.ndarray:
+    """Names of the groups of signatures, from the five bytes that are packed of each and its bucket."""
+    kept = kept & np.uint64((1 << 40) - 1)
+    return (kept * np.uint64(n_buckets) + np.asarray(bucket).astype(np.uint64)).view(np.int64)
+
+
 def _buckets(shared, n_buckets: int):
     """Signatures of each block's different sets, packed for each bucket: five bytes of signature
     and two that name the set. Where a block has many sets under one signature, one stands for
@@ -182,7 +188,9 @@ def _buckets(shared, n_buckets: int):
         tag = own.astype(np.uint16)
         tag[starts[large]] |= np.uint16(_FLAG)
         spill = np.repeat(large, members)
-        x, y = np.repeat(sig[starts[large]].view(np.int64), members[large]), name[own[spill]]
+        group = sig[starts[large]]
+        group = _group_names(group // np.uint64(n_buckets), group % np.uint64(n_buckets), n_buckets)
+        x, y = np.repeat(group, members[large]), name[own[spill]]
         lead = np.repeat(name[own[starts[large]]], members[large])
         stay = ~spill
         stay[starts] = True
@@ -244,9 +252,10 @@ def _meet(n_buckets: int):
         marked = np.logical_or.reduceat(flag, starts)
         group = many & ((members > SMALL_GROUP) | marked)
         xs, ys, kinds = [], [], []
-        # Whole signatures name groups, so that those from blocks and from here are the same.
+        # Groups from blocks and from here have the same names, so that a set that one block
+        # has in a large group meets all those that other blocks have in a small one.
         inside = np.repeat(group, members)
-        xs.append((sig[inside] * np.uint64(n_buckets) + np.uint64(bucket["bucket"][0].as_py())).view(np.int64))
+        xs.append(_group_names(sig[inside], bucket["bucket"][0].as_py(), n_buckets))
         ys.append(name[inside])
         kinds.append(np.ones(len(ys[-1]), bool))
         for size in range(2, SMALL_GROUP + 1):

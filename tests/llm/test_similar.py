@@ -67,6 +67,36 @@ def test_against_brute_force(documents, monkeypatch, frequent, block):
     assert len(kept) - len(words) == sum(not (t or "").encode().split() for _, t in ROWS)
 
 
+def across_blocks():
+    """Rows of two blocks, each four times: dissimilar texts that share one signature, more than
+    four of them in the first block; one that is not its lead links to one of the second, by that
+    signature only. All shingles are frequent, so sets enumerate their lowest shingles."""
+    for turn in range(10_000):
+        part = [prose(1000 * turn + i, 8).split() for i in range(3)]
+        one, two = " ".join(part[0][1:]), " ".join(part[0])
+        few = [one, two]
+        for i in range(5):
+            rest = [prose(1000 * turn + 10 + 2 * i + j, 1) + str(i) for j in range(2)]
+            few.append(" ".join([rest[0], *part[0][1:6], rest[1]]))
+        grams, sizes = shingle_sets([t.encode() for t in few], WordHashes())
+        sig, own = signatures(grams, sizes, np.unique(grams))
+        of = [set(sig[own == i]) for i in range(len(few))]
+        names = similar._set_hashes(grams, sizes).view(np.int64)
+        if all(len(of[i] & of[j]) == 1 for i in range(len(few)) for j in range(i)) and names[0] > min(names[2:]):
+            first, second = [one, *few[2:]] * 4, [two] * 4 + [prose(7 + i, 30) for i in range(20)]
+            return list(enumerate(first + second))
+    raise AssertionError("no such texts")
+
+
+def test_large_group_of_one_block_meets_small_one_of_another(spark, monkeypatch):
+    monkeypatch.setattr(similar, "FREQUENT_LEAST", 4)
+    rows = across_blocks()
+    docs = spark.createDataFrame(spark.sparkContext.parallelize(rows, 2), "doc_id long, text string")
+    got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in similar_documents(docs).collect()), key=str)
+    assert got == brute(rows)
+    assert {c for i, _, c in got if i in (0, 24)} == {0}
+
+
 def test_no_rows(documents):
     docs = documents(ODD[:1]).limit(0)
     assert one_of_each(docs, similar_documents(docs)).count() == 0
