@@ -31,6 +31,9 @@ MERGE_TURNS, FEW = 3, 2
 OFTEN_IN_BLOCK = 4
 FREQUENT_SHARE, FREQUENT_LEAST, FREQUENT_MOST = 1 / 2000, 32, 4_000_000
 BROADCAST_ROWS = 1_000_000
+# Texts are compared in shards of so many bytes on average. The partners of one set are dealt over
+# 16 salts, or over more so that those under one salt have so many bytes on average.
+SHARD_BYTES, SALT_BYTES, SALTS = 16 << 20, 1 << 20, 16
 _HALF = np.uint64(32)
 _FLAG = 1 << 15
 
@@ -361,13 +364,31 @@ def _linked(left: pa.Table, right: pa.Table) -> pa.Table:
 
 
 def verified(pairs: DataFrame, texts: DataFrame, shards: int) -> DataFrame:
-    """The pairs whose texts link. Each text of x goes to each shard that has pairs of it once."""
-    shard = F.pmod(F.xxhash64("x", F.pmod("y", F.lit(16))), F.lit(shards))
+    """The pairs whose texts link. Each text of x goes to each shard that has pairs of it once.
+
+    There are at least ``shards`` shards. Their number grows with the bytes of text to compare,
+    and the number of those over which one x is spread with the bytes of its partners.
+    """
+    salted = _salted(pairs, texts, shards)
     of_y = texts.select(F.col("name").alias("y"), F.col("text").alias("y_text"))
-    salted = pairs.join(of_y, "y").select(shard.alias("y_shard"), "x", "y", "y_text")
-    needed = pairs.select(F.col("x").alias("name"), shard.alias("shard")).distinct()
-    with_x = texts.join(needed, "name")
-    return with_x.groupBy("shard").cogroup(salted.groupBy("y_shard")).applyInArrow(_linked, "x long, y long")
+    needed = salted.select(F.col("x").alias("name"), "shard").distinct()
+    with_y = salted.join(of_y, "y").select(F.col("shard").alias("y_shard"), "x", "y", "y_text")
+    with_x = texts.select("name", "text").join(needed, "name")
+    return with_x.groupBy("shard").cogroup(with_y.groupBy("y_shard")).applyInArrow(_linked, "x long, y long")
+
+
+def _salted(pairs: DataFrame, texts: DataFrame, shards: int) -> DataFrame:
+    """``x, y, shard`` of all pairs."""
+    sizes = texts.select(F.col("name").alias("y"), "bytes")
+    loads = settle(pairs.join(sizes, "y").groupBy("x").agg(F.sum("bytes").alias("bytes")), "loads")
+    total = loads.agg(F.sum("bytes")).first()[0] or 0
+    shards = max(shards, -(-total // SHARD_BYTES))
+    salts = F.ceil(F.col("bytes") / SALT_BYTES)
+    # At most one in SALTS * SALT_BYTES of text, so they are few.
+    hot = loads.filter(salts > SALTS).select("x", salts.alias("salts"))
+    spread = pairs.join(F.broadcast(hot), "x", "left")
+    salt = F.pmod("y", F.coalesce("salts", F.lit(SALTS)))
+    return spread.select("x", "y", F.pmod(F.xxhash64("x", salt), F.lit(shards)).alias("shard"))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -464,7 +485,7 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     keys = wanted.select("name", F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"))
     keys = F.broadcast(keys) if keys.count() <= BROADCAST_ROWS else keys
     same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_hash") == F.col("_hash"))
-    texts = settle(rows.join(keys, same).select("name", "text"), "texts")
+    texts = settle(rows.join(keys, same).select("name", "text", F.octet_length("text").alias("bytes")), "texts")
 
     first = near.groupBy("y").agg(F.min("x").alias("x")).select("x", "y")
     links = settle(verified(first, texts, shards), "links")

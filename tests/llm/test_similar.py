@@ -1,6 +1,7 @@
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from texts import ODD, prose
 
@@ -144,6 +145,23 @@ def test_shingles_of_short_texts():
     assert grams[0] == grams[1]
 
 
+def test_shards_of_one_set_grow_with_its_partners(spark, monkeypatch):
+    monkeypatch.setattr(similar, "SALT_BYTES", 200, raising=False)
+    monkeypatch.setattr(similar, "SHARD_BYTES", 2000, raising=False)
+    wide = 2**63 // 5000
+    rows = [(i * wide, f"{i:020d}", 20) for i in range(5000)]
+    texts = spark.createDataFrame(rows, "name long, text string, bytes long")
+    pairs = texts.filter("name > 0").selectExpr("0L AS x", "name AS y")
+
+    def gathered(left, right):
+        return pa.table({"x": [len(left)], "y": [len(right)]})
+
+    monkeypatch.setattr(similar, "_linked", gathered)
+    got = similar.verified(pairs, texts, 4).collect()
+    assert sum(r.y for r in got) == 4999
+    assert max(r.x for r in got) == 1 and 20 * max(r.y for r in got) <= 5 * 2000
+
+
 def test_components(spark):
     chain = [(i, i + 1) for i in range(1, 40)] + [(50, 51), (50, 52), (60, 50)]
     rows = components(spark.createDataFrame(chain, "x long, y long")).collect()
