@@ -4,19 +4,22 @@ from __future__ import annotations
 
 import re
 import string
-from collections.abc import Iterable, Iterator
-from functools import lru_cache
+from collections.abc import Callable, Iterable, Iterator, Sequence
+from functools import lru_cache, partial
 from heapq import heapify, heappop, heappush
-from itertools import chain, pairwise
+from itertools import chain, count, pairwise
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 
-from hindcast.llm.blocks import blocks, raw_texts
+from hindcast.llm.blocks import blocks, mixed, raw_texts
 
 CACHE = 400_000
+# Splits of a unit with up to so many dropped merges are remembered.
+KEPT_DROPS = 2
+DRAWS = 1024
 SPACE = "▁"
 _FULL = 1 << 64
 
@@ -53,11 +56,13 @@ class PieceModel:
         marked = rf"|(?<![^\W_])[{marks}]" if marks else ""
         self.units = re.compile(f"{SPACE}*[^{SPACE}\n](?:{plain}{marked})*|{SPACE}+|\n").findall
 
-    def encode_unit(self, unit: str, dropout: int, key: bytes) -> list[int]:
-        """Ids of one unit: merge by score, then from the left, leaving out dropped merges.
+    def encode_unit(self, unit: str, dropout: int = 0, key: bytes = b"", drops: Sequence[int] = (), gap_after: Callable[[], int] | None = None) -> tuple[int, list[int]]:
+        """Candidates and ids of one unit: merge by score, then from the left, without dropped merges.
 
         Candidates wait in an agenda. One that comes up while both its symbols still stand is
-        skipped if the hash of (key, unit, place, piece) is below ``dropout``.
+        counted, and skipped if its number is in ``drops`` or the hash of (key, unit, place,
+        piece) is below ``dropout``. With ``gap_after``, the number of candidates from one dropped
+        to the next, further ones are dropped from number ``drops[-1]`` on, which are added to ``drops``.
         """
         order, ids = self.order, self.ids
         symbols = list(unit)
@@ -66,14 +71,21 @@ class PieceModel:
         agenda = []
         for i in range(n - 1):
             piece = symbols[i] + symbols[i + 1]
-            if piece in order:
-                agenda.append((order[piece], i, i + 1, piece))
+            rank = order.get(piece)
+            if rank is not None:
+                agenda.append((rank, i, i + 1, piece))
         heapify(agenda)
         salt = key + unit.encode() if dropout else b""
+        met = 0
         while agenda:
             _, left, right, piece = heappop(agenda)
             if after[left] != right or symbols[left] is None or symbols[left] + (symbols[right] or "") != piece:
                 continue
+            met += 1
+            if met - 1 in drops:
+                if gap_after and met - 1 == drops[-1]:
+                    drops.append(met + gap_after())
+                continue
             if dropout and xxhash.xxh3_64_intdigest(b"%d %b %b" % (left, piece.encode(), salt)) < dropout:
                 continue
             symbols[left], symbols[right] = piece, None
@@ -96,7 +108,7 @@ class PieceModel:
                     out.extend(self.of_byte[b] for b in symbol.encode())
                 else:
                     out.append(i)
-        return out
+        return met, out
 
     def decode(self, ids: Iterable[int]) -> str:
         """The text whose encoding, under any dropout, is ``ids``."""
@@ -117,34 +129,114 @@ class _Units(dict):
     def __missing__(self, unit: str) -> list[int]:
         if len(self) >= CACHE:
             self.clear()
-        value = self[unit] = self.model.encode_unit(unit, self.dropout, self.key)
+        value = self[unit] = self.model.encode_unit(unit, self.dropout, self.key)[1]
         return value
 
 
+class _Drops:
+    """How many candidates pass before the next one dropped, again and again, from keyed hashes.
+
+    A hash below the k-th threshold, (1 - rate) ** k of all hashes, lets k candidates pass.
+    """
+
+    def __init__(self, dropout: float):
+        self.most = min(max(64, int(45 / dropout)), 65_536)
+        part, shares = float(_FULL), []
+        for _ in range(self.most):
+            part *= 1 - dropout
+            shares.append(min(int(part), _FULL - 1))
+        self.thresholds = np.array(shares[::-1], np.uint64)
+
+    def stream(self, key: int) -> Iterator[int]:
+        passed, start = 0, np.uint64(key)
+        for turn in count():
+            places = np.arange(turn * DRAWS, (turn + 1) * DRAWS, dtype=np.uint64)
+            hashes = mixed(mixed(mixed(start + mixed(places + np.uint64(1)))))
+            for gap in (self.most - np.searchsorted(self.thresholds, hashes, "right")).tolist():
+                passed += gap
+                if gap < self.most:
+                    yield passed
+                    passed = 0
+
+
+class _Splits(dict):
+    """Splits of the units met so far: candidates, ids and, by the next candidate dropped, further splits.
+
+    Forgets all of them when there are many.
+    """
+
+    def __init__(self, model: PieceModel, dropout: float):
+        self.model, self.drops, self.held = model, _Drops(dropout), 0
+
+    def keep(self, held: dict, at: str | int, split: tuple[int, list[int], dict]) -> None:
+        if self.held >= CACHE:
+            self.clear()
+            self.held = 0
+        held[at] = split
+        self.held += 1
+
+    def draw(self, key: int) -> Callable[[list[str]], Iterator[list[int]]]:
+        """Encodes the units of one text, part by part. Each candidate of each is dropped or not by itself."""
+        gap_after = self.drops.stream(key).__next__
+        gap = gap_after()
+
+        def encode(units: list[str]) -> Iterator[list[int]]:
+            nonlocal gap
+            for unit in units:
+                split = self.get(unit)
+                held, at, drops = self, unit, []
+                while split is not None and gap < split[0]:
+                    held, at = split[2], gap
+                    drops.append(gap)
+                    gap += 1 + gap_after()
+                    split = held.get(at)
+                if split is None:
+                    # One run tells this place's split, whatever else is dropped in it.
+                    known = len(drops)
+                    drops.append(gap)
+                    n, ids = self.model.encode_unit(unit, drops=drops, gap_after=gap_after)
+                    gap = drops[-1]
+                    if len(drops) == known + 1 <= KEPT_DROPS + 1:
+                        self.keep(held, at, (n, ids, {}))
+                else:
+                    n, ids, _ = split
+                gap -= n
+                yield ids
+
+        return encode
+
+
 class Encoder:
     """Encodes texts with one model, dropout rate and seed.
 
-    A text falls under one of ``variants`` keys, by hash of its name. Under one key a unit
-    (a word with the spaces before it) always splits alike, so its split is kept.
+    Every candidate merge of every place of a text is dropped by itself, by a draw keyed by the
+    seed, the name of the text, the text and the place. With ``variants``, a text falls under one
+    of so many keys instead, by hash of its name, and under one key a unit (a word with the
+    spaces before it) always splits alike.
     """
 
-    def __init__(self, model: PieceModel, dropout: float = 0.0, seed: int = 0, variants: int = 1):
+    def __init__(self, model: PieceModel, dropout: float = 0.0, seed: int = 0, variants: int | None = None):
         if not 0 <= dropout <= 1:
             raise ValueError("dropout is a rate from 0 to 1")
         self.model, self.seed = model, seed
         limit = min(int(dropout * _FULL), _FULL)
-        self.known = [_Units(model, limit, b"%d %d " % (seed, v)) for v in range(variants if limit else 1)]
+        self.splits = _Splits(model, dropout) if limit and variants is None else None
+        self.known = [_Units(model, limit, b"%d %d " % (seed, v)) for v in range(variants if limit and variants else 1)]
 
     def encode(self, text: str, name: str = "") -> list[int]:
         if not text:
             return []
-        of_unit = self.known[xxhash.xxh3_64_intdigest(name, self.seed & (_FULL - 1)) % len(self.known)].__getitem__
+        if self.splits is None:
+            at = xxhash.xxh3_64_intdigest(name, self.seed & (_FULL - 1)) % len(self.known)
+            of_units = partial(map, self.known[at].__getitem__)
+        else:
+            of_units = self.splits.draw(xxhash.xxh3_64_intdigest(f"{self.seed} {len(name)} {name} {text}"))
         # A space sign in the text itself is written as bytes, else it would come back as a space.
         first, *rest = (part.replace(" ", SPACE) for part in text.split(SPACE))
-        ids = list(chain.from_iterable(map(of_unit, self.model.units(SPACE + first))))
+        ids = list(chain.from_iterable(of_units(self.model.units(SPACE + first))))
         for part in rest:
             ids.extend(self.model.of_byte[b] for b in SPACE.encode())
-            ids.extend(chain.from_iterable(map(of_unit, self.model.units(part))))
+            ids.extend(chain.from_iterable(of_units(self.model.units(part))))
         return ids
 
 
@@ -153,14 +245,15 @@ def encode_pieces(
     path: str,
     dropout: float = 0.1,
     seed: int = 0,
-    variants: int = 1,
+    variants: int | None = None,
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> DataFrame:
     """Piece ids of every text under the SentencePiece BPE model at ``path``.
 
     Returns ``doc_id, n_pieces, ids, lossless``, one row for each input row; ``lossless``
-    says that decoding ``ids`` gives the text again. The same seed gives the same ids in every
+    says that decoding ``ids`` gives the text again. Merges are dropped anew at every place of every
+    text, unless ``variants`` are asked for (:class:`Encoder`). The same seed gives the same ids in every
     run, on any partitioning. Null texts have null ``ids``, no pieces and null ``lossless``;
     empty texts have no pieces. Rows with the same id and text are encoded alike; other columns
     are not read. The model must be at ``path`` on every executor.

@@ -1,3 +1,6 @@
+import random
+from collections import Counter
+
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -34,6 +37,31 @@ def test_dropout_varies_with_the_seed_only(piece_bpe):
     assert len(Encoder(model, 1.0).encode(text)) == len(text) + 1
 
 
+def test_a_word_splits_differently_from_place_to_place(documents, piece_bpe):
+    """In one text and over texts; each possible split as often as with a draw for each candidate."""
+    model, places = piece_model(piece_bpe), 20_000
+    ids = Encoder(model, 0.1, 1).encode("understanding\n" * places, "7")
+    splits = Counter(" ".join(model.bytes_of[i].decode() for i in ids).split("\n"))
+    rng, drawn = random.Random(3), Counter()
+    for _ in range(places):
+        drops, (n, _) = (), model.encode_unit("understanding")
+        at = 0
+        while at < n:
+            if rng.random() < 0.1:
+                drops = (*drops, at)
+                n = model.encode_unit("understanding", drops=drops)[0]
+            at += 1
+        drawn[" ".join(model.bytes_of[i].decode() for i in model.encode_unit("understanding", drops=drops)[1])] += 1
+    common = {k.strip(): v for k, v in drawn.most_common(8)}
+    found = Counter()
+    for k, v in splits.items():
+        found[k.strip()] += v
+    assert len(splits) > 20
+    assert all(abs(found[k] - v) < 5 * (2 * v) ** 0.5 for k, v in common.items())
+    rows = encode_pieces(documents([(i, "understanding tokenization") for i in range(60)]), piece_bpe, 0.1, 1).collect()
+    assert len({tuple(r.ids) for r in rows}) > 5 and all(r.lossless for r in rows)
+
+
 def test_rate_out_of_range(piece_bpe):
     with pytest.raises(ValueError):
         Encoder(piece_model(piece_bpe), 1.5)
