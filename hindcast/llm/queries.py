@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hindcast.llm import anomalies, decontaminate, languages, licenses, pieces, secrets, similar, substrings, tokens, toxicity
+from hindcast.llm import anomalies, decontaminate, languages, licenses, pieces, secrets, similar, substrings, tokens, toxicity, whitening
 
 DROPOUT, SEED = 0.1, 20240229
+COMPONENTS = 32
 
 
 def vocabulary(name: str) -> str:
@@ -79,6 +80,13 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return anomalies.apply_rules(docs, anomalies.fit_rules(docs, labels))
 
 
+def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    fit = whitening.fit_whitening(vectors)
+    error = fit.identity_error(COMPONENTS) if fit else 0.0
+    return whitening.whiten(vectors, fit, COMPONENTS).withColumn("identity_error", F.lit(error))
+
+
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_sentencepiece": op2_sentencepiece,
@@ -90,4 +98,5 @@ QUERIES = {
     "op8_decontamination": op8_decontamination,
     "op9_secret_scan": op9_secret_scan,
     "op10_quality_rules": op10_quality_rules,
+    "op13_embedding_whitening": op13_embedding_whitening,
 }
