@@ -38,17 +38,17 @@ _HALF = np.uint64(32)
 _FLAG = 1 << 15
 
 
-def shingle_sets(texts: list[bytes], words_of: WordHashes) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct shingle hashes of each text, sorted, one text after another; and their numbers."""
+def shingle_sets(texts: list[bytes], words_of: WordHashes, width: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct hashes of shingles of ``width`` words of each text, sorted, one text after another; and their numbers."""
     words = [t.lower().split() for t in texts]
     sizes = np.fromiter(map(len, words), np.int64, len(words))
     hashes = words_of.sequence([w for x in words for w in x])
     owner = np.repeat(np.arange(len(words)), sizes)
-    grams = window_hashes(hashes, SHINGLE)
-    inside = owner[: len(grams)] == owner[SHINGLE - 1 :] if len(grams) else np.zeros(0, bool)
+    grams = window_hashes(hashes, width)
+    inside = owner[: len(grams)] == owner[width - 1 :] if len(grams) else np.zeros(0, bool)
     grams, owner = grams[inside], owner[: len(inside)][inside]
     ends = np.cumsum(sizes)
-    short = np.flatnonzero((sizes > 0) & (sizes < SHINGLE))
+    short = np.flatnonzero((sizes > 0) & (sizes < width))
     whole = [window_hashes(hashes[ends[i] - sizes[i] : ends[i]], int(sizes[i]))[0] ^ np.uint64(sizes[i]) for i in short]
     grams = np.r_[grams, np.array(whole, np.uint64)]
     owner = np.r_[owner, short]
