@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hindcast.llm.blocks import WordHashes, blocks, mixed, raw_texts
 from hindcast.llm.similar import components, shingle_sets
+from hindcast.operators.spread import spread_join
 from hindcast.sources.shared import settle
 
 WIDTH = 4
@@ -18,21 +20,21 @@ WIDTH = 4
 SHARE = 80
 # Minwise values of each set, 32 bits each; the trees branch on the first ROOTS of them at their
 # roots and on the others further down.
-COORDINATES, TREES, ROOTS = 64, 16, 20
+COORDINATES, TREES, ROOTS = 72, 24, 30
 # Chance that a branching takes a second coordinate: 1 / 0.8 of them on average, so that a pair of
 # similarity 0.8 is expected in one child of each node it is in.
 SECOND = 1 / 4
 # Sets that agree in fewer coordinates than this are not compared: a pair of similarity 0.8 agrees in
-# 51 on average, and in fewer than 36 with a chance of 1e-5 or less.
-AGREE = 36
+# 58 on average, and in fewer than 43 with a chance of 2e-5.
+AGREE = 43
 # A node is compared exhaustively if it has this many sets at most beside those of its largest class.
-SMALL = 32
+SMALL = 128
 BLOCK = 1024
 # Nodes that are still larger after so many levels are compared exhaustively in blocks.
 DEPTH = 30
-BUCKET_ROWS = 200_000
-# Rows that one key of a join may have in one task, at least, and how many keys may have more.
-KEY_ROWS, HOT_KEYS = 2000, 100_000
+# Before, each set is held against the others of as large a random part of its nodes, so many times.
+SAMPLE, SAMPLES = 64, 2
+BUCKET_ROWS = 100_000
 BROADCAST_BYTES = 64 << 20
 _HALF = np.uint64(32)
 _SEEDS = mixed(mixed(np.arange(1, COORDINATES + 1, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03)))
@@ -147,7 +149,7 @@ def _compare(bucket: pa.Table) -> pa.Table:
             others, agree = others[agree > 0], agree[agree > 0]
             found.append((np.full(len(others), rows[i]), others, agree))
     one, two, agree = (np.concatenate(c) for c in zip(*found, strict=True))
-    return pa.table({"one": name[one], "two": name[two], "label_one": label[one], "label_two": label[two], "agree": agree.astype(np.int64)})
+    return pa.table({"one": name[one], "two": name[two], "label_two": label[two], "agree": agree.astype(np.int64)})
 
 
 def _agreeing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -171,24 +173,6 @@ def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.select(["x", "y"]).filter(pa.array(fit))
 
 
-def spread_join(left: DataFrame, right: DataFrame, key: str, by: Column, how: str = "inner") -> DataFrame:
-    """Join rows with one row for each key, where a few keys may have most rows.
-
-    Keys with over ``KEY_ROWS`` rows are dealt over that many places by ``by``, and their row of
-    ``right`` goes to each place. At most ``HOT_KEYS`` keys are dealt; they are broadcast.
-    """
-    loads = settle(left.groupBy(key).agg(F.count("*").alias("_rows")).filter(F.col("_rows") > KEY_ROWS), "loads")
-    total = loads.agg(F.sum("_rows")).first()[0] or 0
-    if not total:
-        return left.join(right, key, how)
-    most = max(KEY_ROWS, -(-total // HOT_KEYS))
-    hot = loads.filter(F.col("_rows") > most).select(key, F.ceil(F.col("_rows") / most).cast("int").alias("_places"))
-    places = F.coalesce("_places", F.lit(1))
-    dealt = left.join(F.broadcast(hot), key, "left").withColumn("_place", F.pmod(F.xxhash64(by), places).cast("int")).drop("_places")
-    copies = right.join(F.broadcast(hot), key, "left").withColumn("_place", F.explode(F.sequence(F.lit(0), places - 1))).drop("_places")
-    return dealt.join(copies, [key, "_place"], how).drop("_place")
-
-
 class _Sets:
     """The corpus's different sets: ``facts`` of all documents, and one row for each set."""
 
@@ -242,13 +226,24 @@ def _classed(members: DataFrame, labels: DataFrame | None) -> DataFrame:
     return settle(classed.join(open_, "node"), "open")
 
 
-def _with_leads(nodes: DataFrame, level: int) -> DataFrame:
-    """For each set the lead of another class that it meets in most nodes; leads are drawn anew at each level."""
-    draw = F.struct(F.xxhash64("name", F.lit(level)).alias("draw"), "name", "label")
-    leads = nodes.groupBy("node").agg(F.min(draw).alias("lead")).select("node", F.col("lead.name").alias("lead"), F.col("lead.label").alias("of_lead"))
+def _with_leads(nodes: DataFrame) -> DataFrame:
+    """For each set the lead (the least set) of another class that it meets in most nodes."""
+    leads = nodes.groupBy("node").agg(F.min(F.struct("name", "label")).alias("lead")).select("node", F.col("lead.name").alias("lead"), F.col("lead.label").alias("of_lead"))
     often = nodes.join(leads, "node").filter("label <> of_lead").groupBy("name", "lead").agg(F.count("*").alias("n"))
     top = often.groupBy("name").agg(F.max(F.struct("n", "lead")).alias("top"))
-    return top.select(F.least("name", "top.lead").alias("x"), F.greatest("name", "top.lead").alias("y")).distinct()
+    return top.select(F.col("top.lead").alias("x"), F.col("name").alias("y"))
+
+
+def _sampled(nodes: DataFrame, turn: int) -> DataFrame:
+    """Each node's rows dealt into small groups."""
+    last = F.floor((F.col("most") + F.col("others") - 1) / SAMPLE)
+    part = F.xxhash64("node", F.pmod(F.xxhash64("name", "node", F.lit(turn)), last + 1))
+    return nodes.select(part.alias("part"), (F.col("label") != F.col("main")).alias("few"), F.lit(True).alias("own"), "name", "label")
+
+
+def _likely(found: DataFrame, *of: str) -> DataFrame:
+    """For each set (and each class beside its own) the set that it agrees with most."""
+    return found.groupBy("one", *of).agg(F.max(F.struct("agree", "two")).alias("top")).select("one", F.col("top.two").alias("two"))
 
 
 def _apart(pairs: DataFrame, labels: DataFrame | None) -> DataFrame:
@@ -295,12 +290,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Other columns are not read. Texts with equal sets (by a 64-bit hash) are one set from the start.
 
     The trees of the chosen-path join are grown level by level for all sets at once: a node passes its
-    sets on by their minwise values at coordinates that it draws. Nodes of few sets are
-    compared exhaustively and grow no further; sets of one class need no comparison, so
-    at each level each set is first compared with the lead of another class that it meets most often, and a node counts as small if few
-    of its sets lie outside its largest class. Links are confirmed on whole sets. A pair of
-    similarity 0.8 is together in a small node below some root with a chance of 1 - 1e-13 if
-    that is the first level, and of 1 - 3e-5 after five more; other links of a class only add to it.
+    sets on by their minwise values at coordinates that it draws. Nodes of few sets are compared
+    exhaustively and grow no further. Sets of one class need no comparison, so each set is first
+    compared with the least set of the nodes that it meets most often, then with the likeliest one of
+    random parts of its nodes, and a node counts as small if few of its sets
+    lie outside its largest class. Links are confirmed on whole sets. A pair of similarity 0.8
+    is together in a small node below some root with a chance of 1 - 1e-21 if that is the first
+    level, and of 1 - 3e-5 after ten more; other links of a class only add to it.
     """
     sets = _Sets(docs, id_col, text_col)
     partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -321,27 +317,38 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             links = more if links is None else links.unionByName(more)
             labels = components(links)
 
+    def likely_links(groups: DataFrame, rows: int) -> DataFrame:
+        """Pairs of the groups' sets that lie in different classes and may link, by minwise values."""
+        rows_of = groups.join(sets.sets.select("name", "n", "sig"), "name")
+        buckets = max(rows // BUCKET_ROWS, partitions)
+        dealt = rows_of.withColumn("bucket", F.pmod("part", F.lit(buckets))).groupBy("bucket")
+        return settle(dealt.applyInArrow(_compare, "one long, two long, label_two long, agree long"), "found")
+
+    def ends(found: DataFrame) -> DataFrame:
+        return found.select(F.least("one", "two").alias("x"), F.greatest("one", "two").alias("y")).distinct()
+
+    members = _classed(members, labels)
+    compare(sets.agreeing(_with_leads(members)))
+    for turn in range(SAMPLES):
+        members = _classed(members, labels)
+        compare(ends(_likely(likely_links(_sampled(members, turn), members.count()))))
+    apart: list[DataFrame] = []
     for level in range(DEPTH + 1):
         nodes = _classed(members, labels)
-        compare(sets.agreeing(_with_leads(nodes, level)))
-        nodes = _classed(nodes, labels)
         small = F.col("others") <= SMALL
         groups = _groups(nodes.filter(small), False)
         if level == DEPTH:
             groups, small = groups.unionByName(_groups(nodes.filter(~small), True)), F.lit(True)
-        groups = groups.join(sets.sets.select("name", "n", "sig"), "name")
-        buckets = max(nodes.count() // BUCKET_ROWS, partitions)
-        found = groups.withColumn("bucket", F.pmod("part", F.lit(buckets))).groupBy("bucket")
-        found = settle(found.applyInArrow(_compare, "one long, two long, label_one long, label_two long, agree long"), "found")
-        # For each set and each class beside its own the likeliest one first, then all that lie apart.
-        likely = found.groupBy("one", "label_two").agg(F.max(F.struct("agree", "two")).alias("top")).select("one", F.col("top.two").alias("two"))
-        for turn in (likely, found):
-            compare(turn.select(F.least("one", "two").alias("x"), F.greatest("one", "two").alias("y")).distinct())
+        apart.append(likely_links(groups, nodes.count()))
         large = nodes.filter(~small)
         if large.isEmpty():
             break
         rows = large.select("node", "name").join(sets.sets.select("name", "sig"), "name")
         members = _met(rows.select("node", "name", "sig").mapInArrow(_branches, "node long, name long"))
+    # The likeliest pairs first, then all that still lie apart.
+    found = reduce(DataFrame.unionByName, apart)
+    compare(ends(_likely(found, "label_two")))
+    compare(ends(found))
 
     return _classes(sets.facts, labels)
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hindcast.llm import anomalies, chosen_paths, decontaminate, languages, licenses, pieces, secrets, similar, substrings, tokens, toxicity, whitening
+from hindcast.llm import anomalies, chosen_paths, decontaminate, languages, licenses, pieces, prefix_trie, secrets, similar, substrings, tokens, toxicity, whitening
 
 DROPOUT, SEED = 0.1, 20240229
 COMPONENTS = 32
@@ -80,6 +80,10 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return anomalies.apply_rules(docs, anomalies.fit_rules(docs, labels))
 
 
+def op11_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_trie(table(spark, sf_dir, "conversations")).drop("enter_at", "exit_at")
+
+
 def op12_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chosen_paths.near_duplicates(table(spark, sf_dir, "documents")).drop("text_hash")
 
@@ -102,6 +106,7 @@ QUERIES = {
     "op8_decontamination": op8_decontamination,
     "op9_secret_scan": op9_secret_scan,
     "op10_quality_rules": op10_quality_rules,
+    "op11_conversation_trie": op11_conversation_trie,
     "op12_minhash_near_dedup": op12_minhash_near_dedup,
     "op13_embedding_whitening": op13_embedding_whitening,
 }

@@ -7,6 +7,7 @@ from texts import ODD, SF_DIR, prose
 
 from hindcast.llm import chosen_paths, queries
 from hindcast.llm.chosen_paths import near_duplicates
+from hindcast.operators import spread
 
 UPPER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -86,7 +87,7 @@ def test_deep_trees_and_blocks(documents, monkeypatch, limits):
     """Texts that share much and do not link, with nodes of hardly any sets and few levels."""
     for name, value in zip(("SMALL", "DEPTH", "BLOCK"), limits, strict=True):
         monkeypatch.setattr(chosen_paths, name, value)
-    monkeypatch.setattr(chosen_paths, "KEY_ROWS", 3)
+    monkeypatch.setattr(spread, "KEY_ROWS", 3)
     rng = random.Random(5)
     shared = prose(1, 150)
     rows = [(i, shared + " " + prose(100 + i, 40)) for i in range(60)]
@@ -105,7 +106,7 @@ def test_agreement_estimates_similarity():
         salt = rng.integers(0, 1 << 63, 1, dtype=np.uint64)
         sig = chosen_paths.minwise(np.r_[one ^ salt, two ^ salt], np.array([900, 900]))
         rates.append((sig[0] == sig[1]).sum())
-    assert abs(np.mean(rates) - 64 * 0.8) < 2 and min(rates) >= chosen_paths.AGREE
+    assert abs(np.mean(rates) - chosen_paths.COORDINATES * 0.8) < 2 and min(rates) >= chosen_paths.AGREE
 
 
 def test_dropping_copies(documents):
