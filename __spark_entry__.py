@@ -15,7 +15,7 @@ from hindcast import fixtures as fx
 from hindcast.operators import accuracy, grid, matched, quality, waterfall
 from hindcast.plans.history import GridFolder, write_history
 from hindcast.sources.history import read_history_csv, write_history_csv
-from hindcast.sources.shared import new_folder
+from hindcast.sources.shared import new_folder, settle
 from hindcast.sources.sheets import named_columns
 from hindcast.sources.tables import ACTUALS_HEADER_ROW, HIERARCHY_HEADER, HIERARCHY_HEADER_ROW, read_forecasts
 
@@ -61,6 +61,10 @@ def _corpus() -> tuple[dict, dict]:
     return corpus.QUERIES | {"pipeline": corpus_pipeline.run}, sql
 
 
+def _bias(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return accuracy.brand_bias(settle(_chosen(spark, sf_dir), "matched"))
+
+
 def entry(spark: SparkSession) -> DataFrame:
     """Accuracy of the oldest and the latest forecast by month."""
     return accuracy.fa_by_month(_chosen(spark, SMALL)).orderBy("snop_month")
@@ -78,7 +82,7 @@ def _vintage_ties(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _chunked(spark: SparkSession, sf_dir: str) -> GridFolder:
     rows = fx.grid_rows(fx.grid_months(spark, sf_dir), fx.grid_lines(spark, sf_dir))
-    return GridFolder(chunks=fx.chunks_of(rows))
+    return GridFolder(chunks=fx.chunks_of(rows), settled=True)
 
 
 def _actuals_sheet(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -185,8 +189,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "brand_order": lambda s, d: accuracy.brand_order(_chosen(s, d)),
         "brand_list": lambda s, d: accuracy.brand_list(_matched(s, d)),
         "brand_filter": _brand_filter,
-        "brand_bias": lambda s, d: accuracy.brand_bias(_chosen(s, d)),
-        "top_brands": lambda s, d: accuracy.top_brands(accuracy.brand_bias(_chosen(s, d)), 5),
+        "brand_bias": _bias,
+        "top_brands": lambda s, d: accuracy.top_brands(_bias(s, d), 5),
         "grid_leaf": _grid_leaf,
         "grid_melt": lambda s, d: _folder(s, d).long,
         "grid_text_melt": _grid_text_melt,

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hindcast.functions.numeric import ieee_div, round_half_even, sum0, value_bucket
+from hindcast.functions.numeric import ieee_div, round_half_even, sum0
 from hindcast.operators.median import grouped_medians
+from hindcast.operators.spread import ranked
+from hindcast.sources.shared import settle
 
 # The two vintages, the label of the overall rows, the metrics of the
 # brand-by-month table and the number of brands a bias chart shows.
@@ -16,9 +18,6 @@ VINTAGES = ("oldest", "latest")
 ALL_BRANDS = "All brands"
 METRICS = ("fa_latest", "fa_oldest", "delta")
 TOP_BRANDS = 25
-# Steps per factor e of an accuracy, and a step number below all of them.
-BRAND_STEPS = 64
-BEFORE_STEPS = 1 << 40
 
 
 def brand_list(matched: DataFrame) -> DataFrame:
@@ -114,28 +113,24 @@ def heat_metric(by_brand_month: DataFrame, metric: str = "fa_latest") -> DataFra
 def brand_order(matched: DataFrame) -> DataFrame:
     """Display order of brands: the overall row first, then by accuracy of the latest vintage.
 
-    Equal accuracies go by name. Brands are ranked within steps of accuracy, to which the
-    brands of lower steps are added, so no task ranks all brands; the steps number some
-    hundreds, however many brands there are.
+    Equal accuracies go by name. Brands are put in order by ranges and numbered in their tasks,
+    so no window sees them; sums by brand are made once and written.
     """
-    step = F.coalesce(value_bucket(F.col("fa"), BRAND_STEPS), F.lit(-BEFORE_STEPS)).alias("step")
-    rated = fa(matched, ["brand"], "latest").select("brand", F.col("fa").alias("fa_latest"), step)
-    before = Window.orderBy("step").rowsBetween(Window.unboundedPreceding, -1)
-    steps = rated.groupBy("step").agg(F.count(F.lit(1)).alias("n"))
-    steps = steps.select("step", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
-    inside = Window.partitionBy("step").orderBy(F.asc_nulls_first("fa_latest"), "brand")
-    ranked = rated.join(steps, "step").select(
-        "brand", "fa_latest", (F.col("before") + F.row_number().over(inside)).cast("bigint").alias("position")
-    )
+    rated = settle(fa(matched, ["brand"], "latest").select("brand", F.col("fa").alias("fa_latest")), "rated")
+    numbered = ranked(rated, "position", F.asc_nulls_first("fa_latest"), "brand")
+    numbered = numbered.select("brand", "fa_latest", F.col("position") + 1)
     overall = matched.sparkSession.range(1).select(
         F.lit(ALL_BRANDS).alias("brand"), F.lit(None).cast("double").alias("fa_latest"), F.col("id").alias("position")
     )
-    return overall.unionByName(ranked)
+    return overall.unionByName(numbered.toDF("brand", "fa_latest", "position"))
 
 
 def brand_bias(matched: DataFrame) -> DataFrame:
     """Per brand, over product-months with a positive actual: volume, shares of forecasts
-    revised up and down, mean revision, and the median forecast-to-actual ratios."""
+    revised up and down, mean revision, and the median forecast-to-actual ratios.
+
+    Reads ``matched`` four times, some columns of it, so let that be a written table.
+    """
     sold = matched.filter(F.col("actual_kl") > 0)
     oldest, latest, actual = F.col("oldest_fc"), F.col("latest_fc"), F.col("actual_kl")
 

@@ -11,6 +11,8 @@ from hindcast.sources.shared import settle
 
 # Rows that one key of a join may have in one task, at least, and how many keys may have more.
 KEY_ROWS, HOT_KEYS = 2000, 100_000
+# What may be broadcast, as measured in text.
+BROADCAST_BYTES = 64 << 20
 # Rows that a task has numbered before it are kept in the low bits of its row numbers.
 _TASK_BITS = 33
 
@@ -36,6 +38,12 @@ def spread_join(left: DataFrame, right: DataFrame, keys: str | Sequence[str], by
     return dealt.drop("_places").join(copies.drop("_places"), [*keys, "_place"], how).drop("_place")
 
 
+def broadcast_small(table: DataFrame) -> DataFrame:
+    """A written table, marked for broadcast if its values measure ``BROADCAST_BYTES`` at most."""
+    size = table.agg(F.sum(F.octet_length(F.to_json(F.struct("*"))))).first()[0] or 0
+    return F.broadcast(table) if size <= BROADCAST_BYTES else table
+
+
 def in_order(df: DataFrame, *order: Column | str) -> DataFrame:
     """Rows in global order, spread over tasks by ranges, with ``_at`` growing along it.
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from hindcast.functions.numeric import round_half_even
 from hindcast.operators import accuracy
-from hindcast.operators import median
+from hindcast.operators import median, spread
 from hindcast.operators.median import grouped_medians
 
 MATCHED = "parent_code bigint, snop_month string, actual_kl double, oldest_fc double, latest_fc double, brand string"
@@ -186,3 +186,31 @@ def test_invariants_on_random_rows(spark):
     assert all(r.pct_revised_up + r.pct_revised_down <= 100.1 for r in accuracy.brand_bias(df).collect())
     same = accuracy.fa_by_month(df.withColumn("latest_fc", F.col("oldest_fc"))).collect()
     assert all(r.fa_oldest == r.fa_latest for r in same)
+
+
+def test_few_rows_are_shuffled_by_value(spark):
+    """Histograms come first; of the rows only those about the middle move, and the median stays exact."""
+    n = 300_000
+    df = spark.range(n).select(
+        F.when(F.col("id") % 3 == 0, F.lit("a")).otherwise(F.lit("hot")).alias("k"),
+        F.exp((F.col("id") * 7919 % n) / n * 4 - 2).alias("v"),
+    )
+    moved = median.middle_rows(df, ["k"], {"m": F.col("v")})
+    assert moved.count() < n / 100
+    plan = moved._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange hashpartitioning" not in plan and "BroadcastExchange" in plan
+    got = {r.k: r.m for r in grouped_medians(df, ["k"], {"m": F.col("v")}).collect()}
+    built_in = {r.k: r.m for r in df.groupBy("k").agg(F.median("v").alias("m")).collect()}
+    assert got == {k: pytest.approx(v, rel=1e-12) for k, v in built_in.items()}
+
+
+def test_medians_without_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(spread, "BROADCAST_BYTES", 0)
+    df = spark.createDataFrame([(k, float(v)) for k in "ab" for v in range(k == "a", 50)], "k string, v double")
+    assert {r.k: r.m for r in grouped_medians(df, ["k"], {"m": F.col("v")}).collect()} == {"a": 25.0, "b": 24.5}
+
+
+def test_brand_order_uses_no_window(spark):
+    rows = [(i, "2026-01-01", 10.0, 1.0, float(i % 7), f"b{i:02d}") for i in range(40)]
+    plan = accuracy.brand_order(frame(spark, rows))._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan
