@@ -8,8 +8,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from hindcast.functions.months import month_key, month_key_date
-from hindcast.functions.numeric import is_number, sum0
+from hindcast.functions.numeric import is_number
 from hindcast.functions.text import joined_or_none
+from hindcast.operators.exact import exact_sums
 
 # Files a complete folder holds, and the tolerance of the totals check.
 EXPECTED_FILES = 16
@@ -24,18 +25,15 @@ class QualityError(RuntimeError):
 def reconcile(long: DataFrame, totals: DataFrame) -> DataFrame:
     """Per file: the largest difference between a month's melted sum and its total.
 
-    A month on one side only counts as 0 on the other. Both sides pass one aggregate,
-    which gives the result of a full outer join without joining.
+    A month on one side only counts as 0 on the other. Both sides pass one exact sum, the
+    totals with their sign changed, which gives the result of a full outer join without joining;
+    its bits do not depend on how many rows there are in which order, so the tolerance is that of the
+    sheets' own numbers at any size.
     """
-    melted = long.select("file", "snop_month", "qty", F.lit(0.0).alias("gt"))
-    stated = totals.select("file", "snop_month", F.lit(0.0).alias("qty"), "gt")
-    return (
-        melted.unionByName(stated)
-        .groupBy("file", "snop_month")
-        .agg(sum0(F.col("qty")).alias("s"), sum0(F.col("gt")).alias("gt"))
-        .groupBy("file")
-        .agg(F.max(F.abs(F.col("s") - F.col("gt"))).alias("max_abs_diff_vs_grand_total"))
-    )
+    melted = long.select("file", "snop_month", F.col("qty").alias("left"))
+    stated = totals.select("file", "snop_month", (-F.col("gt")).alias("left"))
+    sums = exact_sums(melted.unionByName(stated), ["file", "snop_month"], F.col("left"), "left")
+    return sums.groupBy("file").agg(F.max(F.abs("left")).alias("max_abs_diff_vs_grand_total"))
 
 
 def offenders(checked: DataFrame, tolerance: float = TOLERANCE) -> DataFrame:
