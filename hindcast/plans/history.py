@@ -8,7 +8,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 
 from hindcast.operators import grid, quality, waterfall
-from hindcast.sources.history import read_history_csv, read_history_parquet, write_history_csv, write_history_parquet
+from hindcast.sources.history import STAGING, read_history_csv, read_history_parquet, staged, write_history_csv, write_history_parquet
 from hindcast.sources.shared import passing_tables, settle
 from hindcast.sources.sheets import heads_of_chunks, heads_of_rows, read_workbooks
 
@@ -89,18 +89,20 @@ def write_history(
 
     ``form`` is ``csv`` or ``parquet``, the latter with a folder for each calculation month.
     Each run writes a folder of its own below ``output``, so the history before it stays whole
-    until the new one is, and readers of a folder never see half of one. What is read back is
-    checked for malformed month keys.
+    until the new one is, and readers of a folder never see half of one. It is written to a
+    hidden folder first and read back to check it for malformed month keys; only if it passes does it
+    get its name, by one rename. If it does not, nothing is left.
     """
     if form not in FORMS:
         raise ValueError(f"form is one of {sorted(FORMS)}")
     write, read = FORMS[form]
     quality.enforce(folder.violations(expected_files, tolerance))
-    path = f"{output.rstrip('/')}/history-{uuid.uuid4().hex}"
-    write(folder.history(), path)
-    history = read(folder.long.sparkSession, path)
-    quality.enforce(quality.month_key_violations(history))
-    return history
+    spark, name = folder.long.sparkSession, f"history-{uuid.uuid4().hex}"
+    output = output.rstrip("/")
+    with staged(spark, f"{output}/{STAGING}/{name}", f"{output}/{name}") as path:
+        write(folder.history(), path)
+        quality.enforce(quality.month_key_violations(read(spark, path)))
+    return read(spark, f"{output}/{name}")
 
 
 def build_history(

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
@@ -18,6 +21,35 @@ WATERFALL = T.StructType(
 )
 
 
+# Readers of a folder pass over names that begin with an underscore.
+STAGING = "_staging"
+
+
+@contextmanager
+def staged(spark: SparkSession, aside: str, place: str) -> Iterator[str]:
+    """A path to write to, which gets its place when the block ends well and is removed when it raises.
+
+    The rename is one step on a file system that has folders; readers see nothing of ``place`` before.
+    """
+    source, target = (spark._jvm.org.apache.hadoop.fs.Path(p) for p in (aside, place))
+    files = source.getFileSystem(spark._jsc.hadoopConfiguration())
+    try:
+        yield aside
+        if not files.rename(source, target):
+            raise OSError(f"{aside} could not be renamed to {place}")
+        _remove_if_empty(files, source.getParent())
+    except BaseException:
+        files.delete(source, True)
+        if files.exists(source.getParent()):
+            _remove_if_empty(files, source.getParent())
+        raise
+
+
+def _remove_if_empty(files, folder) -> None:
+    if not files.listStatus(folder):
+        files.delete(folder, False)
+
+
 def write_history_csv(history: DataFrame, path: str) -> None:
     """CSV files with a header, in output order over the whole folder, into a folder that is new."""
     history.orderBy(*WATERFALL_ORDER).write.option("header", True).csv(path)

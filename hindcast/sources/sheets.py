@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hindcast.functions.text import normal_name_col
+from hindcast.sources.csv_sheets import csv_chunks
 from hindcast.sources.workbook import sheet_rows
 
 _ROWS = "array<struct<row_idx:int,cells:array<string>>>"
@@ -117,39 +118,15 @@ def heads_of_rows(rows: DataFrame) -> DataFrame:
     )
 
 
-def read_csv_sheets(spark: SparkSession, path: str, pattern: str = "*.csv") -> DataFrame:
+def read_csv_sheets(spark: SparkSession, path: str, pattern: str = "*.csv", head_rows: int = HEADER_ROWS) -> DataFrame:
     """Chunks of sheets exported as CSV: quoted commas, doubled quotes and line breaks included.
 
-    A file is one record, so it has to fit a task; larger sources come as `SHEET_ROWS`.
+    A file is read by as many tasks as it has byte ranges (:func:`hindcast.sources.csv_sheets.csv_chunks`).
     Empty rows are dropped before rows are numbered, and empty cells are null.
     """
-    # A quoted stretch or plain text, repeated: an escaped quote reads as two stretches.
-    record = r'((?:[^"\n]++|"[^"]*+")++)'
-    field = r',((?:[^",]++|"[^"]*+")*+)'
-
-    def unquoted(cell: Column) -> Column:
-        bare = F.when(
-            cell.startswith('"') & cell.endswith('"') & (F.length(cell) >= 2),
-            F.replace(F.substr(cell, F.lit(2), F.length(cell) - 2), F.lit('""'), F.lit('"')),
-        ).otherwise(cell)
-        return F.nullif(bare, F.lit(""))
-
-    def cells(line: Column) -> Column:
-        return F.transform(F.regexp_extract_all(F.concat(F.lit(","), line), F.lit(field)), unquoted)
-
-    records = F.filter(
-        F.transform(F.regexp_extract_all("value", F.lit(record)), lambda r: F.regexp_replace(r, r"\r$", "")),
-        lambda r: r.rlike(r'[^,"\s]'),
-    )
-    return (
-        spark.read.option("pathGlobFilter", pattern)
-        .text(path, wholetext=True)
-        .select(
-            base_name(F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))).alias("file"),
-            F.transform(records, lambda r, i: F.struct(i.alias("row_idx"), cells(r).alias("cells"))).alias("rows"),
-        )
-        .select("file", F.lit(0).alias("chunk"), F.slice("rows", 1, HEADER_ROWS).alias("head"), "rows")
-    )
+    chunks = csv_chunks(spark, path, pattern, head_rows, ROWS_PER_CHUNK)
+    name = base_name(F.url_decode(F.replace(F.col("path"), F.lit("+"), F.lit("%2B"))))
+    return chunks.select(name.alias("file"), "chunk", "head", "rows")
 
 
 def named_columns(chunks: DataFrame, header_row: int, names: list[str]) -> DataFrame:

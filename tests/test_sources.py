@@ -70,6 +70,70 @@ def test_csv_sheet_quotes_commas_and_breaks(spark, tmp_path):
     ]
 
 
+@pytest.fixture
+def small_ranges(spark):
+    """Files are cut into ranges of some two hundred bytes."""
+    settings = {"spark.sql.files.maxPartitionBytes": "200", "spark.sql.files.openCostInBytes": "1"}
+    before = {k: spark.conf.get(k) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    yield
+    for k, v in before.items():
+        spark.conf.set(k, v)
+
+
+def as_csv(rows, end):
+    def cell(c):
+        return "" if c is None else '"' + c.replace('"', '""') + '"' if any(x in c for x in ',"\n\r') else c
+
+    return "".join(",".join(map(cell, row)) + end for row in rows)
+
+
+@pytest.mark.parametrize("broadcast", [True, False])
+def test_csv_sheets_over_many_ranges(spark, tmp_path, monkeypatch, small_ranges, broadcast):
+    """Cells with quotes and line breaks, some longer than several ranges, against Python's own reader."""
+    import csv
+    import io
+    import random
+
+    from hindcast.operators import spread
+    from hindcast.sources import sheets
+
+    if not broadcast:
+        monkeypatch.setattr(spread, "BROADCAST_BYTES", 0)
+    monkeypatch.setattr(sheets, "ROWS_PER_CHUNK", 4)
+    expected = {}
+    for file in range(4):
+        rng = random.Random(file)
+        plain = ["x", "plain", "7", "a,b", 'say "hi"', "line\nbreak", "é😀", "y" * 150]
+        rows = [[rng.choice([None, *plain]) for _ in range(rng.randint(1, 5))] for _ in range(rng.randint(30, 90))]
+        rows[10] = ["long", "\n".join(f'row {i}, "quoted"' for i in range(60))]
+        if file == 3:
+            rows[0] = ["\n" * 500 + "first", "1"]
+        text = as_csv(rows, "\r\n" if file % 2 else "\n")
+        (tmp_path / f"f{file}.csv").write_bytes(text.encode())
+        read = [[c or None for c in row] for row in csv.reader(io.StringIO(text, newline=""))]
+        kept = [row for row in read if any(c and c.strip() for c in row)]
+        expected |= {(f"f{file}.csv", i): row for i, row in enumerate(kept)}
+    (tmp_path / "empty.csv").write_text("\n,,\n")
+    chunks = read_csv_sheets(spark, str(tmp_path))
+    assert {(f, i): cells for f, i, cells in rows_of(chunks)} == expected
+    got = chunks.orderBy("file", "chunk").collect()
+    for name in {r.file for r in got}:
+        own = [r for r in got if r.file == name]
+        assert own[0].chunk == 0 and len({r.chunk for r in own}) == len(own)
+        assert all(r.head == own[0].head and len(r.rows) <= 4 for r in own)
+        assert [r.row_idx for r in own[0].head] == list(range(min(6, sum(len(r.rows) for r in own))))
+    assert [len(r.rows) for r in got if r.file == "empty.csv"] == [0]
+    assert len(got) > 60
+
+
+def test_a_quote_that_is_never_closed_raises(spark, tmp_path):
+    (tmp_path / "a.csv").write_text('a,b\n1,"x\n2,y\n')
+    with pytest.raises(Exception, match="never closed"):
+        read_csv_sheets(spark, str(tmp_path))
+
+
 def test_named_columns_follow_each_header(spark, tmp_path):
     write_workbook(tmp_path / "a.xlsx", {"s": [["title"], ["Key", "My-Value"], ["k1", 1]]})
     write_workbook(tmp_path / "b.xlsx", {"s": [["title"], ["My Value", "x", "KEY"], [2, "-", "k2"]]})
@@ -218,6 +282,25 @@ def test_each_history_has_a_folder_of_its_own(spark, tmp_path):
     assert not (tmp_path / "none").exists()
 
 
+def test_a_history_that_breaks_rule_13_is_never_seen(spark, tmp_path, monkeypatch):
+    from pyspark.sql import functions as F
+    from workbooks import grid_folder, merged_header
+
+    from hindcast.operators import quality
+    from hindcast.plans.history import GridFolder, write_history
+
+    name = "S&OP_grid file_Nov-25 to Dec-25_circulation.xlsx"
+    rows = merged_header(["Nov", "Dec"]) + [["b", 11, "d", "m", "t", 1, 2], ["Grand Total", None, None, None, None, 1, 2]]
+    folder = grid_folder(spark, {name: rows}, "chunks")
+    good = write_history(folder, str(tmp_path), 1)
+    history = GridFolder.history
+    monkeypatch.setattr(GridFolder, "history", lambda self: history(self).withColumn("snop_month", F.lit("2026-13")))
+    for form in ("csv", "parquet"):
+        with pytest.raises(quality.QualityError, match="R13"):
+            write_history(folder, str(tmp_path), 1, form=form)
+    assert len(list(tmp_path.iterdir())) == 1 and good.count() == 2
+
+
 def test_malformed_month_keys_are_rule_13(spark):
     from hindcast.operators import quality
 
