@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from hindcast.llm.blocks import WordHashes, blocks, mixed, raw_texts
 from hindcast.llm.similar import components, shingle_sets
-from hindcast.operators.spread import spread_join
+from hindcast.operators.spread import broadcast_small, spread_join
 from hindcast.sources.shared import settle
 
 WIDTH = 4
@@ -33,9 +33,9 @@ BLOCK = 1024
 # Nodes that are still larger after so many levels are compared exhaustively in blocks.
 DEPTH = 30
 # Before, each set is held against the others of as large a random part of its nodes, so many times.
-SAMPLE, SAMPLES = 64, 2
+SAMPLE, SAMPLES = 64, 1
 BUCKET_ROWS = 100_000
-BROADCAST_BYTES = 64 << 20
+BLOCK_BYTES = 2 << 20
 _HALF = np.uint64(32)
 _SEEDS = mixed(mixed(np.arange(1, COORDINATES + 1, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03)))
 _FACTORS = mixed(_SEEDS ^ np.uint64(0x2545F4914F6CDD1D)) | np.uint64(1)
@@ -51,9 +51,9 @@ def minwise(grams: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 
 
 def _facts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Size and name of each text's set; its elements and minwise values once in each block."""
+    """Size and name of each text's set; its minwise values, and their lowest bytes, once in each block."""
     words_of = WordHashes()
-    for batch in blocks(batches):
+    for batch in blocks(batches, BLOCK_BYTES):
         grams, sizes = shingle_sets(raw_texts(batch), words_of, WIDTH)
         ends = np.cumsum(sizes)
         name = np.zeros(len(sizes), np.uint64)
@@ -67,10 +67,9 @@ def _facts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chosen = np.zeros(len(sizes), bool)
         chosen[one] = True
         values = minwise(grams[np.repeat(chosen, sizes)], sizes[one])
-        kept, sig = [None] * len(sizes), [None] * len(sizes)
+        sig, sketch = [None] * len(sizes), [None] * len(sizes)
         for row, value in zip(one.tolist(), values, strict=True):
-            kept[row] = grams[ends[row] - sizes[row] : ends[row]].tobytes()
-            sig[row] = value.tobytes()
+            sig[row], sketch[row] = value.tobytes(), value.astype(np.uint8).tobytes()
         yield pa.RecordBatch.from_arrays(
             [
                 batch.column("doc_id"),
@@ -78,14 +77,24 @@ def _facts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 pa.array(sizes.astype(np.int64)),
                 pa.array(name.view(np.int64)),
                 pa.array(sig, pa.binary()),
-                pa.array(kept, pa.binary()),
+                pa.array(sketch, pa.binary()),
             ],
-            ["doc_id", "text_hash", "n", "name", "sig", "shingles"],
+            ["doc_id", "text_hash", "n", "name", "sig", "sketch"],
         )
 
 
-def _signatures(column: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint32).reshape(-1, COORDINATES)
+def _elements(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The whole sets of some texts, as sorted 64-bit hashes."""
+    words_of = WordHashes()
+    for batch in blocks(batches, BLOCK_BYTES):
+        grams, sizes = shingle_sets(raw_texts(batch), words_of, WIDTH)
+        ends = np.cumsum(sizes).tolist()
+        sets = [grams[end - size : end].tobytes() for end, size in zip(ends, sizes.tolist(), strict=True)]
+        yield pa.RecordBatch.from_arrays([batch.column("name"), pa.array(sets, pa.binary())], ["name", "shingles"])
+
+
+def _signatures(column: pa.Array, kind: type = np.uint32) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), kind).reshape(-1, COORDINATES)
 
 
 def _node(parent: np.ndarray, coordinate: np.ndarray, value: np.ndarray) -> np.ndarray:
@@ -135,7 +144,7 @@ def _compare(bucket: pa.Table) -> pa.Table:
     """
     group, few, own = (bucket[c].to_numpy() for c in ("part", "few", "own"))
     name, label, n = (bucket[c].to_numpy() for c in ("name", "label", "n"))
-    sig = _signatures(bucket["sig"].combine_chunks())
+    sig = _signatures(bucket["sketch"], np.uint8)
     order = np.lexsort((~few, group))
     edges = np.flatnonzero(np.r_[True, group[order][1:] != group[order][:-1], True])
     found: list[tuple[np.ndarray, ...]] = [(np.zeros(0, np.int64),) * 3]
@@ -156,7 +165,7 @@ def _agreeing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         if batch.num_rows:
             rows = batch.num_rows
-            sig = np.concatenate([_signatures(batch.column(c)) for c in ("sig_x", "sig_y")])
+            sig = np.concatenate([_signatures(batch.column(c), np.uint8) for c in ("sig_x", "sig_y")])
             n = np.concatenate([batch.column(c).to_numpy() for c in ("n_x", "n_y")])
             fit = may_link(n, sig, np.arange(rows), np.arange(rows, 2 * rows)) > 0
             yield batch.select(["x", "y"]).filter(pa.array(fit))
@@ -174,32 +183,33 @@ def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 class _Sets:
-    """The corpus's different sets: ``facts`` of all documents, and one row for each set."""
+    """The corpus's different sets: ``facts`` of all documents, and one row for each set with a document that has it."""
 
     def __init__(self, docs: DataFrame, id_col: str, text_col: str):
-        rows = docs.select(
+        self.rows = docs.select(
             F.col(id_col).cast("long").alias("doc_id"),
             F.xxhash64(F.col(text_col)).alias("text_hash"),
             F.col(text_col).cast("string").alias("text"),
         )
-        kinds = "doc_id long, text_hash long, n long, name long, sig binary, shingles binary"
-        self.facts = settle(rows.mapInArrow(_facts, kinds).withColumn("place", F.monotonically_increasing_id()), "facts")
-        sets = self.facts.filter("sig IS NOT NULL").select("name", "n", "sig", "place").dropDuplicates(["name"])
-        self.sets = settle(sets, "sets")
+        kinds = "doc_id long, text_hash long, n long, name long, sig binary, sketch binary"
+        self.facts = settle(self.rows.mapInArrow(_facts, kinds), "facts")
+        self.sets = settle(self.facts.filter("sig IS NOT NULL").dropDuplicates(["name"]), "sets")
 
     def agreeing(self, pairs: DataFrame) -> DataFrame:
         """Pairs ``x, y`` that may link by size and minwise values."""
         for end in ("y", "x"):
-            side = self.sets.select(F.col("name").alias(end), F.col("n").alias(f"n_{end}"), F.col("sig").alias(f"sig_{end}"))
+            side = self.sets.select(F.col("name").alias(end), F.col("n").alias(f"n_{end}"), F.col("sketch").alias(f"sig_{end}"))
             pairs = spread_join(pairs, side, end, F.col("x" if end == "y" else "y"))
         return settle(pairs.mapInArrow(_agreeing, "x long, y long"), "agreeing")
 
     def linked(self, pairs: DataFrame) -> DataFrame:
         """Those of the (settled) pairs ``x, y`` whose whole sets link."""
         ends = pairs.select(F.col("x").alias("name")).union(pairs.select("y")).distinct()
-        wanted = settle(ends.join(self.sets.select("name", "place"), "name"), "wanted")
-        known = F.broadcast(wanted) if wanted.count() * 16 <= BROADCAST_BYTES else wanted
-        elements = settle(self.facts.select("place", "shingles").join(known, "place").select("name", "shingles"), "elements")
+        known = self.sets.select("name", F.col("doc_id").alias("of_id"), F.col("text_hash").alias("of_text"))
+        wanted = broadcast_small(settle(ends.join(known, "name"), "wanted"))
+        same = F.col("doc_id").eqNullSafe(F.col("of_id")) & (F.col("text_hash") == F.col("of_text"))
+        elements = self.rows.join(wanted, same).select("name", "text").mapInArrow(_elements, "name long, shingles binary")
+        elements = settle(elements.dropDuplicates(["name"]), "elements")
         for end in ("y", "x"):
             side = elements.select(F.col("name").alias(end), F.col("shingles").alias(f"of_{end}"))
             pairs = spread_join(pairs, side, end, F.col("x" if end == "y" else "y"))
@@ -208,7 +218,6 @@ class _Sets:
 
 def _met(rows: DataFrame) -> DataFrame:
     """``node, name`` for all sets of nodes with two sets or more."""
-    rows = settle(rows, "rows")
     nodes = rows.groupBy("node").agg(F.count("*").alias("members")).filter("members > 1").select("node")
     return settle(rows.join(nodes, "node"), "members")
 
@@ -319,7 +328,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     def likely_links(groups: DataFrame, rows: int) -> DataFrame:
         """Pairs of the groups' sets that lie in different classes and may link, by minwise values."""
-        rows_of = groups.join(sets.sets.select("name", "n", "sig"), "name")
+        rows_of = groups.join(sets.sets.select("name", "n", "sketch"), "name")
         buckets = max(rows // BUCKET_ROWS, partitions)
         dealt = rows_of.withColumn("bucket", F.pmod("part", F.lit(buckets))).groupBy("bucket")
         return settle(dealt.applyInArrow(_compare, "one long, two long, label_two long, agree long"), "found")
