@@ -1,9 +1,11 @@
 """The operators that are DataFrame functions only: decontamination, secrets, licenses."""
 
 import hashlib
+import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 from texts import ODD, prose
 
 from hindcast.llm import decontaminate, licenses, queries, secrets
@@ -101,6 +103,43 @@ def test_secrets(documents):
     assert secrets.secret_scan(docs.limit(0)).count() == 0
 
 
+def test_secrets_of_texts_with_very_many(spark, documents):
+    """20,000 matches in a megabyte, each kind and opaque strings between them; and a clash of names."""
+    import time
+
+    rng = random.Random(1)
+    sha = lambda n: "".join(rng.choice("0123456789abcdef") for _ in range(n))
+    many = "\n".join(f"{sha(40)}  é{i}.py" for i in range(20_000))
+    mixed = " ".join(rng.choice([f"token={sha(12)}", "AKIA" + "Z7" * 8, sha(33), f"Qx{sha(24).upper()}", "plain"]) for _ in range(3000))
+    texts = [(1, many, None, "a"), (2, mixed, None, "a"), (3, "", None, "a")]
+    docs = documents(texts).withColumn("_id", F.lit(7)).withColumn("_new", F.lit("kept")).withColumn("_spans", F.lit("s"))
+    before = time.time()
+    scan = secrets.secret_scan(docs)
+    rows = {r.doc_id: r for r in secrets.scan_digest(scan).collect()}
+    masked = {r.doc_id: r for r in secrets.mask_secrets(docs, scan).collect()}
+    assert time.time() - before < 90
+    assert rows[1].n_hex == 20_000
+    for i, text, *_ in texts:
+        assert rows[i].base_sha256 == hashlib.sha256(base_spans(text).encode()).hexdigest()
+        spans = sorted(tuple(map(int, s.split(":")[1:])) for s in rows[i].spans.split(",") if s)
+        out, at = [], 0
+        for start, end in spans:
+            if start >= at:
+                out += [text[at:start], "[SECRET]"]
+            at = max(at, end)
+        assert masked[i].text == "".join(out) + text[at:]
+        assert (masked[i]._id, masked[i]._new, masked[i]._spans) == (7, "kept", "s")
+
+
+def test_ownership_uses_owners_and_repositories(spark):
+    rows = [("wide", f"o{i}", "r") for i in range(3)] + [("many", "o", f"r{i}") for i in range(50)]
+    rows += [("live", "o", f"r{i}") for i in range(49)] + [("two", "a", "r"), ("two", "b", "r"), ("none", None, None)] * 2
+    got = {r.value: (r.n_owners, r.n_repos, r.verdict) for r in secrets.ownership(spark.createDataFrame(rows, "value string, owner string, repo string")).collect()}
+    assert got == {
+        "wide": (3, 3, "example"), "many": (1, 50, "example"), "live": (1, 49, "live"), "two": (2, 2, "shared"), "none": (1, 1, "live"),
+    }
+
+
 def exact_licenses(text):
     def shingles(t):
         words = normal(t)
