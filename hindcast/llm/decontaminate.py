@@ -7,6 +7,7 @@ import string
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from hindcast.functions.text import let
 from hindcast.sources.shared import settle
 
 WIDTH = 10
@@ -131,27 +132,38 @@ def contamination(
     )
 
 
-def _with_result(docs: DataFrame, found: DataFrame, columns: list[str], how: str, id_col: str, text_col: str) -> DataFrame:
-    """Join each document with the result for its id and text (one row however often it is there)."""
-    found = found.filter("n_hit > 0").groupBy(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"))
-    found = found.agg(*[F.first(c).alias(f"_{c}") for c in columns] or [F.count("*").alias("_n")])
-    same = F.col(id_col).cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64(F.col(text_col)) == F.col("_hash"))
+_ID, _HASH, _SPANS = (f"__{c}_of_hits" for c in ("id", "hash", "spans"))
+
+
+def _with_result(docs: DataFrame, found: DataFrame, how: str, id_col: str, text_col: str) -> DataFrame:
+    """Join each document with the spans found for its id and text (one row however often it is there)."""
+    found = found.filter("n_hit > 0").groupBy(F.col("doc_id").alias(_ID), F.col("text_hash").alias(_HASH)).agg(F.first("spans").alias(_SPANS))
+    same = F.col(id_col).cast("long").eqNullSafe(F.col(_ID)) & (F.xxhash64(F.col(text_col)) == F.col(_HASH))
     return docs.join(found, same, how)
 
 
 def drop_contaminated(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents without any hit, with all their columns. ``found`` is what ``contamination`` gave."""
-    return _with_result(docs, found, [], "left_anti", id_col, text_col)
+    """The documents without any hit, with all their columns. ``found`` is what ``contamination`` gave.
+
+    Null and empty texts hold no hit and stay; null ids are equal to each other; repeated rows go or
+    stay together.
+    """
+    return _with_result(docs, found, "left_anti", id_col, text_col)
 
 
 def remove_spans(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """All documents, with the words of hits cut out of their texts; what stood between words stays."""
-    joined = _with_result(docs, found, ["spans"], "left", id_col, text_col)
+    """All documents, with the words of hits cut out of their texts; what stood between words stays.
+
+    Rows as in :func:`drop_contaminated`; null texts stay null.
+    """
     gaps = F.split(F.col(text_col), ANY_CASE_WORD, -1)
     words = F.regexp_extract_all(F.col(text_col), F.lit(ANY_CASE_WORD), F.lit(0))
-    hit = F.array_distinct(F.flatten(F.transform("_spans", lambda s: F.sequence(s["start"], s["start"] + s["width"] - 1))))
-    kept = F.transform(words, lambda w, i: F.when(F.array_contains("_hit", i + 1), F.lit("")).otherwise(w))
-    pairs = F.zip_with(gaps, kept, lambda g, w: F.concat(g, F.coalesce(w, F.lit(""))))
-    cut = joined.withColumn("_hit", hit)
-    text = F.when(F.col("_hit").isNull(), F.col(text_col)).otherwise(F.array_join(pairs, ""))
-    return cut.withColumn("_new", text).select(*[F.col("_new").alias(c) if c == text_col else F.col(c) for c in docs.columns])
+    hit = F.array_distinct(F.flatten(F.transform(_SPANS, lambda s: F.sequence(s["start"], s["start"] + s["width"] - 1))))
+
+    def cut(held: Column) -> Column:
+        kept = F.transform(words, lambda w, i: F.when(F.array_contains(held, i + 1), F.lit("")).otherwise(w))
+        return F.array_join(F.zip_with(gaps, kept, lambda g, w: F.concat(g, F.coalesce(w, F.lit("")))), "")
+
+    text = F.when(F.col(_SPANS).isNull(), F.col(text_col)).otherwise(let(hit, cut))
+    joined = _with_result(docs, found, "left", id_col, text_col)
+    return joined.select(*[text.alias(c) if c == text_col else F.col(c) for c in docs.columns])

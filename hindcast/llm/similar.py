@@ -549,11 +549,12 @@ def one_of_each(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text_
     """One document of each component, its lead; texts without words all stay.
 
     ``found`` is what :func:`similar_documents` gave for ``docs``. Of rows that repeat the lead's
-    id and text, any one stays.
+    id and text, any one stays; null ids and texts are equal to each other. All columns stay.
     """
-    leads = found.filter("is_lead").groupBy(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"))
-    leads = leads.agg(F.when(F.max("n_shingles") > 0, F.count("*")).otherwise(1).alias("_times"))
-    same = F.col(id_col).cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64(F.col(text_col)) == F.col("_hash"))
+    id_, hash_, times = (f"__{c}_of_lead" for c in ("id", "hash", "times"))
+    leads = found.filter("is_lead").groupBy(F.col("doc_id").alias(id_), F.col("text_hash").alias(hash_))
+    leads = leads.agg(F.when(F.max("n_shingles") > 0, F.count("*")).otherwise(1).alias(times))
+    same = F.col(id_col).cast("long").eqNullSafe(F.col(id_)) & (F.xxhash64(F.col(text_col)) == F.col(hash_))
     kept = docs.join(leads, same)
-    once = kept.filter("_times = 1").select(*docs.columns)
-    return once.unionByName(kept.filter("_times > 1").dropDuplicates(["_id", "_hash"]).select(*docs.columns))
+    once = kept.filter(F.col(times) == 1).select(*docs.columns)
+    return once.unionByName(kept.filter(F.col(times) > 1).dropDuplicates([id_, hash_]).select(*docs.columns))
