@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from hindcast.functions.months import month_index, month_number, month_window
 from hindcast.functions.numeric import is_non_numeric, is_number, lenient_double
 from hindcast.functions.text import joined_or_none, let, strip
+from hindcast.operators.spread import spread_join
 
 # The label of the totals row, the name of the code column, the two layout
 # labels and the file-name format.
@@ -23,8 +24,8 @@ CODE_COLUMN = "parent_code"
 MERGED = "merged names+months row"
 SEPARATE = "separate header rows"
 FILE_NAME = r"(?U)^S&OP_grid file_(\w{3})-(\d{2}) to (\w{3})-(\d{2})_circulation\.(?:xlsx|csv)\z"
-# Join keys over which the rows of one file are spread.
-SHARES = 16
+# Rows of one file under one join key, or a 100,000th of all rows if that is more.
+TASK_ROWS = 100
 
 
 def header_of(head: Column) -> Column:
@@ -166,20 +167,14 @@ def bound_chunks(chunks: DataFrame) -> DataFrame:
 def bound_rows(rows: DataFrame, layout: DataFrame) -> DataFrame:
     """Single sheet rows joined to the layout of their file.
 
-    Rows of a file are spread by material over several join keys, and its one layout row
-    is repeated for each, so that a file with very many rows does not meet in one task.
-    The join is not hinted: adaptive execution broadcasts the layout when its measured
-    size allows.
+    Rows are counted by file first. A file with over ``TASK_ROWS`` rows is dealt over as many join
+    keys as leave each about that many (or a 100,000th of all rows), and its one layout row goes to
+    each, so no file makes a large task. The join is not hinted: adaptive execution broadcasts the layout when its
+    measured size allows.
     """
-    share = F.pmod(F.hash(F.get("cells", F.lit(3))), F.lit(SHARES)).alias("_share")
-    bound = layout.filter(F.col("months").isNotNull()).select(
-        "file", "calc_month", "data_start", "months", F.explode(F.sequence(F.lit(0), F.lit(SHARES - 1))).alias("_share")
-    )
-    return (
-        rows.select("file", "row_idx", "cells", share)
-        .join(bound, ["file", "_share"])
-        .select("file", "calc_month", "data_start", "months", "row_idx", "cells")
-    )
+    bound = layout.filter(F.col("months").isNotNull()).select("file", "calc_month", "data_start", "months")
+    joined = spread_join(rows.select("file", "row_idx", "cells"), bound, "file", F.struct("row_idx", "cells"), key_rows=TASK_ROWS)
+    return joined.select("file", "calc_month", "data_start", "months", "row_idx", "cells")
 
 
 def data_rows(bound: DataFrame) -> DataFrame:
@@ -263,27 +258,38 @@ def grand_totals(bound: DataFrame) -> DataFrame:
 
 
 def material_counts(bound: DataFrame) -> DataFrame:
-    """Row and cell counts by (file, parent, material).
+    """Row and cell counts by (file, parent, material), with Grand Total rows on the way.
 
     Grouping by material first spreads a file with many rows over all tasks; what
-    remains per file afterwards is a sum of counts.
+    remains per file afterwards is a sum of counts. The cells of a Grand Total row, wherever it
+    stands, are a key of their own (``total``, null for all others), so that they move with the
+    counts and the aggregate stays one over hashes. Such a row with a parent code counts among
+    those of its material as well.
     """
     month_cells = F.transform("months", lambda m: F.get("cells", m["pos"]))
     parent = F.get("cells", F.lit(1))
+    below = F.col("row_idx") >= F.col("data_start")
+    stated = F.coalesce(F.get("cells", F.lit(0)) == GRAND_TOTAL, F.lit(False))
     leaf = parent.isNotNull()
     no_code = leaf & whole_number(parent).isNull()
+    none = F.lit(None).cast("array<string>")
+    keys = F.when(stated & leaf, F.array(none, "cells")).otherwise(F.array(F.when(stated, F.col("cells"))))
+    rows = bound.filter(below | stated).select("*", F.explode(keys).alias("total"))
+    counted = below & (F.col("total").isNull() | ~leaf)
     return (
-        data_rows(bound)
-        .select(
+        rows.select(
             "file",
             parent.alias("parent_code"),
             F.get("cells", F.lit(3)).alias("material_code"),
-            F.when(leaf, F.size(F.filter(month_cells, is_non_numeric))).otherwise(0).alias("bad_cells"),
-            (no_code & F.exists(month_cells, is_number)).alias("bad_parent"),
+            "total",
+            counted.alias("counted"),
+            F.when(counted & leaf, F.size(F.filter(month_cells, is_non_numeric))).otherwise(0).alias("bad_cells"),
+            (counted & no_code & F.exists(month_cells, is_number)).alias("bad_parent"),
         )
-        .groupBy("file", "parent_code", "material_code")
+        .groupBy("file", "parent_code", "material_code", "total")
         .agg(
-            F.count(F.lit(1)).alias("n_rows"),
+            F.count_if("counted").alias("n_rows"),
+            F.count_if(F.col("total").isNotNull()).alias("n_totals"),
             F.sum("bad_cells").alias("bad_cells"),
             F.count_if("bad_parent").alias("bad_parents"),
         )
@@ -300,8 +306,8 @@ def multi_row_materials(counts: DataFrame) -> DataFrame:
 def file_facts(bound: DataFrame, layout: DataFrame) -> DataFrame:
     """One row per file: its layout with row counts, flagged cells and the Grand Total row.
 
-    ``total_cells`` holds the month cells of that row, at most twelve. Rows are counted in one
-    pass and moved once, as counts; a second pass reads nothing but Grand Total rows.
+    ``total_cells`` holds the month cells of that row, at most twelve. Rows are read once and moved
+    once, as counts that carry the Grand Total rows along.
     """
     leaf = F.col("parent_code").isNotNull()
     several = leaf & (F.col("n_rows") > 1)
@@ -312,11 +318,8 @@ def file_facts(bound: DataFrame, layout: DataFrame) -> DataFrame:
         F.sum("bad_parents").alias("bad_parents"),
         F.count_if(several).alias("split_materials"),
         F.min(F.when(several, F.struct("parent_code", "material_code"))).alias("split_example"),
-    )
-    stated = (
-        bound.filter(F.get("cells", F.lit(0)) == GRAND_TOTAL)
-        .groupBy("file")
-        .agg(F.count(F.lit(1)).alias("grand_total_rows"), F.min("cells").alias("cells"))
+        F.sum("n_totals").alias("grand_total_rows"),
+        F.min("total").alias("cells"),
     )
     total_cells = F.transform(
         "months",
@@ -330,7 +333,6 @@ def file_facts(bound: DataFrame, layout: DataFrame) -> DataFrame:
     }
     return (
         layout.join(per_file, "file", "left")
-        .join(stated, "file", "left")
         .withColumns({**zero, "total_cells": total_cells, "issues": _issues()})
         .drop("cells")
     )

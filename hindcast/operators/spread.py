@@ -17,20 +17,23 @@ BROADCAST_BYTES = 64 << 20
 _TASK_BITS = 33
 
 
-def spread_join(left: DataFrame, right: DataFrame, keys: str | Sequence[str], by: Column, how: str = "inner") -> DataFrame:
+def spread_join(
+    left: DataFrame, right: DataFrame, keys: str | Sequence[str], by: Column, how: str = "inner", key_rows: int | None = None
+) -> DataFrame:
     """Join rows with one row for each key, where a few keys may have most rows of ``left``.
 
-    Keys with over ``KEY_ROWS`` rows are dealt over that many places by ``by``, and their row of
-    ``right`` goes to each place. At most ``HOT_KEYS`` keys are dealt, so they can be broadcast.
-    Null keys find nothing. ``left`` is read twice.
+    Keys with over ``key_rows`` rows (``KEY_ROWS``, unless given) are dealt over so many places by
+    ``by`` that each has about that many, and their row of ``right`` goes to each place. At most
+    ``HOT_KEYS`` keys are dealt, so they can be broadcast. Null keys find nothing. ``left`` is read twice.
     """
     keys = [keys] if isinstance(keys, str) else list(keys)
-    loads = left.groupBy(*keys).agg(F.count("*").alias("_rows")).filter(F.col("_rows") > KEY_ROWS)
+    key_rows = KEY_ROWS if key_rows is None else key_rows
+    loads = left.groupBy(*keys).agg(F.count("*").alias("_rows")).filter(F.col("_rows") > key_rows)
     loads = settle(loads, "loads")
     total = loads.agg(F.sum("_rows")).first()[0] or 0
     if not total:
         return left.join(right, keys, how)
-    most = max(KEY_ROWS, -(-total // HOT_KEYS))
+    most = max(key_rows, -(-total // HOT_KEYS))
     hot = loads.filter(F.col("_rows") > most).select(*keys, F.ceil(F.col("_rows") / most).cast("int").alias("_places"))
     places = F.coalesce("_places", F.lit(1))
     dealt = left.join(F.broadcast(hot), keys, "left").withColumn("_place", F.pmod(F.xxhash64(by), places).cast("int"))

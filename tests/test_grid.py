@@ -144,3 +144,37 @@ def test_chunks_bind_without_a_shuffle(spark):
     folder = grid_folder(spark, {A: merged_header(["Nov", "Dec", "Jan"])}, "chunks")
     plan = folder.long._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and "Join" not in plan and "Python" not in plan
+
+
+def test_grand_total_rows_anywhere_are_counted_on_the_way(spark):
+    """Above the data, with a parent code, and several of them, against the rows themselves."""
+    name = "S&OP_grid file_Nov-25 to Dec-25_circulation.xlsx"
+    rows = [["Grand Total", None, None, None, None, 5, 6], *merged_header(["Nov", "Dec"])]
+    rows += [["b", 11, "d", "m", "t", 1, 2], ["Grand Total", 11, "d", "m", "t", 3, 4], ["Grand Total", None, None, None, None, 1, 2]]
+    folder = grid_folder(spark, {name: rows}, "rows")
+    facts = folder.facts.first()
+    assert (facts.leaf_rows, facts.total_rows_dropped, facts.grand_total_rows, facts.split_materials) == (2, 1, 3, 1)
+
+
+def test_a_file_with_most_rows_is_dealt_over_counted_tasks(spark, monkeypatch):
+    from hindcast.operators import grid
+
+    monkeypatch.setattr(grid, "TASK_ROWS", 50)
+    rows = spark.range(3000).select(
+        F.when(F.col("id") % 3 == 0, F.concat(F.lit("f"), F.col("id") % 100)).otherwise("hot").alias("file"),
+        F.col("id").cast("int").alias("row_idx"),
+        F.array(F.lit("x"), F.col("id").cast("string")).alias("cells"),
+    )
+    layout = rows.select("file").distinct().select("file", F.lit("2025-01").alias("calc_month"), F.lit(0).alias("data_start"), F.array(F.lit(1)).alias("months"))
+    bound = grid.bound_rows(rows, layout)
+    assert bound.count() == 3000 and bound.select("row_idx").distinct().count() == 3000
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.shuffle.partitions", "200")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        sizes = [r["n"] for r in grid.bound_rows(rows, layout).groupBy(F.spark_partition_id().alias("p")).agg(F.count("*").alias("n")).collect()]
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "10485760")
+    assert sum(sizes) == 3000 and max(sizes) < 300
