@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hindcast.functions.text import let
+from hindcast.operators.spread import broadcast_small
 from hindcast.sources.shared import settle
 
 WIDTH = 10
@@ -136,10 +137,13 @@ _ID, _HASH, _SPANS = (f"__{c}_of_hits" for c in ("id", "hash", "spans"))
 
 
 def _with_result(docs: DataFrame, found: DataFrame, how: str, id_col: str, text_col: str) -> DataFrame:
-    """Join each document with the spans found for its id and text (one row however often it is there)."""
+    """Join each document with the spans found for its id and text (one row however often it is there).
+
+    What was found is written and its size measured: while it is small, texts stay where they are.
+    """
     found = found.filter("n_hit > 0").groupBy(F.col("doc_id").alias(_ID), F.col("text_hash").alias(_HASH)).agg(F.first("spans").alias(_SPANS))
     same = F.col(id_col).cast("long").eqNullSafe(F.col(_ID)) & (F.xxhash64(F.col(text_col)) == F.col(_HASH))
-    return docs.join(found, same, how)
+    return docs.join(broadcast_small(settle(found, "hits")), same, how)
 
 
 def drop_contaminated(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

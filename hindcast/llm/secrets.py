@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hindcast.functions.text import let
+from hindcast.operators.spread import broadcast_small
 from hindcast.sources.shared import settle
 
 ASSIGN = r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -235,7 +236,8 @@ def mask_secrets(docs: DataFrame, scan: DataFrame, id_col: str = "doc_id", text_
     """All documents with base and added spans replaced by ``MASK``; spans that overlap by one.
 
     Rows with the same id and text (nulls are equal) get the same result. A text is cut into as
-    many stretches as its spans need blocks, and only a stretch is searched for the place of a span.
+    many stretches as its spans need blocks, and only a stretch is searched for the place of a span. The
+    spans are written and measured: while they are small, texts stay where they are.
     """
     own = [f"__{c}_of_spans" for c in ("id", "hash", "found")]
     found = F.array_sort(F.concat("base", "added"))
@@ -283,4 +285,5 @@ def mask_secrets(docs: DataFrame, scan: DataFrame, id_col: str = "doc_id", text_
         return F.aggregate(blocks, start, block, lambda done: F.array_join(done["out"], ""))
 
     new = F.when(F.col(own[2]).isNull(), text).otherwise(let(F.col(own[2]), masked))
+    spans = broadcast_small(settle(spans, "spans"))
     return docs.join(spans, same, "left").select(*[new.alias(c) if c == text_col else F.col(c) for c in docs.columns])
