@@ -16,7 +16,7 @@ from hindcast.operators import accuracy, grid, matched, quality, waterfall
 from hindcast.plans.history import GridFolder, write_history
 from hindcast.sources.history import read_history_csv, write_history_csv
 from hindcast.sources.shared import new_folder, settle
-from hindcast.sources.sheets import named_columns
+from hindcast.sources.sheets import named_columns, read_csv_sheets
 from hindcast.sources.tables import ACTUALS_HEADER_ROW, HIERARCHY_HEADER, HIERARCHY_HEADER_ROW, read_forecasts
 
 SMALL = "/root/testdata/sf0.001"
@@ -90,6 +90,17 @@ def _actuals_sheet(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matched.monthly_actuals(named_columns(sheet, ACTUALS_HEADER_ROW, matched.ACTUALS_HEADER).drop("file"))
 
 
+def _actuals_csv_sheets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same from CSV files with line breaks and quotes in the header and in cells."""
+    raw, folder = fx.actuals_raw(spark, sf_dir), new_folder(spark, "sales")
+    title = 'Sales, "all bills"\n' * 2
+    note = F.concat(F.lit('see\nbill "'), F.monotonically_increasing_id().cast("string"), F.lit('", paid'))
+    titled = raw.withColumn("note", note).withColumnRenamed("Month-Year", "MONTH year").withColumnRenamed("note", title + "note")
+    titled.write.option("header", True).option("escape", '"').option("quoteAll", True).csv(folder)
+    sheets = read_csv_sheets(spark, folder, "part-*.csv")
+    return matched.monthly_actuals(named_columns(sheets, 0, matched.ACTUALS_HEADER).drop("file"))
+
+
 def _hierarchy_sheet(spark: SparkSession, sf_dir: str) -> DataFrame:
     sheet = fx.sheet_of(fx.hierarchy_raw(spark, sf_dir), HIERARCHY_HEADER_ROW)
     return matched.brand_of_product(named_columns(sheet, HIERARCHY_HEADER_ROW, HIERARCHY_HEADER).drop("file"))
@@ -210,6 +221,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "chunk_profile": lambda s, d: _chunked(s, d).profile(),
         "chunk_waterfall": lambda s, d: _chunked(s, d).history(),
         "actuals_sheet": _actuals_sheet,
+        "actuals_csv_sheets": _actuals_csv_sheets,
         "hierarchy_sheet": _hierarchy_sheet,
         "gated_history": _gated_history,
         "month_window": _month_window,
@@ -465,6 +477,7 @@ def oracle_sql() -> dict[str, str]:
         "chunk_profile": profile,
         "chunk_waterfall": history,
         "actuals_sheet": _MATCHED + "SELECT * FROM actuals",
+        "actuals_csv_sheets": _MATCHED + "SELECT * FROM actuals",
         "hierarchy_sheet": _MATCHED + "SELECT * FROM hierarchy",
         "gated_history": history,
         "month_window": f"""
