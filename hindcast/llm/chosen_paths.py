@@ -27,8 +27,9 @@ SECOND = 1 / 4
 # Sets that agree in fewer coordinates than this are not compared: a pair of similarity 0.8 agrees in
 # 58 on average, and in fewer than 43 with a chance of 2e-5.
 AGREE = 43
-# A node is compared exhaustively if it has this many sets at most beside those of its largest class.
-SMALL = 128
+# A node is compared exhaustively if it has this many sets at most beside those of its largest class,
+# or if all comparisons of those with all others are this many at most.
+SMALL, PAIRS = 128, 4_000_000
 BLOCK = 1024
 # Nodes that are still larger after so many levels are compared exhaustively in blocks.
 DEPTH = 30
@@ -344,7 +345,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     apart: list[DataFrame] = []
     for level in range(DEPTH + 1):
         nodes = _classed(members, labels)
-        small = F.col("others") <= SMALL
+        small = (F.col("others") <= SMALL) | (F.col("others") * (F.col("others") + F.col("most")) <= PAIRS)
         groups = _groups(nodes.filter(small), False)
         if level == DEPTH:
             groups, small = groups.unionByName(_groups(nodes.filter(~small), True)), F.lit(True)

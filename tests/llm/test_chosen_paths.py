@@ -82,10 +82,10 @@ def test_short_sets_about_the_threshold(documents):
     check(documents, rows)
 
 
-@pytest.mark.parametrize("limits", [(1, 3, 4), (2, 2, 8)])
+@pytest.mark.parametrize("limits", [(1, 1, 3, 4), (2, 4, 2, 8), (1, 100, 2, 8)])
 def test_deep_trees_and_blocks(documents, monkeypatch, limits):
     """Texts that share much and do not link, with nodes of hardly any sets and few levels."""
-    for name, value in zip(("SMALL", "DEPTH", "BLOCK"), limits, strict=True):
+    for name, value in zip(("SMALL", "PAIRS", "DEPTH", "BLOCK"), limits, strict=True):
         monkeypatch.setattr(chosen_paths, name, value)
     monkeypatch.setattr(spread, "KEY_ROWS", 3)
     rng = random.Random(5)
