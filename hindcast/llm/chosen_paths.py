@@ -138,28 +138,37 @@ def may_link(n: np.ndarray, sig: np.ndarray, one: np.ndarray, two: np.ndarray) -
     return np.where((agree >= AGREE) & (100 * small >= SHARE * large), agree, 0)
 
 
-def _compare(bucket: pa.Table) -> pa.Table:
-    """Pairs of the bucket's groups that lie in different classes and may link.
-
-    Rows with ``few`` meet all others of their group, and each other if the group says ``own``.
-    """
-    group, few, own = (bucket[c].to_numpy() for c in ("part", "few", "own"))
-    name, label, n = (bucket[c].to_numpy() for c in ("name", "label", "n"))
-    sig = _signatures(bucket["sketch"], np.uint8)
-    order = np.lexsort((~few, group))
-    edges = np.flatnonzero(np.r_[True, group[order][1:] != group[order][:-1], True])
-    found: list[tuple[np.ndarray, ...]] = [(np.zeros(0, np.int64),) * 3]
-    for low, high in zip(edges[:-1], edges[1:], strict=True):
-        rows = order[low:high]
-        count = int(few[rows].sum())
-        for i in range(count):
-            others = rows[i + 1 :] if own[rows[0]] else rows[count:]
-            others = others[label[others] != label[rows[i]]]
-            agree = may_link(n, sig, np.full(len(others), rows[i]), others)
-            others, agree = others[agree > 0], agree[agree > 0]
-            found.append((np.full(len(others), rows[i]), others, agree))
-    one, two, agree = (np.concatenate(c) for c in zip(*found, strict=True))
-    return pa.table({"one": name[one], "two": name[two], "label_two": label[two], "agree": agree.astype(np.int64)})
+def _compared(best: bool):
+    """How the groups of a bucket are compared; with ``best``, each set keeps its likeliest pair with each class only."""
+
+    def compare(bucket: pa.Table) -> pa.Table:
+        """Pairs of the bucket's groups that lie in different classes and may link.
+
+        Rows with ``few`` meet all others of their group, and each other if the group says ``own``.
+        """
+        group, few, own = (bucket[c].to_numpy() for c in ("part", "few", "own"))
+        name, label, n = (bucket[c].to_numpy() for c in ("name", "label", "n"))
+        sig = _signatures(bucket["sketch"], np.uint8)
+        order = np.lexsort((~few, group))
+        edges = np.flatnonzero(np.r_[True, group[order][1:] != group[order][:-1], True])
+        found: list[tuple[np.ndarray, ...]] = [(np.zeros(0, np.int64),) * 3]
+        for low, high in zip(edges[:-1], edges[1:], strict=True):
+            rows = order[low:high]
+            count = int(few[rows].sum())
+            for i in range(count):
+                others = rows[i + 1 :] if own[rows[0]] else rows[count:]
+                others = others[label[others] != label[rows[i]]]
+                agree = may_link(n, sig, np.full(len(others), rows[i]), others)
+                others, agree = others[agree > 0], agree[agree > 0]
+                if best and len(others) > 1:
+                    along = np.lexsort((-agree, label[others]))
+                    first = np.r_[True, label[others][along][1:] != label[others][along][:-1]]
+                    others, agree = others[along[first]], agree[along[first]]
+                found.append((np.full(len(others), rows[i]), others, agree))
+        one, two, agree = (np.concatenate(c) for c in zip(*found, strict=True))
+        return pa.table({"one": name[one], "two": name[two], "label_two": label[two], "agree": agree.astype(np.int64)})
+
+    return compare
 
 
 def _agreeing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -327,12 +336,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             links = more if links is None else links.unionByName(more)
             labels = components(links)
 
-    def likely_links(groups: DataFrame, rows: int) -> DataFrame:
+    def may_links(groups: DataFrame, rows: int, best: bool) -> DataFrame:
         """Pairs of the groups' sets that lie in different classes and may link, by minwise values."""
         rows_of = groups.join(sets.sets.select("name", "n", "sketch"), "name")
         buckets = max(rows // BUCKET_ROWS, partitions)
         dealt = rows_of.withColumn("bucket", F.pmod("part", F.lit(buckets))).groupBy("bucket")
-        return settle(dealt.applyInArrow(_compare, "one long, two long, label_two long, agree long"), "found")
+        return settle(dealt.applyInArrow(_compared(best), "one long, two long, label_two long, agree long"), "found")
 
     def ends(found: DataFrame) -> DataFrame:
         return found.select(F.least("one", "two").alias("x"), F.greatest("one", "two").alias("y")).distinct()
@@ -341,24 +350,31 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     compare(sets.agreeing(_with_leads(members)))
     for turn in range(SAMPLES):
         members = _classed(members, labels)
-        compare(ends(_likely(likely_links(_sampled(members, turn), members.count()))))
-    apart: list[DataFrame] = []
+        compare(ends(_likely(may_links(_sampled(members, turn), members.count(), True))))
+    compared, likely, total = [], [], 0
     for level in range(DEPTH + 1):
         nodes = _classed(members, labels)
         small = (F.col("others") <= SMALL) | (F.col("others") * (F.col("others") + F.col("most")) <= PAIRS)
         groups = _groups(nodes.filter(small), False)
         if level == DEPTH:
             groups, small = groups.unionByName(_groups(nodes.filter(~small), True)), F.lit(True)
-        apart.append(likely_links(groups, nodes.count()))
+        rows = nodes.count()
+        compared.append(groups)
+        likely.append(may_links(groups, rows, True))
+        total += rows
         large = nodes.filter(~small)
         if large.isEmpty():
             break
         rows = large.select("node", "name").join(sets.sets.select("name", "sig"), "name")
         members = _met(rows.select("node", "name", "sig").mapInArrow(_branches, "node long, name long"))
-    # The likeliest pairs first, then all that still lie apart.
-    found = reduce(DataFrame.unionByName, apart)
-    compare(ends(_likely(found, "label_two")))
-    compare(ends(found))
+    # The likeliest pair of each set and class first, then all pairs of groups that still lie apart.
+    compare(ends(_likely(reduce(DataFrame.unionByName, likely), "label_two")))
+    groups = reduce(DataFrame.unionByName, compared)
+    if labels is not None:
+        now = labels.withColumnRenamed("label", "now")
+        groups = groups.join(now, "name", "left").withColumn("label", F.coalesce("now", "label")).drop("now")
+    open_ = groups.groupBy("part").agg(F.min("label").alias("a"), F.max("label").alias("b")).filter("a <> b").select("part")
+    compare(ends(may_links(groups.join(open_, "part"), total, False)))
 
     return _classes(sets.facts, labels)
 
