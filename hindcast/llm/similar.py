@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hindcast.llm.blocks import WordHashes, blocks, mixed, raw_texts, window_hashes
+from hindcast.operators.spread import broadcast_small
 from hindcast.sources.shared import settle
 
 SHINGLE = 5
@@ -24,13 +25,17 @@ FILL = 2.3
 SIGNATURES_PER_BUCKET = 1_000_000
 # Groups up to this size are compared in full at once.
 SMALL_GROUP = 4
-BLOCK_ROWS = 1024
-# Turns in which each set of a larger group is compared with a few from other classes.
-MERGE_TURNS, FEW = 3, 2
+# Larger groups are compared in blocks of so many sets and bytes at most.
+BLOCK_ROWS, BLOCK_BYTES = 4096, 32 << 20
+BUCKET_BYTES = 64 << 20
+PAIRS_AT_ONCE = 1024
+# Bits of a set's bit map for each of its elements, at least.
+BITS = 8
+# Turns in which each set of a larger group is compared with the nearest one of another class.
+MERGE_TURNS = 2
 # A shingle that comes this often in one block of texts may be a frequent one.
 OFTEN_IN_BLOCK = 4
 FREQUENT_SHARE, FREQUENT_LEAST, FREQUENT_MOST = 1 / 2000, 32, 4_000_000
-BROADCAST_ROWS = 1_000_000
 # Texts are compared in shards of so many bytes on average. The partners of one set are dealt over
 # 16 salts, or over more so that those under one salt have so many bytes on average.
 SHARD_BYTES, SALT_BYTES, SALTS = 16 << 20, 1 << 20, 16
@@ -221,7 +226,8 @@ def _buckets(shared, n_buckets: int):
     def _found(x, y, is_group) -> pa.RecordBatch:
         n = len(x)
         low, high = np.where(is_group, x, np.minimum(x, y)), np.where(is_group, y, np.maximum(x, y))
-        bucket = pa.array((low.view(np.uint64) % np.uint64(n_buckets)).astype(np.int64))
+        # By the set, not by its group, so that members of a large group lie in all buckets.
+        bucket = pa.array((high.view(np.uint64) % np.uint64(n_buckets)).astype(np.int64))
         nulls = [pa.nulls(n, pa.binary()) for _ in range(3)]
         return pa.RecordBatch.from_arrays(
             [bucket, *nulls, pa.array(low), pa.array(high), pa.array(is_group)], ["bucket", "sigs", "tags", "names", "x", "y", "is_group"]
@@ -291,8 +297,8 @@ def may_link(n_a: np.ndarray, n_b: np.ndarray, a: list[bytes], b: list[bytes]) -
     shape = np.array([len(x) for x in a], np.int64) << 32 | np.array([len(x) for x in b], np.int64)
     for s in np.unique(shape):
         rows = np.flatnonzero(shape == s)
-        for start in range(0, len(rows), BLOCK_ROWS):
-            part = rows[start : start + BLOCK_ROWS]
+        for start in range(0, len(rows), PAIRS_AT_ONCE):
+            part = rows[start : start + PAIRS_AT_ONCE]
             one, two = (
                 np.frombuffer(b"".join([side[i] for i in part]), np.uint16).reshape(len(part), -1).astype(np.int64) for side in (a, b)
             )
@@ -310,37 +316,140 @@ def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield batch.select(["x", "y"]).filter(pa.array(can))
 
 
-def _across(few: int | None, turn: int):
-    def across(part: pa.Table) -> pa.Table:
-        """Pairs of one block pair of groups that lie in different classes and may link.
+def bit_maps(grams: np.ndarray, sizes: np.ndarray) -> list[bytes]:
+    """Bit maps of sets: of ``BITS`` bits or more for each element, a power of two, those that elements hit.
+
+    Maps of two sets differ in no more bits than the sets differ in elements. Bits are the lowest
+    ones of a hash, so a longer map folds onto a shorter one.
+    """
+    width = 1 << np.ceil(np.log2(np.maximum(BITS * sizes, 64))).astype(np.int64)
+    ends = np.cumsum(width)
+    owner = np.repeat(np.arange(len(sizes)), sizes)
+    flat = np.zeros(int(width.sum()), bool)
+    flat[(ends - width)[owner] + (mixed(grams) & (width[owner] - 1).astype(np.uint64)).astype(np.int64)] = True
+    packed = np.packbits(flat, bitorder="little")
+    return [packed[(e - w) // 8 : e // 8].tobytes() for e, w in zip(ends.tolist(), width.tolist(), strict=True)]
+
+
+def _maps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    words_of = WordHashes()
+    for batch in blocks(batches):
+        grams, sizes = shingle_sets(raw_texts(batch), words_of)
+        yield pa.RecordBatch.from_arrays(
+            [batch.column("name"), pa.array(sizes.astype(np.int64)), pa.array(bit_maps(grams, sizes), pa.binary())], ["name", "n", "bits"]
+        )
 
-        With ``few``, that many for each set, and those that come first in an order of this
-        turn, so that the groups of a set mostly name the same ones.
-        """
-        sig, side = part["sig"].to_numpy(), part["side"].to_numpy()
-        same = part["same"][0].as_py()
-        name, label, n = part["name"].to_numpy(), part["label"].to_numpy(), part["n"].to_numpy()
-        profile = part["profile"].to_pylist()
-        order = np.lexsort((mixed(name.view(np.uint64) ^ np.uint64(turn)), sig))
-        edges = np.flatnonzero(np.r_[True, sig[order][1:] != sig[order][:-1], True])
-        out = [np.zeros((0, 2), np.int64)]
-        for a, b in zip(edges[:-1], edges[1:], strict=True):
-            rows = order[a:b]
-            left, right = (rows, rows) if same else (rows[side[rows] == 0], rows[side[rows] == 1])
-            for i in left:
-                fit = right[label[right] != label[i]]
-                if few is None and same:
-                    fit = fit[name[fit] > name[i]]
-                fit = fit[4 * np.minimum(n[fit], n[i]) >= 3 * np.maximum(n[fit], n[i])]
-                fit = fit if few is None else fit[: 4 * few]
-                if len(fit):
-                    fit = fit[may_link(n[fit], np.full(len(fit), n[i]), [profile[j] for j in fit], [profile[i]] * len(fit))]
-                fit = fit if few is None else fit[:few]
-                out.append(np.column_stack([np.minimum(name[fit], name[i]), np.maximum(name[fit], name[i])]))
-        pairs = np.unique(np.concatenate(out), axis=0)
-        return pa.table({"x": pairs[:, 0], "y": pairs[:, 1]})
-
-    return across
+
+def _elements(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    words_of = WordHashes()
+    for batch in blocks(batches):
+        grams, sizes = shingle_sets(raw_texts(batch), words_of)
+        ends = np.cumsum(sizes).tolist()
+        sets = [grams[end - size : end].tobytes() for end, size in zip(ends, sizes.tolist(), strict=True)]
+        yield pa.RecordBatch.from_arrays([batch.column("name"), pa.array(sets, pa.binary())], ["name", "shingles"])
+
+
+class _Maps:
+    """The bit maps of one part's sets, by length and size of set."""
+
+    def __init__(self, n: np.ndarray, bits: list[bytes]):
+        self.n, self.by_width, self.at = n, {}, np.zeros(len(n), np.int64)
+        self.width = np.fromiter(map(len, bits), np.int64, len(bits))
+        for width in np.unique(self.width).tolist():
+            rows = np.flatnonzero(self.width == width)
+            rows = rows[np.argsort(n[rows], kind="stable")]
+            self.at[rows] = np.arange(len(rows))
+            maps = np.frombuffer(b"".join([bits[i] for i in rows]), np.uint64).reshape(len(rows), -1)
+            folded = maps[:, : maps.shape[1] // 2] | maps[:, maps.shape[1] // 2 :] if width > 8 else None
+            self.by_width[width] = rows, n[rows], maps, folded
+
+    def near(self, i: int, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The wanted sets that set ``i`` may link to, and the share that they differ in at least."""
+        width, size, found = int(self.width[i]), int(self.n[i]), []
+        _, _, maps, folded = self.by_width[width]
+        one = maps[self.at[i]]
+        for other, mine, column in ((width // 2, folded, 2), (width, maps, 2), (2 * width, maps, 3)):
+            if other in self.by_width and mine is not None:
+                rows, n = self.by_width[other][:2]
+                low, high = np.searchsorted(n, -(-3 * size // 4)), np.searchsorted(n, 4 * size // 3, "right")
+                at = low + np.flatnonzero(wanted[rows[low:high]])
+                if len(at):
+                    one = mine[self.at[i]]
+                    differ = np.bitwise_count(self.by_width[other][column][at] ^ one).sum(axis=1, dtype=np.int64)
+                    fit = 7 * differ <= n[at] + size
+                    found.append((rows[at[fit]], differ[fit] / (n[at[fit]] + size)))
+        if not found:
+            return np.zeros(0, np.int64), np.zeros(0)
+        rows, share = (np.concatenate(c) for c in zip(*found, strict=True))
+        return rows, share
+
+
+def _parts(bucket: pa.Table) -> Iterator[tuple[np.ndarray, Iterator[tuple[int, np.ndarray, np.ndarray]]]]:
+    """For each part of a bucket its rows, and for each ``few`` set the sets of other classes that it may link to."""
+    part, few, own = (bucket[c].to_numpy() for c in ("part", "few", "own"))
+    label, n, bits = bucket["label"].to_numpy(), bucket["n"].to_numpy(), bucket["bits"].to_pylist()
+    order = np.lexsort((~few, part))
+    edges = np.flatnonzero(np.r_[True, part[order][1:] != part[order][:-1], True])
+
+    def of(rows: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        maps, classes = _Maps(n[rows], [bits[i] for i in rows]), label[rows]
+        count, both = int(few[rows].sum()), own[rows[0]]
+        for i in range(count):
+            wanted = classes != classes[i]
+            if not both:
+                wanted[:count] = False
+            at, share = maps.near(i, wanted)
+            if len(at):
+                yield rows[i], rows[at], share
+
+    for low, high in zip(edges[:-1], edges[1:], strict=True):
+        yield order[low:high], of(order[low:high])
+
+
+def _nearest(bucket: pa.Table) -> pa.Table:
+    """For each ``few`` set of a part the nearest set of another class that it may link to."""
+    name, found = bucket["name"].to_numpy(), []
+    for _, pairs in _parts(bucket):
+        for one, others, share in pairs:
+            at = np.lexsort((name[others], share))[0]
+            found.append((name[one], name[others[at]], share[at]))
+    one, two, share = zip(*found, strict=True) if found else ((), (), ())
+    return pa.table({"one": pa.array(one, pa.int64()), "two": pa.array(two, pa.int64()), "share": pa.array(share, pa.float64())})
+
+
+def _doubtful(bucket: pa.Table) -> pa.Table:
+    """The sets of each part that may link to one of another class."""
+    chosen = np.zeros(len(bucket), bool)
+    for _, pairs in _parts(bucket):
+        for one, others, _ in pairs:
+            chosen[one] = chosen[others] = True
+    return bucket.select(["part", "few", "own", "name", "label"]).filter(pa.array(chosen))
+
+
+def _settled(bucket: pa.Table) -> pa.Table:
+    """Links between classes of each part, by whole sets: as many as join all classes that links join there."""
+    name, label, sets = bucket["name"].to_numpy(), bucket["label"].to_numpy(), bucket["shingles"].to_pylist()
+    xs, ys = [], []
+    for _, pairs in _parts(bucket):
+        lead: dict[int, int] = {}
+
+        def top(c: int, lead: dict[int, int] = lead) -> int:
+            while lead.get(c, c) != c:
+                c = lead[c]
+            return c
+
+        for one, others, _ in pairs:
+            mine = np.frombuffer(sets[one], np.uint64)
+            for two in others.tolist():
+                a, b = top(int(label[one])), top(int(label[two]))
+                if a != b:
+                    other = np.frombuffer(sets[two], np.uint64)
+                    shared = len(np.intersect1d(mine, other, assume_unique=True))
+                    if 100 * shared >= 75 * (len(mine) + len(other) - shared):
+                        lead[max(a, b)] = min(a, b)
+                        xs.append(min(name[one], name[two]))
+                        ys.append(max(name[one], name[two]))
+    return pa.table({"x": pa.array(xs, pa.int64()), "y": pa.array(ys, pa.int64())})
 
 
 def _linked(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -432,10 +541,12 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     Every link is found: sets that link share a PartEnum signature (:func:`signatures`). Pairs
     of small groups, and each larger group's first set with all others, are held against size
     and profile, then compared exactly, for each set first with its smallest partner only. Where
-    a larger group then still lies in several classes, each of its sets is compared with a few
-    from other classes, some times over, which leaves near copies in one class; at last all pairs
-    across classes are held against the profiles, in blocks, and compared. Frequent shingles, which signatures leave out, are
-    looked for by block; missing one costs time and no link.
+    a larger group then still lies in several classes, the sets beside its main class are held
+    against all others by bit maps, inside tasks, and each is compared with the nearest one of another
+    class, some times over, which leaves near copies in one class. At last the sets that may still link to another
+    class by their bit maps meet as whole sets. Groups with one main class are one unit, so
+    that near copies, which share hundreds of signatures, meet once. Frequent shingles, which
+    signatures leave out, are looked for by block; missing one costs time and no link.
     """
     spark = docs.sparkSession
     rows = docs.select(
@@ -482,8 +593,7 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     # Texts that may be needed: both ends of such pairs, and the sets of larger groups.
     wanted = near.select(F.col("x").alias("name")).union(near.select("y")).union(met.filter("is_group").select("y")).distinct()
     wanted = settle(wanted.join(sets.select("name", "at.*"), "name"), "wanted")
-    keys = wanted.select("name", F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"))
-    keys = F.broadcast(keys) if keys.count() <= BROADCAST_ROWS else keys
+    keys = broadcast_small(wanted.select("name", F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")))
     same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_hash") == F.col("_hash"))
     texts = settle(rows.join(keys, same).select("name", "text", F.octet_length("text").alias("bytes")), "texts")
 
@@ -497,35 +607,73 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 
     groups_of = met.filter("is_group").select(F.col("x").alias("sig"), F.col("y").alias("name")).distinct()
 
-    def crossing(few: int | None, turn: int = 0) -> DataFrame:
-        """Pairs across classes of the larger groups that still lie in several."""
-        groups = labelled(groups_of, "name")
-        split = groups.groupBy("sig").agg(F.count("*").alias("members"), F.min("of_name").alias("a"), F.max("of_name").alias("b"))
-        split = split.filter("a <> b").select("sig", (F.col("members") / BLOCK_ROWS).cast("int").alias("last"))
-        open_ = groups.join(split, "sig").join(sets.select("name", "n", "profile"), "name")
-        block = F.pmod(F.xxhash64("name", "sig"), F.col("last") + 1).cast("int")
-        open_ = open_.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), "last")))
-        open_ = open_.select(
-            F.when(F.col("last") == 0, F.pmod("sig", F.lit(shards))).otherwise(F.col("sig")).alias("part"),
-            F.least("block", "other").alias("low"),
-            F.greatest("block", "other").alias("high"),
-            (F.col("block") > F.col("other")).cast("int").alias("side"),
-            (F.col("block") == F.col("other")).alias("same"),
-            "sig", "name", F.col("of_name").alias("label"), "n", "profile",
+    in_groups = texts.join(groups_of.select("name").distinct(), "name")
+    maps = settle(in_groups.select("name", "text").mapInArrow(_maps, "name long, n long, bits binary"), "maps")
+
+    def between() -> DataFrame:
+        """``part, few, own, name, label``: parts in which sets of larger groups meet those of other classes.
+
+        Groups with one main class (the largest) are one unit, in which each set comes once, unless
+        they have fewer pairs one by one. The few sets beside the main class meet all others
+        of their unit; if they are many, or the unit is large, in blocks.
+        """
+        groups = labelled(groups_of, "name").select("sig", "name", F.col("of_name").alias("label"))
+        of_classes = groups.groupBy("sig", "label").agg(F.count("*").alias("n"))
+        open_ = of_classes.groupBy("sig").agg(F.sum("n").alias("all"), F.max(F.struct("n", "label")).alias("top")).filter("all > top.n")
+        open_ = open_.select("sig", F.col("top.label").alias("main"), (F.col("all") * (F.col("all") - F.col("top.n"))).alias("pairs"))
+        rows = settle(groups.join(open_, "sig"), "open")
+        few = F.col("label") != F.col("main")
+        merged = rows.select("main", "name", "label").distinct()
+        alone = rows.select("sig", "main", "pairs").distinct().groupBy("main").agg(F.sum("pairs").alias("alone"))
+        whole = merged.groupBy("main").agg((F.count("*") * F.count_if(few)).alias("whole")).join(alone, "main")
+        whole = settle(whole.filter("whole <= alone").select("main"), "whole")
+        rows = merged.join(whole, "main").select(F.col("main").alias("unit"), "main", "name", "label").unionByName(
+            rows.join(whole, "main", "left_anti").select(F.xxhash64("sig", "main").alias("unit"), "main", "name", "label")
+        )
+        rows = settle(rows.join(maps.select("name", F.octet_length("bits").alias("bytes")), "name"), "units")
+        sizes = rows.groupBy("unit").agg(
+            *(F.greatest(F.floor((F.count_if(c) - 1) / BLOCK_ROWS), F.floor(F.sum(F.when(c, F.col("bytes"))) / BLOCK_BYTES)).alias(a) for c, a in ((few, "of_few"), (~few, "of_main"))),
         )
-        return open_.groupBy("part", "low", "high").applyInArrow(_across(few, turn), "x long, y long")
+        rows = rows.join(sizes, "unit")
+        by_main = rows.filter("of_few = 0")
+        one = F.array(F.pmod(F.xxhash64("name"), F.col("of_main") + 1))
+        all_ = F.sequence(F.lit(0).cast("long"), "of_main")
+        by_main = by_main.withColumn("block", F.explode(F.when(few, all_).otherwise(one)))
+        by_main = by_main.select(F.xxhash64("unit", "block").alias("part"), few.alias("few"), (F.col("block") == 0).alias("own"), "name", "label", "bytes")
+        last = F.col("of_few") + F.col("of_main") + 1
+        by_all = rows.filter("of_few > 0").withColumn("block", F.pmod(F.xxhash64("name"), last + 1))
+        by_all = by_all.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), last)))
+        low, high = F.least("block", "other"), F.greatest("block", "other")
+        part = F.xxhash64("unit", low, high)
+        by_all = by_all.select(part.alias("part"), (F.col("block") == low).alias("few"), (low == high).alias("own"), "name", "label", "bytes")
+        return settle(by_main.unionByName(by_all), "parts")
+
+    def in_parts(parts: DataFrame, each, kinds: str, wide: DataFrame = maps) -> DataFrame:
+        total = parts.agg(F.sum("bytes")).first()[0] or 0 if "bytes" in parts.columns else 0
+        bucket = F.pmod("part", F.lit(max(total // BUCKET_BYTES, shards)))
+        return parts.join(wide, "name").withColumn("bucket", bucket).groupBy("bucket").applyInArrow(each, kinds)
 
     tested = first
-    for turn in range(1, MERGE_TURNS + 1):
-        some = settle(crossing(FEW, turn).distinct().join(tested, ["x", "y"], "left_anti"), "some")
+    for _ in range(MERGE_TURNS):
+        near_ = in_parts(between(), _nearest, "one long, two long, share double")
+        near_ = near_.groupBy("one").agg(F.min(F.struct("share", "two")).alias("top")).select("one", F.col("top.two").alias("two"))
+        some = near_.select(F.least("one", "two").alias("x"), F.greatest("one", "two").alias("y")).distinct()
+        some = settle(some.join(tested, ["x", "y"], "left_anti"), "some")
         if some.isEmpty():
             break
         links = settle(links.unionByName(verified(some, texts, shards)), "links")
         tested = tested.unionByName(some)
         labels = components(links)
-    apart = labelled(labelled(near, "x"), "y").filter("of_x <> of_y").select("x", "y")
-    rest = apart.unionByName(crossing(None)).distinct().join(tested, ["x", "y"], "left_anti")
-    rest = settle(rest, "rest")
+    doubtful = in_parts(between(), _doubtful, "part long, few boolean, own boolean, name long, label long")
+    doubtful = settle(doubtful, "doubtful")
+    if not doubtful.isEmpty():
+        wide = texts.join(doubtful.select("name").distinct(), "name").select("name", "text")
+        wide = settle(wide.mapInArrow(_elements, "name long, shingles binary"), "elements").join(maps, "name")
+        sized = doubtful.join(wide.select("name", (F.octet_length("bits") + F.octet_length("shingles")).alias("bytes")), "name")
+        links = settle(links.unionByName(in_parts(sized, _settled, "x long, y long", wide)), "links")
+        labels = components(links)
+    rest = labelled(labelled(near, "x"), "y").filter("of_x <> of_y").select("x", "y")
+    rest = settle(rest.join(tested, ["x", "y"], "left_anti"), "rest")
     if not rest.isEmpty():
         links = links.unionByName(verified(rest, texts, shards))
         labels = components(links)

@@ -139,6 +139,21 @@ def test_linked_sets_pass_by_profile():
     assert not similar.may_link(np.array([10_000]), np.array([10_000]), [one], [two])[0]
 
 
+def test_bit_maps_find_all_that_link():
+    rng = np.random.default_rng(8)
+    for turn in range(60):
+        pool = rng.integers(0, 2**63, 4000).astype(np.uint64)
+        sets = [np.unique(rng.choice(pool[: 3000 // (turn % 5 + 1)], int(rng.integers(1, 900)))) for _ in range(6)]
+        sets += [np.unique(np.r_[rng.permutation(s)[: max(1, len(s) * 7 // 8)], pool[:1]]) for s in sets] * 2
+        n = np.array([len(s) for s in sets])
+        maps = similar._Maps(n, similar.bit_maps(np.concatenate(sets), n))
+        for i, one in enumerate(sets):
+            at, _ = maps.near(i, np.arange(len(sets)) != i)
+            shared = [len(np.intersect1d(one, s)) for s in sets]
+            linked = {j for j, k in enumerate(shared) if j != i and 100 * k >= 75 * (len(one) + n[j] - k)}
+            assert linked <= set(at.tolist())
+
+
 def test_shingles_of_short_texts():
     grams, sizes = shingle_sets([b"", b"a b", b"A b", b"a b c d e f", b"x"], WordHashes())
     assert sizes.tolist() == [0, 1, 1, 2, 1]
