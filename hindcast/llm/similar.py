@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hindcast.llm.blocks import WordHashes, blocks, mixed, raw_texts, window_hashes
-from hindcast.operators.spread import broadcast_small
+from hindcast.operators.spread import broadcast_small, spread_join
 from hindcast.sources.shared import settle
 
 SHINGLE = 5
@@ -32,7 +32,7 @@ PAIRS_AT_ONCE = 1024
 # Bits of a set's bit map for each of its elements, at least.
 BITS = 8
 # Turns in which each set of a larger group is compared with the nearest one of another class.
-MERGE_TURNS = 2
+MERGE_TURNS = 1
 # A shingle that comes this often in one block of texts may be a frequent one.
 OFTEN_IN_BLOCK = 4
 FREQUENT_SHARE, FREQUENT_LEAST, FREQUENT_MOST = 1 / 2000, 32, 4_000_000
@@ -528,6 +528,21 @@ def components(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("name"), F.col("v").alias("label")).unionByName(own)
 
 
+def labelled(pairs: DataFrame, end: str, labels: DataFrame) -> DataFrame:
+    """``pairs`` with the class ``of_<end>`` of one of their columns; a set without a label is its own class."""
+    of = labels.select(F.col("name").alias(end), F.col("label").alias(f"of_{end}"))
+    return pairs.join(of, end, "left").withColumn(f"of_{end}", F.coalesce(f"of_{end}", end))
+
+
+def merged(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """The classes that ``links`` make of the classes ``labels``: only links between classes are followed."""
+    ends = labelled(labelled(links, "x", labels), "y", labels).filter("of_x <> of_y")
+    moved = settle(components(ends.select(F.col("of_x").alias("x"), F.col("of_y").alias("y"))), "moved")
+    now = moved.select(F.col("name").alias("label"), F.col("label").alias("now"))
+    kept = labels.join(now, "label", "left").select("name", F.coalesce("now", "label").alias("label"))
+    return settle(kept.unionByName(moved.join(labels, "name", "left_anti")), "labels")
+
+
 def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Classes of documents linked by a Jaccard similarity of 3/4 or more of five-word shingles.
 
@@ -598,12 +613,7 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     texts = settle(rows.join(keys, same).select("name", "text", F.octet_length("text").alias("bytes")), "texts")
 
     first = near.groupBy("y").agg(F.min("x").alias("x")).select("x", "y")
-    links = settle(verified(first, texts, shards), "links")
-    labels = components(links)
-
-    def labelled(pairs: DataFrame, end: str) -> DataFrame:
-        of = labels.select(F.col("name").alias(end), F.col("label").alias(f"of_{end}"))
-        return pairs.join(of, end, "left").withColumn(f"of_{end}", F.coalesce(f"of_{end}", end))
+    labels = components(verified(first, texts, shards))
 
     groups_of = met.filter("is_group").select(F.col("x").alias("sig"), F.col("y").alias("name")).distinct()
 
@@ -617,17 +627,17 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         they have fewer pairs one by one. The few sets beside the main class meet all others
         of their unit; if they are many, or the unit is large, in blocks.
         """
-        groups = labelled(groups_of, "name").select("sig", "name", F.col("of_name").alias("label"))
+        groups = labelled(groups_of, "name", labels).select("sig", "name", F.col("of_name").alias("label"))
         of_classes = groups.groupBy("sig", "label").agg(F.count("*").alias("n"))
         open_ = of_classes.groupBy("sig").agg(F.sum("n").alias("all"), F.max(F.struct("n", "label")).alias("top")).filter("all > top.n")
         open_ = open_.select("sig", F.col("top.label").alias("main"), (F.col("all") * (F.col("all") - F.col("top.n"))).alias("pairs"))
-        rows = settle(groups.join(open_, "sig"), "open")
+        rows = settle(spread_join(groups, open_, "sig", F.col("name")), "open")
         few = F.col("label") != F.col("main")
-        merged = rows.select("main", "name", "label").distinct()
+        once = rows.select("main", "name", "label").distinct()
         alone = rows.select("sig", "main", "pairs").distinct().groupBy("main").agg(F.sum("pairs").alias("alone"))
-        whole = merged.groupBy("main").agg((F.count("*") * F.count_if(few)).alias("whole")).join(alone, "main")
+        whole = once.groupBy("main").agg((F.count("*") * F.count_if(few)).alias("whole")).join(alone, "main")
         whole = settle(whole.filter("whole <= alone").select("main"), "whole")
-        rows = merged.join(whole, "main").select(F.col("main").alias("unit"), "main", "name", "label").unionByName(
+        rows = once.join(whole, "main").select(F.col("main").alias("unit"), "main", "name", "label").unionByName(
             rows.join(whole, "main", "left_anti").select(F.xxhash64("sig", "main").alias("unit"), "main", "name", "label")
         )
         rows = settle(rows.join(maps.select("name", F.octet_length("bits").alias("bytes")), "name"), "units")
@@ -661,24 +671,21 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         some = settle(some.join(tested, ["x", "y"], "left_anti"), "some")
         if some.isEmpty():
             break
-        links = settle(links.unionByName(verified(some, texts, shards)), "links")
         tested = tested.unionByName(some)
-        labels = components(links)
+        labels = merged(labels, settle(verified(some, texts, shards), "links"))
     doubtful = in_parts(between(), _doubtful, "part long, few boolean, own boolean, name long, label long")
     doubtful = settle(doubtful, "doubtful")
     if not doubtful.isEmpty():
         wide = texts.join(doubtful.select("name").distinct(), "name").select("name", "text")
         wide = settle(wide.mapInArrow(_elements, "name long, shingles binary"), "elements").join(maps, "name")
         sized = doubtful.join(wide.select("name", (F.octet_length("bits") + F.octet_length("shingles")).alias("bytes")), "name")
-        links = settle(links.unionByName(in_parts(sized, _settled, "x long, y long", wide)), "links")
-        labels = components(links)
-    rest = labelled(labelled(near, "x"), "y").filter("of_x <> of_y").select("x", "y")
+        labels = merged(labels, settle(in_parts(sized, _settled, "x long, y long", wide), "links"))
+    rest = labelled(labelled(near, "x", labels), "y", labels).filter("of_x <> of_y").select("x", "y")
     rest = settle(rest.join(tested, ["x", "y"], "left_anti"), "rest")
     if not rest.isEmpty():
-        links = links.unionByName(verified(rest, texts, shards))
-        labels = components(links)
+        labels = merged(labels, settle(verified(rest, texts, shards), "links"))
 
-    members = labelled(of_docs.select("doc_id", "text_hash", "n", F.col("set_hash").alias("name")), "name")
+    members = labelled(of_docs.select("doc_id", "text_hash", "n", F.col("set_hash").alias("name")), "name", labels)
     first = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")
     leads = members.filter("n > 0").groupBy("of_name").agg(F.min(first).alias("lead")).withColumnRenamed("of_name", "_of")
     out = members.join(leads, (F.col("of_name") == F.col("_of")) & (F.col("n") > 0), "left")

@@ -182,3 +182,11 @@ def test_components(spark):
     rows = components(spark.createDataFrame(chain, "x long, y long")).collect()
     assert {r.name: r.label for r in rows} == {i: 1 for i in range(1, 41)} | {i: 50 for i in (50, 51, 52, 60)}
     assert components(spark.createDataFrame([], "x long, y long")).count() == 0
+
+
+def test_classes_are_joined_by_links_between_them(spark):
+    labels = spark.createDataFrame([(1, 1), (2, 1), (3, 3), (4, 3), (8, 8), (9, 8)], "name long, label long")
+    links = spark.createDataFrame([(2, 4), (1, 2), (0, 9), (20, 21), (21, 4)], "x long, y long")
+    got = {r.name: r.label for r in similar.merged(labels, links).collect()}
+    assert got == {1: 1, 2: 1, 3: 1, 4: 1, 20: 1, 21: 1, 0: 0, 8: 0, 9: 0}
+    assert similar.merged(labels, links.limit(0)).count() == 6
