@@ -10,8 +10,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hindcast.llm.blocks import WordHashes, blocks, mixed, raw_texts
-from hindcast.llm.similar import components, shingle_sets
+from hindcast.llm.blocks import WordHashes, blocks, mixed, raw_texts, shingle_sets
+from hindcast.llm.crossing import Crossing
+from hindcast.llm.similar import components, merged
 from hindcast.operators.spread import broadcast_small, spread_join
 from hindcast.sources.shared import settle
 
@@ -212,13 +213,17 @@ class _Sets:
             pairs = spread_join(pairs, side, end, F.col("x" if end == "y" else "y"))
         return settle(pairs.mapInArrow(_agreeing, "x long, y long"), "agreeing")
 
+    def texts(self, names: DataFrame) -> DataFrame:
+        """``name, text`` of some sets; a repeated row's set comes more than once."""
+        known = self.sets.select("name", F.col("doc_id").alias("of_id"), F.col("text_hash").alias("of_text"))
+        wanted = broadcast_small(settle(names.join(known, "name"), "wanted"))
+        same = F.col("doc_id").eqNullSafe(F.col("of_id")) & (F.col("text_hash") == F.col("of_text"))
+        return self.rows.join(wanted, same).select("name", "text")
+
     def linked(self, pairs: DataFrame) -> DataFrame:
         """Those of the (settled) pairs ``x, y`` whose whole sets link."""
         ends = pairs.select(F.col("x").alias("name")).union(pairs.select("y")).distinct()
-        known = self.sets.select("name", F.col("doc_id").alias("of_id"), F.col("text_hash").alias("of_text"))
-        wanted = broadcast_small(settle(ends.join(known, "name"), "wanted"))
-        same = F.col("doc_id").eqNullSafe(F.col("of_id")) & (F.col("text_hash") == F.col("of_text"))
-        elements = self.rows.join(wanted, same).select("name", "text").mapInArrow(_elements, "name long, shingles binary")
+        elements = self.texts(ends).mapInArrow(_elements, "name long, shingles binary")
         elements = settle(elements.dropDuplicates(["name"]), "elements")
         for end in ("y", "x"):
             side = elements.select(F.col("name").alias(end), F.col("shingles").alias(f"of_{end}"))
@@ -351,7 +356,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     for turn in range(SAMPLES):
         members = _classed(members, labels)
         compare(ends(_likely(may_links(_sampled(members, turn), members.count(), True))))
-    compared, likely, total = [], [], 0
+    compared, likely = [], []
     for level in range(DEPTH + 1):
         nodes = _classed(members, labels)
         small = (F.col("others") <= SMALL) | (F.col("others") * (F.col("others") + F.col("most")) <= PAIRS)
@@ -361,20 +366,24 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         rows = nodes.count()
         compared.append(groups)
         likely.append(may_links(groups, rows, True))
-        total += rows
         large = nodes.filter(~small)
         if large.isEmpty():
             break
         rows = large.select("node", "name").join(sets.sets.select("name", "sig"), "name")
         members = _met(rows.select("node", "name", "sig").mapInArrow(_branches, "node long, name long"))
-    # The likeliest pair of each set and class first, then all pairs of groups that still lie apart.
+    # The likeliest pair of each set and class first, then whole sets of groups that still lie apart.
     compare(ends(_likely(reduce(DataFrame.unionByName, likely), "label_two")))
     groups = reduce(DataFrame.unionByName, compared)
     if labels is not None:
         now = labels.withColumnRenamed("label", "now")
         groups = groups.join(now, "name", "left").withColumn("label", F.coalesce("now", "label")).drop("now")
     open_ = groups.groupBy("part").agg(F.min("label").alias("a"), F.max("label").alias("b")).filter("a <> b").select("part")
-    compare(ends(may_links(groups.join(open_, "part"), total, False)))
+    groups = settle(groups.join(open_, "part").select(F.col("part").alias("sig"), "name").distinct(), "apart")
+    if not groups.isEmpty():
+        texts = settle(sets.texts(groups.select("name").distinct()).dropDuplicates(["name"]), "texts")
+        crossing = Crossing(texts, partitions, WIDTH, SHARE)
+        known = docs.sparkSession.createDataFrame([], "name long, label long") if labels is None else labels
+        labels = merged(known, crossing.links(crossing.parts(groups, known)))
 
     return _classes(sets.facts, labels)
 

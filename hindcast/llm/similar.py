@@ -10,11 +10,14 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hindcast.llm.blocks import WordHashes, blocks, mixed, raw_texts, window_hashes
-from hindcast.operators.spread import broadcast_small, spread_join
+from hindcast.llm.blocks import WordHashes, blocks, mixed, raw_texts, shingle_sets
+from hindcast.llm.crossing import Crossing, labelled
+from hindcast.operators.spread import broadcast_small
 from hindcast.sources.shared import settle
 
 SHINGLE = 5
+# A pair links if 100 * shared >= SHARE * union.
+SHARE = 75
 # Two sets of sizes a and b have a Jaccard similarity of 3/4 or more exactly if they differ in
 # at most (a + b) / 7 elements.
 # A set's profile counts its elements by class; there are as many classes as give each four to
@@ -25,12 +28,7 @@ FILL = 2.3
 SIGNATURES_PER_BUCKET = 1_000_000
 # Groups up to this size are compared in full at once.
 SMALL_GROUP = 4
-# Larger groups are compared in blocks of so many sets and bytes at most.
-BLOCK_ROWS, BLOCK_BYTES = 4096, 32 << 20
-BUCKET_BYTES = 64 << 20
 PAIRS_AT_ONCE = 1024
-# Bits of a set's bit map for each of its elements, at least.
-BITS = 8
 # Turns in which each set of a larger group is compared with the nearest one of another class.
 MERGE_TURNS = 1
 # A shingle that comes this often in one block of texts may be a frequent one.
@@ -43,27 +41,6 @@ _HALF = np.uint64(32)
 _FLAG = 1 << 15
 
 
-def shingle_sets(texts: list[bytes], words_of: WordHashes, width: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct hashes of shingles of ``width`` words of each text, sorted, one text after another; and their numbers."""
-    words = [t.lower().split() for t in texts]
-    sizes = np.fromiter(map(len, words), np.int64, len(words))
-    hashes = words_of.sequence([w for x in words for w in x])
-    owner = np.repeat(np.arange(len(words)), sizes)
-    grams = window_hashes(hashes, width)
-    inside = owner[: len(grams)] == owner[width - 1 :] if len(grams) else np.zeros(0, bool)
-    grams, owner = grams[inside], owner[: len(inside)][inside]
-    ends = np.cumsum(sizes)
-    short = np.flatnonzero((sizes > 0) & (sizes < width))
-    whole = [window_hashes(hashes[ends[i] - sizes[i] : ends[i]], int(sizes[i]))[0] ^ np.uint64(sizes[i]) for i in short]
-    grams = np.r_[grams, np.array(whole, np.uint64)]
-    owner = np.r_[owner, short]
-    order = np.lexsort((grams, owner))
-    grams, owner = grams[order], owner[order]
-    first = np.r_[True, (grams[1:] != grams[:-1]) | (owner[1:] != owner[:-1])] if len(grams) else np.zeros(0, bool)
-    grams, owner = grams[first], owner[first]
-    return grams, np.bincount(owner, minlength=len(texts))
-
-
 def most_differing(n: np.ndarray) -> np.ndarray:
     """In how many elements a set of size ``n`` can differ from any set it links to."""
     return (n + 4 * n // 3) // 7
@@ -93,7 +70,7 @@ def _summaries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A row for each text, and one for each shingle that many texts of a block have."""
     words_of = WordHashes()
     for batch in blocks(batches):
-        grams, sizes = shingle_sets(raw_texts(batch), words_of)
+        grams, sizes = shingle_sets(raw_texts(batch), words_of, SHINGLE)
         value, times = np.unique(grams, return_counts=True)
         value, times = value[times >= OFTEN_IN_BLOCK], times[times >= OFTEN_IN_BLOCK]
         n, more = len(sizes), len(value)
@@ -180,7 +157,7 @@ def _buckets(shared, n_buckets: int):
                 yield from packed(raw_texts(batch.slice(start, _FLAG)), words_of, frequent)
 
     def packed(texts: list[bytes], words_of: WordHashes, frequent: np.ndarray) -> Iterator[pa.RecordBatch]:
-        grams, sizes = shingle_sets(texts, words_of)
+        grams, sizes = shingle_sets(texts, words_of, SHINGLE)
         name = _set_hashes(grams, sizes)
         _, one = np.unique(name, return_index=True)
         one = one[sizes[one] > 0]
@@ -316,142 +293,6 @@ def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield batch.select(["x", "y"]).filter(pa.array(can))
 
 
-def bit_maps(grams: np.ndarray, sizes: np.ndarray) -> list[bytes]:
-    """Bit maps of sets: of ``BITS`` bits or more for each element, a power of two, those that elements hit.
-
-    Maps of two sets differ in no more bits than the sets differ in elements. Bits are the lowest
-    ones of a hash, so a longer map folds onto a shorter one.
-    """
-    width = 1 << np.ceil(np.log2(np.maximum(BITS * sizes, 64))).astype(np.int64)
-    ends = np.cumsum(width)
-    owner = np.repeat(np.arange(len(sizes)), sizes)
-    flat = np.zeros(int(width.sum()), bool)
-    flat[(ends - width)[owner] + (mixed(grams) & (width[owner] - 1).astype(np.uint64)).astype(np.int64)] = True
-    packed = np.packbits(flat, bitorder="little")
-    return [packed[(e - w) // 8 : e // 8].tobytes() for e, w in zip(ends.tolist(), width.tolist(), strict=True)]
-
-
-def _maps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    words_of = WordHashes()
-    for batch in blocks(batches):
-        grams, sizes = shingle_sets(raw_texts(batch), words_of)
-        yield pa.RecordBatch.from_arrays(
-            [batch.column("name"), pa.array(sizes.astype(np.int64)), pa.array(bit_maps(grams, sizes), pa.binary())], ["name", "n", "bits"]
-        )
-
-
-def _elements(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    words_of = WordHashes()
-    for batch in blocks(batches):
-        grams, sizes = shingle_sets(raw_texts(batch), words_of)
-        ends = np.cumsum(sizes).tolist()
-        sets = [grams[end - size : end].tobytes() for end, size in zip(ends, sizes.tolist(), strict=True)]
-        yield pa.RecordBatch.from_arrays([batch.column("name"), pa.array(sets, pa.binary())], ["name", "shingles"])
-
-
-class _Maps:
-    """The bit maps of one part's sets, by length and size of set."""
-
-    def __init__(self, n: np.ndarray, bits: list[bytes]):
-        self.n, self.by_width, self.at = n, {}, np.zeros(len(n), np.int64)
-        self.width = np.fromiter(map(len, bits), np.int64, len(bits))
-        for width in np.unique(self.width).tolist():
-            rows = np.flatnonzero(self.width == width)
-            rows = rows[np.argsort(n[rows], kind="stable")]
-            self.at[rows] = np.arange(len(rows))
-            maps = np.frombuffer(b"".join([bits[i] for i in rows]), np.uint64).reshape(len(rows), -1)
-            folded = maps[:, : maps.shape[1] // 2] | maps[:, maps.shape[1] // 2 :] if width > 8 else None
-            self.by_width[width] = rows, n[rows], maps, folded
-
-    def near(self, i: int, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The wanted sets that set ``i`` may link to, and the share that they differ in at least."""
-        width, size, found = int(self.width[i]), int(self.n[i]), []
-        _, _, maps, folded = self.by_width[width]
-        one = maps[self.at[i]]
-        for other, mine, column in ((width // 2, folded, 2), (width, maps, 2), (2 * width, maps, 3)):
-            if other in self.by_width and mine is not None:
-                rows, n = self.by_width[other][:2]
-                low, high = np.searchsorted(n, -(-3 * size // 4)), np.searchsorted(n, 4 * size // 3, "right")
-                at = low + np.flatnonzero(wanted[rows[low:high]])
-                if len(at):
-                    one = mine[self.at[i]]
-                    differ = np.bitwise_count(self.by_width[other][column][at] ^ one).sum(axis=1, dtype=np.int64)
-                    fit = 7 * differ <= n[at] + size
-                    found.append((rows[at[fit]], differ[fit] / (n[at[fit]] + size)))
-        if not found:
-            return np.zeros(0, np.int64), np.zeros(0)
-        rows, share = (np.concatenate(c) for c in zip(*found, strict=True))
-        return rows, share
-
-
-def _parts(bucket: pa.Table) -> Iterator[tuple[np.ndarray, Iterator[tuple[int, np.ndarray, np.ndarray]]]]:
-    """For each part of a bucket its rows, and for each ``few`` set the sets of other classes that it may link to."""
-    part, few, own = (bucket[c].to_numpy() for c in ("part", "few", "own"))
-    label, n, bits = bucket["label"].to_numpy(), bucket["n"].to_numpy(), bucket["bits"].to_pylist()
-    order = np.lexsort((~few, part))
-    edges = np.flatnonzero(np.r_[True, part[order][1:] != part[order][:-1], True])
-
-    def of(rows: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        maps, classes = _Maps(n[rows], [bits[i] for i in rows]), label[rows]
-        count, both = int(few[rows].sum()), own[rows[0]]
-        for i in range(count):
-            wanted = classes != classes[i]
-            if not both:
-                wanted[:count] = False
-            at, share = maps.near(i, wanted)
-            if len(at):
-                yield rows[i], rows[at], share
-
-    for low, high in zip(edges[:-1], edges[1:], strict=True):
-        yield order[low:high], of(order[low:high])
-
-
-def _nearest(bucket: pa.Table) -> pa.Table:
-    """For each ``few`` set of a part the nearest set of another class that it may link to."""
-    name, found = bucket["name"].to_numpy(), []
-    for _, pairs in _parts(bucket):
-        for one, others, share in pairs:
-            at = np.lexsort((name[others], share))[0]
-            found.append((name[one], name[others[at]], share[at]))
-    one, two, share = zip(*found, strict=True) if found else ((), (), ())
-    return pa.table({"one": pa.array(one, pa.int64()), "two": pa.array(two, pa.int64()), "share": pa.array(share, pa.float64())})
-
-
-def _doubtful(bucket: pa.Table) -> pa.Table:
-    """The sets of each part that may link to one of another class."""
-    chosen = np.zeros(len(bucket), bool)
-    for _, pairs in _parts(bucket):
-        for one, others, _ in pairs:
-            chosen[one] = chosen[others] = True
-    return bucket.select(["part", "few", "own", "name", "label"]).filter(pa.array(chosen))
-
-
-def _settled(bucket: pa.Table) -> pa.Table:
-    """Links between classes of each part, by whole sets: as many as join all classes that links join there."""
-    name, label, sets = bucket["name"].to_numpy(), bucket["label"].to_numpy(), bucket["shingles"].to_pylist()
-    xs, ys = [], []
-    for _, pairs in _parts(bucket):
-        lead: dict[int, int] = {}
-
-        def top(c: int, lead: dict[int, int] = lead) -> int:
-            while lead.get(c, c) != c:
-                c = lead[c]
-            return c
-
-        for one, others, _ in pairs:
-            mine = np.frombuffer(sets[one], np.uint64)
-            for two in others.tolist():
-                a, b = top(int(label[one])), top(int(label[two]))
-                if a != b:
-                    other = np.frombuffer(sets[two], np.uint64)
-                    shared = len(np.intersect1d(mine, other, assume_unique=True))
-                    if 100 * shared >= 75 * (len(mine) + len(other) - shared):
-                        lead[max(a, b)] = min(a, b)
-                        xs.append(min(name[one], name[two]))
-                        ys.append(max(name[one], name[two]))
-    return pa.table({"x": pa.array(xs, pa.int64()), "y": pa.array(ys, pa.int64())})
-
-
 def _linked(left: pa.Table, right: pa.Table) -> pa.Table:
     """Pairs of one shard that link: ``left`` has the texts of x, ``right`` the pairs and texts of y."""
     words_of = WordHashes()
@@ -463,10 +304,10 @@ def _linked(left: pa.Table, right: pa.Table) -> pa.Table:
         if x not in texts:
             continue
         if x != last:
-            last, base = x, shingle_sets([texts[x].encode()], words_of)[0]
-        other = shingle_sets([text.encode()], words_of)[0]
+            last, base = x, shingle_sets([texts[x].encode()], words_of, SHINGLE)[0]
+        other = shingle_sets([text.encode()], words_of, SHINGLE)[0]
         shared = len(np.intersect1d(base, other, assume_unique=True))
-        if 100 * shared >= 75 * (len(base) + len(other) - shared):
+        if 100 * shared >= SHARE * (len(base) + len(other) - shared):
             xs.append(x)
             ys.append(y)
     return pa.table({"x": pa.array(xs, pa.int64()), "y": pa.array(ys, pa.int64())})
@@ -528,12 +369,6 @@ def components(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("name"), F.col("v").alias("label")).unionByName(own)
 
 
-def labelled(pairs: DataFrame, end: str, labels: DataFrame) -> DataFrame:
-    """``pairs`` with the class ``of_<end>`` of one of their columns; a set without a label is its own class."""
-    of = labels.select(F.col("name").alias(end), F.col("label").alias(f"of_{end}"))
-    return pairs.join(of, end, "left").withColumn(f"of_{end}", F.coalesce(f"of_{end}", end))
-
-
 def merged(labels: DataFrame, links: DataFrame) -> DataFrame:
     """The classes that ``links`` make of the classes ``labels``: only links between classes are followed."""
     ends = labelled(labelled(links, "x", labels), "y", labels).filter("of_x <> of_y")
@@ -618,68 +453,16 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     groups_of = met.filter("is_group").select(F.col("x").alias("sig"), F.col("y").alias("name")).distinct()
 
     in_groups = texts.join(groups_of.select("name").distinct(), "name")
-    maps = settle(in_groups.select("name", "text").mapInArrow(_maps, "name long, n long, bits binary"), "maps")
-
-    def between() -> DataFrame:
-        """``part, few, own, name, label``: parts in which sets of larger groups meet those of other classes.
-
-        Groups with one main class (the largest) are one unit, in which each set comes once, unless
-        they have fewer pairs one by one. The few sets beside the main class meet all others
-        of their unit; if they are many, or the unit is large, in blocks.
-        """
-        groups = labelled(groups_of, "name", labels).select("sig", "name", F.col("of_name").alias("label"))
-        of_classes = groups.groupBy("sig", "label").agg(F.count("*").alias("n"))
-        open_ = of_classes.groupBy("sig").agg(F.sum("n").alias("all"), F.max(F.struct("n", "label")).alias("top")).filter("all > top.n")
-        open_ = open_.select("sig", F.col("top.label").alias("main"), (F.col("all") * (F.col("all") - F.col("top.n"))).alias("pairs"))
-        rows = settle(spread_join(groups, open_, "sig", F.col("name")), "open")
-        few = F.col("label") != F.col("main")
-        once = rows.select("main", "name", "label").distinct()
-        alone = rows.select("sig", "main", "pairs").distinct().groupBy("main").agg(F.sum("pairs").alias("alone"))
-        whole = once.groupBy("main").agg((F.count("*") * F.count_if(few)).alias("whole")).join(alone, "main")
-        whole = settle(whole.filter("whole <= alone").select("main"), "whole")
-        rows = once.join(whole, "main").select(F.col("main").alias("unit"), "main", "name", "label").unionByName(
-            rows.join(whole, "main", "left_anti").select(F.xxhash64("sig", "main").alias("unit"), "main", "name", "label")
-        )
-        rows = settle(rows.join(maps.select("name", F.octet_length("bits").alias("bytes")), "name"), "units")
-        sizes = rows.groupBy("unit").agg(
-            *(F.greatest(F.floor((F.count_if(c) - 1) / BLOCK_ROWS), F.floor(F.sum(F.when(c, F.col("bytes"))) / BLOCK_BYTES)).alias(a) for c, a in ((few, "of_few"), (~few, "of_main"))),
-        )
-        rows = rows.join(sizes, "unit")
-        by_main = rows.filter("of_few = 0")
-        one = F.array(F.pmod(F.xxhash64("name"), F.col("of_main") + 1))
-        all_ = F.sequence(F.lit(0).cast("long"), "of_main")
-        by_main = by_main.withColumn("block", F.explode(F.when(few, all_).otherwise(one)))
-        by_main = by_main.select(F.xxhash64("unit", "block").alias("part"), few.alias("few"), (F.col("block") == 0).alias("own"), "name", "label", "bytes")
-        last = F.col("of_few") + F.col("of_main") + 1
-        by_all = rows.filter("of_few > 0").withColumn("block", F.pmod(F.xxhash64("name"), last + 1))
-        by_all = by_all.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), last)))
-        low, high = F.least("block", "other"), F.greatest("block", "other")
-        part = F.xxhash64("unit", low, high)
-        by_all = by_all.select(part.alias("part"), (F.col("block") == low).alias("few"), (low == high).alias("own"), "name", "label", "bytes")
-        return settle(by_main.unionByName(by_all), "parts")
-
-    def in_parts(parts: DataFrame, each, kinds: str, wide: DataFrame = maps) -> DataFrame:
-        total = parts.agg(F.sum("bytes")).first()[0] or 0 if "bytes" in parts.columns else 0
-        bucket = F.pmod("part", F.lit(max(total // BUCKET_BYTES, shards)))
-        return parts.join(wide, "name").withColumn("bucket", bucket).groupBy("bucket").applyInArrow(each, kinds)
-
+    crossing = Crossing(in_groups, shards, SHINGLE, SHARE)
     tested = first
     for _ in range(MERGE_TURNS):
-        near_ = in_parts(between(), _nearest, "one long, two long, share double")
-        near_ = near_.groupBy("one").agg(F.min(F.struct("share", "two")).alias("top")).select("one", F.col("top.two").alias("two"))
-        some = near_.select(F.least("one", "two").alias("x"), F.greatest("one", "two").alias("y")).distinct()
+        some = crossing.nearest(crossing.parts(groups_of, labels))
         some = settle(some.join(tested, ["x", "y"], "left_anti"), "some")
         if some.isEmpty():
             break
         tested = tested.unionByName(some)
         labels = merged(labels, settle(verified(some, texts, shards), "links"))
-    doubtful = in_parts(between(), _doubtful, "part long, few boolean, own boolean, name long, label long")
-    doubtful = settle(doubtful, "doubtful")
-    if not doubtful.isEmpty():
-        wide = texts.join(doubtful.select("name").distinct(), "name").select("name", "text")
-        wide = settle(wide.mapInArrow(_elements, "name long, shingles binary"), "elements").join(maps, "name")
-        sized = doubtful.join(wide.select("name", (F.octet_length("bits") + F.octet_length("shingles")).alias("bytes")), "name")
-        labels = merged(labels, settle(in_parts(sized, _settled, "x long, y long", wide), "links"))
+    labels = merged(labels, crossing.links(crossing.parts(groups_of, labels)))
     rest = labelled(labelled(near, "x", labels), "y", labels).filter("of_x <> of_y").select("x", "y")
     rest = settle(rest.join(tested, ["x", "y"], "left_anti"), "rest")
     if not rest.isEmpty():

@@ -5,9 +5,9 @@ import pyarrow as pa
 import pytest
 from texts import ODD, prose
 
-from hindcast.llm import similar
-from hindcast.llm.blocks import WordHashes
-from hindcast.llm.similar import components, most_differing, one_of_each, shingle_sets, signatures, similar_documents
+from hindcast.llm import crossing, similar
+from hindcast.llm.blocks import WordHashes, shingle_sets
+from hindcast.llm.similar import components, most_differing, one_of_each, signatures, similar_documents
 
 
 def brute(rows):
@@ -57,7 +57,7 @@ ROWS = [
 @pytest.mark.parametrize("frequent, block", [(32, 1024), (2, 2)])
 def test_against_brute_force(documents, monkeypatch, frequent, block):
     monkeypatch.setattr(similar, "FREQUENT_LEAST", frequent)
-    monkeypatch.setattr(similar, "BLOCK_ROWS", block)
+    monkeypatch.setattr(crossing, "BLOCK_ROWS", block)
     docs = documents(ROWS, 3)
     found = similar_documents(docs)
     got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in found.collect()), key=str)
@@ -79,7 +79,7 @@ def across_blocks():
         for i in range(5):
             rest = [prose(1000 * turn + 10 + 2 * i + j, 1) + str(i) for j in range(2)]
             few.append(" ".join([rest[0], *part[0][1:6], rest[1]]))
-        grams, sizes = shingle_sets([t.encode() for t in few], WordHashes())
+        grams, sizes = shingle_sets([t.encode() for t in few], WordHashes(), 5)
         sig, own = signatures(grams, sizes, np.unique(grams))
         of = [set(sig[own == i]) for i in range(len(few))]
         names = similar._set_hashes(grams, sizes).view(np.int64)
@@ -146,7 +146,7 @@ def test_bit_maps_find_all_that_link():
         sets = [np.unique(rng.choice(pool[: 3000 // (turn % 5 + 1)], int(rng.integers(1, 900)))) for _ in range(6)]
         sets += [np.unique(np.r_[rng.permutation(s)[: max(1, len(s) * 7 // 8)], pool[:1]]) for s in sets] * 2
         n = np.array([len(s) for s in sets])
-        maps = similar._Maps(n, similar.bit_maps(np.concatenate(sets), n))
+        maps = crossing.Maps(n, crossing.bit_maps(np.concatenate(sets), n), 75)
         for i, one in enumerate(sets):
             at, _ = maps.near(i, np.arange(len(sets)) != i)
             shared = [len(np.intersect1d(one, s)) for s in sets]
@@ -155,7 +155,7 @@ def test_bit_maps_find_all_that_link():
 
 
 def test_shingles_of_short_texts():
-    grams, sizes = shingle_sets([b"", b"a b", b"A b", b"a b c d e f", b"x"], WordHashes())
+    grams, sizes = shingle_sets([b"", b"a b", b"A b", b"a b c d e f", b"x"], WordHashes(), 5)
     assert sizes.tolist() == [0, 1, 1, 2, 1]
     assert grams[0] == grams[1]
 
