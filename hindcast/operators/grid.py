@@ -164,16 +164,21 @@ def bound_chunks(chunks: DataFrame) -> DataFrame:
     )
 
 
-def bound_rows(rows: DataFrame, layout: DataFrame) -> DataFrame:
+def bound_rows(rows: DataFrame, layout: DataFrame, small: bool = False) -> DataFrame:
     """Single sheet rows joined to the layout of their file.
 
-    Rows are counted by file first. A file with over ``TASK_ROWS`` rows is dealt over as many join
+    A layout that is known to be ``small`` is broadcast, and rows stay where they are. Otherwise
+    rows are counted by file first. A file with over ``TASK_ROWS`` rows is dealt over as many join
     keys as leave each about that many (or a 100,000th of all rows), and its one layout row goes to
-    each, so no file makes a large task. The join is not hinted: adaptive execution broadcasts the layout when its
+    each, so no file makes a large task. That join is not hinted: adaptive execution broadcasts the layout when its
     measured size allows.
     """
     bound = layout.filter(F.col("months").isNotNull()).select("file", "calc_month", "data_start", "months")
-    joined = spread_join(rows.select("file", "row_idx", "cells"), bound, "file", F.struct("row_idx", "cells"), key_rows=TASK_ROWS)
+    cells = rows.select("file", "row_idx", "cells")
+    if small:
+        joined = cells.join(F.broadcast(bound), "file")
+    else:
+        joined = spread_join(cells, bound, "file", F.struct("row_idx", "cells"), key_rows=TASK_ROWS)
     return joined.select("file", "calc_month", "data_start", "months", "row_idx", "cells")
 
 

@@ -41,10 +41,14 @@ def spread_join(
     return dealt.drop("_places").join(copies.drop("_places"), [*keys, "_place"], how).drop("_place")
 
 
+def is_small(table: DataFrame) -> bool:
+    """Whether the values of a written table measure ``BROADCAST_BYTES`` at most."""
+    return (table.agg(F.sum(F.octet_length(F.to_json(F.struct("*"))))).first()[0] or 0) <= BROADCAST_BYTES
+
+
 def broadcast_small(table: DataFrame) -> DataFrame:
-    """A written table, marked for broadcast if its values measure ``BROADCAST_BYTES`` at most."""
-    size = table.agg(F.sum(F.octet_length(F.to_json(F.struct("*"))))).first()[0] or 0
-    return F.broadcast(table) if size <= BROADCAST_BYTES else table
+    """A written table, marked for broadcast if it `is_small`."""
+    return F.broadcast(table) if is_small(table) else table
 
 
 def in_order(df: DataFrame, *order: Column | str) -> DataFrame:

@@ -8,6 +8,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 
 from hindcast.operators import grid, quality, waterfall
+from hindcast.operators.spread import is_small
 from hindcast.sources.history import STAGING, read_history_csv, read_history_parquet, staged, write_history_csv, write_history_parquet
 from hindcast.sources.shared import passing_tables, settle
 from hindcast.sources.sheets import heads_of_chunks, heads_of_rows, read_workbooks
@@ -21,7 +22,8 @@ class GridFolder:
     Grids are given as chunks or as single rows. For one result the plan may run straight
     through. With ``settled`` each part that several results share is written when first
     asked for: decoded chunks, the layout, the melt and the facts. Rows are a stored table
-    already and are not copied.
+    already and are not copied; the layout that they are joined to is written in any case, and
+    broadcast while it measures little.
     """
 
     def __init__(
@@ -47,7 +49,10 @@ class GridFolder:
 
     @cached_property
     def bound(self) -> DataFrame:
-        return grid.bound_rows(self.source, self.layout) if self._chunks is None else grid.bound_chunks(self.source)
+        if self._chunks is not None:
+            return grid.bound_chunks(self.source)
+        layout = self.layout if self._settled else settle(self.layout, "grid-layout")
+        return grid.bound_rows(self.source, layout, small=is_small(layout))
 
     @cached_property
     def long(self) -> DataFrame:
