@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from hindcast.operators.spread import broadcast_small
+from hindcast.sources.shared import settle
 from hindcast.sources.sheets import HEADER_ROWS, heads_of_rows
 
 YEARS_AHEAD = 20
@@ -96,20 +98,26 @@ def hierarchy_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
 def ordered_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every order line with its grid file month ``cm`` and month column ``off``.
 
-    The months from order to shipment, modulo the width of a sheet, name the column.
+    The months from order to shipment, modulo the width of a sheet, name the column. Dates become
+    months before the join, so that narrow rows move.
     """
     lines, orders = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "orders")
-    ordered, shipped = F.col("o_orderdate"), F.col("l_shipdate")
+    shipped = (F.year("l_shipdate") * 12 + F.month("l_shipdate")).alias("shipped")
+    dated = orders.select(
+        "o_orderkey",
+        F.add_months(F.trunc("o_orderdate", "month"), 12 * YEARS_AHEAD).alias("cm"),
+        (F.year("o_orderdate") * 12 + F.month("o_orderdate")).alias("ordered"),
+    )
     return (
-        lines.join(orders.select("o_orderkey", "o_orderdate"), F.col("l_orderkey") == F.col("o_orderkey"))
-        .withColumn("off", F.pmod((F.year(shipped) - F.year(ordered)) * 12 + F.month(shipped) - F.month(ordered), F.lit(WINDOW)))
-        .withColumn("cm", F.add_months(F.trunc("o_orderdate", "month"), 12 * YEARS_AHEAD))
+        lines.select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_linestatus", shipped)
+        .join(dated, F.col("l_orderkey") == F.col("o_orderkey"))
+        .withColumn("off", F.pmod(F.col("shipped") - F.col("ordered"), F.lit(WINDOW)))
     )
 
 
 def grid_months(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The months that have a grid file."""
-    return ordered_lines(spark, sf_dir).select("cm").distinct()
+    """The months that have a grid file; written, as every read of a folder needs them."""
+    return settle(ordered_lines(spark, sf_dir).select("cm").distinct(), "grid-months")
 
 
 def grid_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -117,8 +125,8 @@ def grid_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     supplier, part, nation, region = (table(spark, sf_dir, t) for t in ("supplier", "part", "nation", "region"))
     return (
         ordered_lines(spark, sf_dir)
-        .join(supplier, F.col("l_suppkey") == F.col("s_suppkey"))
         .join(part, F.col("l_partkey") == F.col("p_partkey"))
+        .join(supplier, F.col("l_suppkey") == F.col("s_suppkey"))
         .join(nation, F.col("s_nationkey") == F.col("n_nationkey"))
         .join(region, F.col("n_regionkey") == F.col("r_regionkey"))
         .select(
@@ -136,19 +144,25 @@ def grid_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def grid_wide(lines: DataFrame) -> DataFrame:
-    """Pivoted leaf rows with a total row per batch and a Grand Total row per file."""
+    """Pivoted leaf rows with a total row per batch and a Grand Total row per file.
+
+    Leaf rows and total rows are written: a grid is a stored sheet, which is read as often as a
+    query needs it without joining the lines again, and leaf rows move once, as total rows
+    are sums over the written ones.
+    """
     months = [f"m{i}" for i in range(WINDOW)]
-    leaf = lines.groupBy("cm", "batch", "pc", "pd", "mc", "ty").agg(
+    keys = ["cm", "batch", "pc", "pd", "mc", "ty"]
+    pivoted = lines.groupBy(*keys).agg(
         *[F.sum(F.when(F.col("off") == i, F.col("l_quantity"))).alias(m) for i, m in enumerate(months)]
     )
-    all_keys = ["cm", "batch", "pc", "pd", "mc", "ty"]
-    return leaf.groupingSets([all_keys, ["cm", "batch"], ["cm"]], *all_keys).agg(
-        F.when(F.grouping("batch") == 1, "Grand Total")
-        .when(F.grouping("pc") == 1, F.concat("batch", F.lit(" Total")))
-        .otherwise(F.col("batch"))
-        .alias("label"),
-        *[F.sum(m).alias(m) for m in months],
-    ).select("cm", "label", "pc", "pd", "mc", "ty", *months)
+    leaf = settle(pivoted, "grid-leaves")
+    label = F.when(F.grouping("batch") == 1, "Grand Total").otherwise(F.concat("batch", F.lit(" Total")))
+    sums = leaf.groupingSets([["cm", "batch"], ["cm"]], "cm", "batch").agg(
+        label.alias("label"), *[F.sum(m).alias(m) for m in months]
+    )
+    none = F.lit(None).cast("string")
+    totals = settle(sums.select("cm", "label", *[none.alias(c) for c in keys[2:]], *months), "grid-totals")
+    return leaf.select("cm", F.col("batch").alias("label"), *keys[2:], *months).unionByName(totals)
 
 
 def quantity_text(value: Column) -> Column:
@@ -156,11 +170,16 @@ def quantity_text(value: Column) -> Column:
     return value.cast("bigint").cast("string")
 
 
-def body_rows(wide: DataFrame, file: Column) -> DataFrame:
-    """Sheet rows below the header. Any index past the header will do, so no row is numbered."""
+def body_rows(wide: DataFrame, months: DataFrame, file: Column) -> DataFrame:
+    """Sheet rows below the header. Any index past the header will do, so no row is numbered.
+
+    File names are made once for each of ``months`` and broadcast; making them for every row at every read
+    takes longer than reading it.
+    """
+    names = months.select("cm").distinct().select(F.col("cm").alias("named_cm"), file.alias("name"))
     cells = [F.col("label"), *[F.col(c) for c in ("pc", "pd", "mc", "ty")]]
-    return wide.select(
-        file.alias("file"),
+    return wide.join(F.broadcast(names), F.col("cm").eqNullSafe(F.col("named_cm")), "left").select(
+        F.coalesce("name", file).alias("file"),
         F.lit(HEADER_ROWS).alias("row_idx"),
         F.array(*cells, *[F.col(f"m{i}") for i in range(WINDOW)]).alias("cells"),
     )
@@ -232,7 +251,7 @@ def grid_rows(months: DataFrame, lines: DataFrame, text: bool = False, filled: b
     if filled:
         total = F.col("label") == "Grand Total"
         wide = wide.withColumns({f"m{i}": F.coalesce(f"m{i}", F.when(total, F.lit("0"))) for i in range(WINDOW)})
-    return header_rows(months, plain_name(), F.col("cm"), F.lit(True)).unionByName(body_rows(wide, plain_name()))
+    return header_rows(months, plain_name(), F.col("cm"), F.lit(True)).unionByName(body_rows(wide, months, plain_name()))
 
 
 def faulty_grid_rows(months: DataFrame, lines: DataFrame) -> DataFrame:
@@ -264,26 +283,32 @@ def faulty_grid_rows(months: DataFrame, lines: DataFrame) -> DataFrame:
         .withColumn("copy", F.explode(F.sequence(F.lit(1), F.when((kind == 6) & total, 2).otherwise(1))))
     )
     first = F.add_months("cm", F.when(kind == 5, 1).otherwise(0))
-    return header_rows(months, name, first, kind != 4).unionByName(body_rows(faulty, name))
+    return header_rows(months, name, first, kind != 4).unionByName(body_rows(faulty, months, name))
 
 
 def _spread(rows: DataFrame, per_chunk: int) -> DataFrame:
-    """Rows with a chunk number from 1, by their hash, so that chunks are of like size."""
-    total = rows.groupBy("file").agg(F.count(F.lit(1)).alias("in_file"))
-    numbered = rows.join(total, "file")
+    """Rows with a chunk number from 1, by their hash, so that chunks are of like size.
+
+    Files are counted first. The counts are broadcast while they measure little, so that rows stay where they are.
+    """
+    total = settle(rows.groupBy("file").agg(F.count(F.lit(1)).alias("in_file")), "grid-counts")
+    numbered = rows.join(broadcast_small(total), "file")
     return numbered.withColumn(
         "chunk", (F.pmod(F.xxhash64("cells"), F.ceil(F.col("in_file") / per_chunk)) + 1).cast("int")
     )
 
 
 def chunks_of(rows: DataFrame, per_chunk: int = 200) -> DataFrame:
-    """Sheet rows as bounded chunks that carry their header; chunk 0 holds the header alone."""
-    heads = heads_of_rows(rows)
+    """Sheet rows as bounded chunks that carry their header; chunk 0 holds the header alone.
+
+    Rows move once, to their chunk; headers come to the chunks while they measure little.
+    """
+    heads = settle(heads_of_rows(rows), "grid-heads")
     row = F.struct("row_idx", "cells")
     body = _spread(rows.filter(F.col("row_idx") >= HEADER_ROWS), per_chunk)
     body = body.groupBy("file", "chunk").agg(F.collect_list(row).alias("rows"))
     first = heads.select("file", F.lit(0).alias("chunk"), "head", F.col("head").alias("rows"))
-    return first.unionByName(body.join(heads, "file").select("file", "chunk", "head", "rows"))
+    return first.unionByName(body.join(broadcast_small(heads), "file").select("file", "chunk", "head", "rows"))
 
 
 def sheet_of(table_: DataFrame, header_row: int, per_chunk: int = 200) -> DataFrame:
