@@ -38,12 +38,17 @@ def _chosen(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _folder(spark: SparkSession, sf_dir: str, settled: bool = False, text: bool = False) -> GridFolder:
     """Parsed grids; settled where a query reads the rows or the melt more than once."""
-    rows = fx.grid_rows(fx.grid_months(spark, sf_dir), fx.grid_lines(spark, sf_dir), text)
+    if text:
+        rows = fx.grid_rows(fx.grid_months(spark, sf_dir), fx.grid_lines(spark, sf_dir), text)
+    else:
+        months, wide = fx.grid_tables(spark, sf_dir)
+        rows = fx.grid_rows(months, wide=wide)
     return GridFolder(rows=rows, settled=settled)
 
 
 def _faulty(spark: SparkSession, sf_dir: str) -> GridFolder:
-    rows = fx.faulty_grid_rows(fx.grid_months(spark, sf_dir), fx.grid_lines(spark, sf_dir))
+    months, wide = fx.grid_tables(spark, sf_dir)
+    rows = fx.faulty_grid_rows(months, wide=wide)
     return GridFolder(rows=rows, settled=True)
 
 
@@ -80,9 +85,10 @@ def _vintage_ties(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matched.vintages(matched.typed_forecasts(fx.forecasts_by_line(spark, sf_dir)))
 
 
-def _chunked(spark: SparkSession, sf_dir: str) -> GridFolder:
-    rows = fx.grid_rows(fx.grid_months(spark, sf_dir), fx.grid_lines(spark, sf_dir))
-    return GridFolder(chunks=fx.chunks_of(rows), settled=True)
+def _chunked(spark: SparkSession, sf_dir: str, settled: bool = True) -> GridFolder:
+    """Grids as chunks; the melt alone reads them once, so they are not written for it."""
+    months, wide = fx.grid_tables(spark, sf_dir)
+    return GridFolder(chunks=fx.chunks_of(fx.grid_rows(months, wide=wide)), settled=settled)
 
 
 def _actuals_sheet(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -108,8 +114,8 @@ def _hierarchy_sheet(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _gated_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Checked as a whole folder, written by month, read back."""
-    months = fx.grid_months(spark, sf_dir)
-    rows = fx.grid_rows(months, fx.grid_lines(spark, sf_dir), filled=True)
+    months, wide = fx.grid_tables(spark, sf_dir)
+    rows = fx.grid_rows(months, wide=wide, filled=True)
     return write_history(GridFolder(rows=rows, settled=True), new_folder(spark, "gated"), months.count(), form="parquet")
 
 

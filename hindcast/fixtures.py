@@ -17,6 +17,8 @@ from hindcast.sources.sheets import HEADER_ROWS, heads_of_rows
 
 YEARS_AHEAD = 20
 WINDOW = 5
+MONTHS = [f"m{i}" for i in range(WINDOW)]
+LEAF_KEYS = ["cm", "batch", "pc", "pd", "mc", "ty"]
 
 
 # Column types of the generated tables. Given, so no file is opened to infer them.
@@ -120,6 +122,57 @@ def grid_months(spark: SparkSession, sf_dir: str) -> DataFrame:
     return settle(ordered_lines(spark, sf_dir).select("cm").distinct(), "grid-months")
 
 
+def makers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Batch, parent and material of each supplier, written; ``copies`` counts rows that are listed several times."""
+    supplier, nation, region = (table(spark, sf_dir, t) for t in ("supplier", "nation", "region"))
+    listed = (
+        supplier.join(nation, F.col("s_nationkey") == F.col("n_nationkey"))
+        .join(region, F.col("n_regionkey") == F.col("r_regionkey"))
+        .filter(F.col("s_suppkey").isNotNull())
+        .groupBy("s_suppkey", "s_nationkey", "r_name")
+        .agg(F.count(F.lit(1)).alias("copies"))
+    )
+    return settle(
+        listed.select(
+            "s_suppkey",
+            F.col("r_name").alias("batch"),
+            F.col("s_nationkey").cast("string").alias("pc"),
+            F.concat(F.lit("M"), F.col("s_suppkey").cast("string")).alias("mc"),
+            "copies",
+        ),
+        "grid-makers",
+    )
+
+
+def grid_tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """`grid_months` and the `grid_wide` of `grid_lines`, from one pass over the lines.
+
+    Lines are pivoted by their narrow keys, and what a supplier stands for is joined to the sums. Lines
+    without a part or a supplier are no row but have a month, so both joins keep them, and the months are those of
+    the sums.
+    """
+    part = broadcast_small(table(spark, sf_dir, "part").select("p_partkey", F.col("p_type").alias("pd")))
+    typed = ordered_lines(spark, sf_dir).join(part, F.col("l_partkey") == F.col("p_partkey"), "left")
+    found = F.col("p_partkey").isNotNull() & F.col("l_suppkey").isNotNull()
+    sums = _pivoted(
+        typed.select(
+            "cm",
+            F.when(found, F.col("l_suppkey")).alias("maker"),
+            F.when(found, F.col("pd")).alias("pd"),
+            F.when(found, F.col("l_linestatus")).alias("ty"),
+            "off",
+            "l_quantity",
+        ),
+        ["cm", "maker", "pd", "ty"],
+    )
+    named = sums.join(broadcast_small(makers(spark, sf_dir)), F.col("maker") == F.col("s_suppkey"), "left").select(
+        "cm", "batch", "pc", "pd", "mc", "ty", *[(F.col(m) * F.col("copies")).alias(m) for m in MONTHS]
+    )
+    stored = settle(named, "grid-leaves")
+    months = settle(stored.select("cm").distinct(), "grid-months")
+    return months, _with_totals(stored.filter(F.col("mc").isNotNull()))
+
+
 def grid_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """`ordered_lines` with the batch, parent, description, material and type they belong to."""
     supplier, part, nation, region = (table(spark, sf_dir, t) for t in ("supplier", "part", "nation", "region"))
@@ -143,6 +196,25 @@ def grid_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _pivoted(lines: DataFrame, keys: list[str]) -> DataFrame:
+    """Sums of the lines by ``keys``, a column for each month of a sheet."""
+    return lines.groupBy(*keys).agg(
+        *[F.sum(F.when(F.col("off") == i, F.col("l_quantity"))).alias(m) for i, m in enumerate(MONTHS)]
+    )
+
+
+def _with_totals(leaf: DataFrame) -> DataFrame:
+    """Written leaf rows with a total row per batch and a Grand Total row per file, written too."""
+    label = F.when(F.grouping("batch") == 1, "Grand Total").otherwise(F.concat("batch", F.lit(" Total")))
+    sums = leaf.groupingSets([["cm", "batch"], ["cm"]], "cm", "batch").agg(
+        label.alias("label"), *[F.sum(m).alias(m) for m in MONTHS]
+    )
+    none = F.lit(None).cast("string")
+    names = LEAF_KEYS[2:]
+    totals = settle(sums.select("cm", "label", *[none.alias(c) for c in names], *MONTHS), "grid-totals")
+    return leaf.select("cm", F.col("batch").alias("label"), *names, *MONTHS).unionByName(totals)
+
+
 def grid_wide(lines: DataFrame) -> DataFrame:
     """Pivoted leaf rows with a total row per batch and a Grand Total row per file.
 
@@ -150,19 +222,7 @@ def grid_wide(lines: DataFrame) -> DataFrame:
     query needs it without joining the lines again, and leaf rows move once, as total rows
     are sums over the written ones.
     """
-    months = [f"m{i}" for i in range(WINDOW)]
-    keys = ["cm", "batch", "pc", "pd", "mc", "ty"]
-    pivoted = lines.groupBy(*keys).agg(
-        *[F.sum(F.when(F.col("off") == i, F.col("l_quantity"))).alias(m) for i, m in enumerate(months)]
-    )
-    leaf = settle(pivoted, "grid-leaves")
-    label = F.when(F.grouping("batch") == 1, "Grand Total").otherwise(F.concat("batch", F.lit(" Total")))
-    sums = leaf.groupingSets([["cm", "batch"], ["cm"]], "cm", "batch").agg(
-        label.alias("label"), *[F.sum(m).alias(m) for m in months]
-    )
-    none = F.lit(None).cast("string")
-    totals = settle(sums.select("cm", "label", *[none.alias(c) for c in keys[2:]], *months), "grid-totals")
-    return leaf.select("cm", F.col("batch").alias("label"), *keys[2:], *months).unionByName(totals)
+    return _with_totals(settle(_pivoted(lines, LEAF_KEYS), "grid-leaves"))
 
 
 def quantity_text(value: Column) -> Column:
@@ -230,9 +290,12 @@ def plain_name() -> Column:
     return file_name(F.col("cm"), F.add_months("cm", WINDOW - 1))
 
 
-def grid_rows(months: DataFrame, lines: DataFrame, text: bool = False, filled: bool = False) -> DataFrame:
+def grid_rows(
+    months: DataFrame, lines: DataFrame | None = None, text: bool = False, filled: bool = False, wide: DataFrame | None = None
+) -> DataFrame:
     """A folder of well-formed grids as sheet rows, one file per order month.
 
+    They come from ``lines``, or from a grid that is ``wide`` already.
     With ``text`` every line is a row of its own whose cell may hold text that is no number.
     With ``filled`` a Grand Total row shows 0 for a month without lines.
     """
@@ -247,14 +310,15 @@ def grid_rows(months: DataFrame, lines: DataFrame, text: bool = False, filled: b
             {f"m{i}": F.when(F.col("off") == i, cell) for i in range(WINDOW)}
         )
     else:
-        wide = grid_wide(lines).withColumns({f"m{i}": quantity_text(F.col(f"m{i}")) for i in range(WINDOW)})
+        wide = grid_wide(lines) if wide is None else wide
+        wide = wide.withColumns({f"m{i}": quantity_text(F.col(f"m{i}")) for i in range(WINDOW)})
     if filled:
         total = F.col("label") == "Grand Total"
         wide = wide.withColumns({f"m{i}": F.coalesce(f"m{i}", F.when(total, F.lit("0"))) for i in range(WINDOW)})
     return header_rows(months, plain_name(), F.col("cm"), F.lit(True)).unionByName(body_rows(wide, months, plain_name()))
 
 
-def faulty_grid_rows(months: DataFrame, lines: DataFrame) -> DataFrame:
+def faulty_grid_rows(months: DataFrame, lines: DataFrame | None = None, wide: DataFrame | None = None) -> DataFrame:
     """The same folder with one kind of fault in most files, by file month modulo 14.
 
     1 name with an ending; 2 reversed window; 3 unknown month name; 4 no code column;
@@ -271,7 +335,7 @@ def faulty_grid_rows(months: DataFrame, lines: DataFrame) -> DataFrame:
         .when(kind == 13, F.translate(plain_name(), "0123456789", "\u0660\u0661\u0662\u0663\u0664\u0665\u0666\u0667\u0668\u0669"))
         .otherwise(plain_name())
     )
-    wide = grid_wide(lines)
+    wide = grid_wide(lines) if wide is None else wide
     total = F.col("label") == "Grand Total"
     faulty = (
         wide.filter(~((kind == 9) & F.coalesce(F.col("pc") == "3", F.lit(False))))

@@ -93,3 +93,33 @@ def test_chunks_meet_their_header_where_they_are(spark, tables, monkeypatch):
     found = sorted(map(str, GridFolder(chunks=chunks).long.collect()))
     monkeypatch.setattr(spread, "BROADCAST_BYTES", 0)
     assert found and sorted(map(str, GridFolder(chunks=fx.chunks_of(rows, 5)).long.collect())) == found
+
+
+def test_one_pass_gives_the_rows_of_the_lines(spark, tables, tmp_path):
+    """Suppliers, nations and parts listed twice multiply lines; missing and null keys leave a month without rows."""
+    again = {"supplier": "s_suppkey = 3", "nation": "n_nationkey = 1", "part": "p_partkey = 2"}
+    for name, types in fx.TABLES.items():
+        df = spark.read.parquet(f"{tables}/{name}.parquet")
+        if name in again:
+            df = df.unionByName(df.filter(again[name]))
+        if name == "supplier":
+            df = df.unionByName(df.filter("s_suppkey = 5").withColumn("s_nationkey", F.lit(2)))
+        if name == "lineitem":
+            df = df.withColumn("l_suppkey", F.expr("if(l_linenumber = 2, null, if(l_orderkey = 5, 77, l_suppkey))"))
+        df.write.parquet(f"{tmp_path}/{name}.parquet")
+    months, wide = fx.grid_tables(spark, str(tmp_path))
+    old = fx.grid_wide(fx.grid_lines(spark, str(tmp_path)))
+    assert sorted(map(str, wide.select(*old.columns).collect())) == sorted(map(str, old.collect()))
+    assert sorted(r.cm for r in months.collect()) == sorted(r.cm for r in fx.grid_months(spark, str(tmp_path)).collect())
+    assert months.count() == 4
+
+
+def test_lines_meet_orders_once(spark, tables, monkeypatch):
+    """Months and rows come from one pass, in which suppliers are joined to sums."""
+    made = []
+    keep = fx.settle
+    monkeypatch.setattr(fx, "settle", lambda df, name: (made.append((name, plan(df))), keep(df, name))[1])
+    fx.grid_tables(spark, tables)
+    assert [name for name, text in made if "o_orderkey" in text] == ["grid-leaves"]
+    leaves = dict(made)["grid-leaves"]
+    assert leaves.index("Join LeftOuter, (maker") < leaves.index("Aggregate [cm#")
