@@ -223,7 +223,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "waterfall_head": lambda s, d: waterfall.head(_folder(s, d, settled=True).history()),
         "waterfall_stats": lambda s, d: waterfall.stats(_folder(s, d, settled=True).history()),
         "waterfall_roundtrip": _waterfall_roundtrip,
-        "chunk_melt": lambda s, d: _chunked(s, d).long,
+        "chunk_melt": lambda s, d: _chunked(s, d, settled=False).long,
         "chunk_profile": lambda s, d: _chunked(s, d).profile(),
         "chunk_waterfall": lambda s, d: _chunked(s, d).history(),
         "actuals_sheet": _actuals_sheet,

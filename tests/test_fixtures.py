@@ -123,3 +123,10 @@ def test_lines_meet_orders_once(spark, tables, monkeypatch):
     assert [name for name, text in made if "o_orderkey" in text] == ["grid-leaves"]
     leaves = dict(made)["grid-leaves"]
     assert leaves.index("Join LeftOuter, (maker") < leaves.index("Aggregate [cm#")
+
+
+def test_melt_of_chunks_is_not_written_on_the_way(spark, tables):
+    import __spark_entry__ as entry
+
+    files = entry.queries()["chunk_melt"](spark, tables).inputFiles()
+    assert files and not [f for f in files if "grid-long" in f or "grid-source" in f]
