@@ -19,9 +19,12 @@ from hindcast.llm.blocks import blocks, mixed, raw_texts
 CACHE = 400_000
 # Splits of a unit with up to so many dropped merges are remembered.
 KEPT_DROPS = 2
+# Units up to this length are merged by scanning a list of ranks, longer ones by an agenda.
+SHORT_UNIT = 48
 DRAWS = 1024
 SPACE = "▁"
 _FULL = 1 << 64
+_NONE = float("inf")
 
 
 class PieceModel:
@@ -64,7 +67,7 @@ class PieceModel:
         piece) is below ``dropout``. With ``gap_after``, the number of candidates from one dropped
         to the next, further ones are dropped from number ``drops[-1]`` on, which are added to ``drops``.
         """
-        order, ids = self.order, self.ids
+        order = self.order
         symbols = list(unit)
         n = len(symbols)
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
@@ -100,15 +103,52 @@ class PieceModel:
                 grown = symbols[lead] + piece
                 if grown in order:
                     heappush(agenda, (order[grown], lead, left, grown))
+        return met, self._ids_or_bytes(symbol for symbol in symbols if symbol is not None)
+
+    def encode_short(self, unit: str, drops: list[int], gap_after: Callable[[], int]) -> tuple[int, list[int]]:
+        """`encode_unit` of a short unit, the same candidates in the same order.
+
+        The next candidate is the first of the lowest ranks; a dropped one has no rank until a neighbour grows.
+        ``drops`` holds rising numbers, one at least.
+        """
+        rank_of = self.order.get
+        symbols = list(unit)
+        ranks = [rank_of(a + b, _NONE) for a, b in pairwise(unit)]
+        met, at, drop = 0, 0, drops[0]
+        while ranks:
+            rank = min(ranks)
+            if rank == _NONE:
+                break
+            i = ranks.index(rank)
+            met += 1
+            if met > drop:
+                ranks[i] = _NONE
+                at += 1
+                if at == len(drops):
+                    drops.append(met + gap_after())
+                drop = drops[at]
+                continue
+            piece = symbols[i] = symbols[i] + symbols.pop(i + 1)
+            del ranks[i]
+            if i < len(ranks):
+                ranks[i] = rank_of(piece + symbols[i + 1], _NONE)
+            if i:
+                ranks[i - 1] = rank_of(symbols[i - 1] + piece, _NONE)
+        ids = self.ids
+        try:
+            return met, [ids[symbol] for symbol in symbols]
+        except KeyError:
+            return met, self._ids_or_bytes(symbols)
+
+    def _ids_or_bytes(self, symbols: Iterable[str]) -> list[int]:
         out = []
         for symbol in symbols:
-            if symbol is not None:
-                i = ids.get(symbol)
-                if i is None:
-                    out.extend(self.of_byte[b] for b in symbol.encode())
-                else:
-                    out.append(i)
-        return met, out
+            i = self.ids.get(symbol)
+            if i is None:
+                out.extend(self.of_byte[b] for b in symbol.encode())
+            else:
+                out.append(i)
+        return out
 
     def decode(self, ids: Iterable[int]) -> str:
         """The text whose encoding, under any dropout, is ``ids``."""
@@ -160,46 +200,52 @@ class _Drops:
 
 
 class _Splits(dict):
-    """Splits of the units met so far: candidates, ids and, by the next candidate dropped, further splits.
+    """Splits of the units met so far, by the unit or by (unit, numbers of the candidates dropped): candidates and ids.
 
-    Forgets all of them when there are many.
+    Keys and splits are flat tuples, which the garbage collector need not follow. Forgets all of them when there are many.
     """
 
     def __init__(self, model: PieceModel, dropout: float):
-        self.model, self.drops, self.held = model, _Drops(dropout), 0
+        self.model, self.drops = model, _Drops(dropout)
 
-    def keep(self, held: dict, at: str | int, split: tuple[int, list[int], dict]) -> None:
-        if self.held >= CACHE:
+    def keep(self, at: str | tuple, split: tuple[int, tuple[int, ...]]) -> None:
+        if len(self) >= CACHE:
             self.clear()
-            self.held = 0
-        held[at] = split
-        self.held += 1
+        self[at] = split
 
-    def draw(self, key: int) -> Callable[[list[str]], Iterator[list[int]]]:
+    def draw(self, key: int) -> Callable[[list[str]], Iterator[Sequence[int]]]:
         """Encodes the units of one text, part by part. Each candidate of each is dropped or not by itself."""
+        known_as, model = self.get, self.model
         gap_after = self.drops.stream(key).__next__
         gap = gap_after()
 
-        def encode(units: list[str]) -> Iterator[list[int]]:
+        def encode(units: list[str]) -> Iterator[Sequence[int]]:
             nonlocal gap
             for unit in units:
-                split = self.get(unit)
-                held, at, drops = self, unit, []
+                split = known_as(unit)
+                if split is not None and gap >= split[0]:
+                    gap -= split[0]
+                    yield split[1]
+                    continue
+                at, drops = unit, []
                 while split is not None and gap < split[0]:
-                    held, at = split[2], gap
                     drops.append(gap)
                     gap += 1 + gap_after()
-                    split = held.get(at)
+                    at = (unit, *drops)
+                    split = known_as(at)
                 if split is None:
                     # One run tells this place's split, whatever else is dropped in it.
                     known = len(drops)
                     drops.append(gap)
-                    n, ids = self.model.encode_unit(unit, drops=drops, gap_after=gap_after)
+                    if len(unit) <= SHORT_UNIT:
+                        n, ids = model.encode_short(unit, drops, gap_after)
+                    else:
+                        n, ids = model.encode_unit(unit, drops=drops, gap_after=gap_after)
                     gap = drops[-1]
                     if len(drops) == known + 1 <= KEPT_DROPS + 1:
-                        self.keep(held, at, (n, ids, {}))
+                        self.keep(at, (n, tuple(ids)))
                 else:
-                    n, ids, _ = split
+                    n, ids = split
                 gap -= n
                 yield ids
 

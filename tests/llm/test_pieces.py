@@ -78,3 +78,19 @@ def test_round_trip_in_spark(documents, piece_bpe):
     assert back == sorted(ODD, key=str)
     assert sorted(map(str, encode_pieces(docs.repartition(5), piece_bpe, 0.2, 3, 2).collect())) == sorted(map(str, rows))
     assert encode_pieces(docs.limit(0), piece_bpe).count() == 0
+
+
+def test_short_units_merge_as_by_agenda(piece_bpe):
+    """The same candidates, drops and ids; remembered splits are flat."""
+    model = piece_model(piece_bpe)
+    for unit in ("understanding", "▁aaaaaaa", "▁", "x", "▁日本語é", "▁bookkeeper's"):
+        for gaps in ((0,), (1, 0, 0), (2, 1), (0, 0, 0, 0, 0, 0), (99,)):
+            runs = []
+            for encode in (model.encode_short, model.encode_unit):
+                drops, left = [gaps[0]], iter((*gaps[1:], 99))
+                runs.append((encode(unit, drops=drops, gap_after=left.__next__), drops))
+            assert runs[0] == runs[1]
+    encoder = Encoder(model, 0.3, 5)
+    encoder.encode("understanding tokenization " * 40, "a")
+    assert any(isinstance(k, tuple) for k in encoder.splits)
+    assert all(type(n) is int and type(ids) is tuple for n, ids in encoder.splits.values())
