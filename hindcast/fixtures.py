@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hindcast.operators.spread import broadcast_small
+from hindcast.operators.spread import BROADCAST_BYTES, broadcast_small
 from hindcast.sources.shared import settle
 from hindcast.sources.sheets import HEADER_ROWS, heads_of_rows
 
@@ -19,6 +19,8 @@ YEARS_AHEAD = 20
 WINDOW = 5
 MONTHS = [f"m{i}" for i in range(WINDOW)]
 LEAF_KEYS = ["cm", "batch", "pc", "pd", "mc", "ty"]
+# An order's key and months, as text.
+ORDER_BYTES = 56
 
 
 # Column types of the generated tables. Given, so no file is opened to infer them.
@@ -101,7 +103,8 @@ def ordered_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every order line with its grid file month ``cm`` and month column ``off``.
 
     The months from order to shipment, modulo the width of a sheet, name the column. Dates become
-    months before the join, so that narrow rows move.
+    months before the join, so that narrow rows move. Where orders are too many to broadcast, each
+    task hashes its orders: sorting lines for them would spill.
     """
     lines, orders = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "orders")
     shipped = (F.year("l_shipdate") * 12 + F.month("l_shipdate")).alias("shipped")
@@ -110,6 +113,8 @@ def ordered_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.add_months(F.trunc("o_orderdate", "month"), 12 * YEARS_AHEAD).alias("cm"),
         (F.year("o_orderdate") * 12 + F.month("o_orderdate")).alias("ordered"),
     )
+    if orders.count() * ORDER_BYTES > BROADCAST_BYTES:
+        dated = dated.hint("shuffle_hash")
     return (
         lines.select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_linestatus", shipped)
         .join(dated, F.col("l_orderkey") == F.col("o_orderkey"))

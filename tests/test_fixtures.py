@@ -130,3 +130,14 @@ def test_melt_of_chunks_is_not_written_on_the_way(spark, tables):
 
     files = entry.queries()["chunk_melt"](spark, tables).inputFiles()
     assert files and not [f for f in files if "grid-long" in f or "grid-source" in f]
+
+
+def test_lines_meet_their_orders_without_a_sort(spark, tables, monkeypatch):
+    """Too many to broadcast, orders are hashed; else Spark picks the join."""
+    few = fx.ordered_lines(spark, tables)
+    assert "BroadcastHashJoin" in few._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(fx, "BROADCAST_BYTES", N * fx.ORDER_BYTES - 1)
+    many = fx.ordered_lines(spark, tables)
+    physical = many._jdf.queryExecution().executedPlan().toString()
+    assert "ShuffledHashJoin" in physical and "Sort" not in physical
+    assert many.exceptAll(few).count() == few.exceptAll(many).count() == 0 and many.count() == 3 * N
