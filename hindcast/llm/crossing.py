@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hindcast.llm.blocks import WordHashes, blocks, mixed, raw_texts, shingle_sets
-from hindcast.operators.spread import spread_join
+from hindcast.operators.spread import broadcast_small, spread_join
 from hindcast.sources.shared import settle
 
 # Groups are compared in blocks of so many sets and bytes at most.
@@ -241,7 +241,8 @@ class Crossing:
         """Links ``x, y`` by whole sets, as many as join all classes that links join in a part."""
         kinds = "part long, few boolean, own boolean, name long, label long"
         doubtful = settle(self._in(parts, _doubtful(self.share), kinds, self.maps), "doubtful")
-        wide = self.texts.join(doubtful.select("name").distinct(), "name").select("name", "text")
+        names = broadcast_small(settle(doubtful.select("name").distinct(), "names"))
+        wide = self.texts.join(names, "name").select("name", "text")
         wide = settle(wide.mapInArrow(_elements(self.width), "name long, shingles binary"), "elements").join(self.maps, "name")
         sized = doubtful.join(wide.select("name", (F.octet_length("bits") + F.octet_length("shingles")).alias("bytes")), "name")
         return settle(self._in(sized, _settled(self.share), "x long, y long", wide), "links")

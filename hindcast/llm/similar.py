@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from hindcast.llm.blocks import WordHashes, blocks, mixed, raw_texts, shingle_sets
 from hindcast.llm.crossing import Crossing, labelled
-from hindcast.operators.spread import broadcast_small
+from hindcast.operators.spread import broadcast_small, is_small
 from hindcast.sources.shared import settle
 
 SHINGLE = 5
@@ -317,12 +317,15 @@ def verified(pairs: DataFrame, texts: DataFrame, shards: int) -> DataFrame:
     """The pairs whose texts link. Each text of x goes to each shard that has pairs of it once.
 
     There are at least ``shards`` shards. Their number grows with the bytes of text to compare,
-    and the number of those over which one x is spread with the bytes of its partners.
+    and the number of those over which one x is spread with the bytes of its partners. Texts
+    without a pair do not move, unless the pairs are too many to be broadcast.
     """
-    salted = _salted(pairs, texts, shards)
+    salted = settle(_salted(pairs, texts, shards), "salted")
     of_y = texts.select(F.col("name").alias("y"), F.col("text").alias("y_text"))
     needed = salted.select(F.col("x").alias("name"), "shard").distinct()
-    with_y = salted.join(of_y, "y").select(F.col("shard").alias("y_shard"), "x", "y", "y_text")
+    if is_small(salted):
+        salted, needed = F.broadcast(salted), F.broadcast(needed)
+    with_y = of_y.join(salted, "y").select(F.col("shard").alias("y_shard"), "x", "y", "y_text")
     with_x = texts.select("name", "text").join(needed, "name")
     return with_x.groupBy("shard").cogroup(with_y.groupBy("y_shard")).applyInArrow(_linked, "x long, y long")
 
@@ -452,7 +455,7 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 
     groups_of = met.filter("is_group").select(F.col("x").alias("sig"), F.col("y").alias("name")).distinct()
 
-    in_groups = texts.join(groups_of.select("name").distinct(), "name")
+    in_groups = texts.join(broadcast_small(settle(groups_of.select("name").distinct(), "grouped")), "name")
     crossing = Crossing(in_groups, shards, SHINGLE, SHARE)
     tested = first
     for _ in range(MERGE_TURNS):

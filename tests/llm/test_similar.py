@@ -177,6 +177,21 @@ def test_shards_of_one_set_grow_with_its_partners(spark, monkeypatch):
     assert max(r.x for r in got) == 1 and 20 * max(r.y for r in got) <= 5 * 2000
 
 
+def test_texts_without_pairs_do_not_move(spark, monkeypatch):
+    monkeypatch.setattr(similar, "is_small", lambda table: True, raising=False)
+    texts = spark.createDataFrame([(i, f"a b c d e f {i // 2 * 2}", 20) for i in range(40)], "name long, text string, bytes long")
+    pairs = spark.createDataFrame([(2, 3), (2, 4), (6, 7)], "x long, y long")
+    kept = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = similar.verified(pairs, texts, 2)
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" not in plan and plan.count("BroadcastHashJoin") == 2
+        assert sorted(map(tuple, found.collect())) == [(2, 3), (6, 7)]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
+
+
 def test_components(spark):
     chain = [(i, i + 1) for i in range(1, 40)] + [(50, 51), (50, 52), (60, 50)]
     rows = components(spark.createDataFrame(chain, "x long, y long")).collect()
