@@ -32,6 +32,7 @@ AGREE = 43
 # or if all comparisons of those with all others are this many at most.
 SMALL, PAIRS = 128, 4_000_000
 BLOCK = 1024
+PAIRS_AT_ONCE = 65_536
 # Nodes that are still larger after so many levels are compared exhaustively in blocks.
 DEPTH = 30
 # Before, each set is held against the others of as large a random part of its nodes, so many times.
@@ -139,33 +140,63 @@ def may_link(n: np.ndarray, sig: np.ndarray, one: np.ndarray, two: np.ndarray) -
     return np.where((agree >= AGREE) & (100 * small >= SHARE * large), agree, 0)
 
 
-def _compared(best: bool):
-    """How the groups of a bucket are compared; with ``best``, each set keeps its likeliest pair with each class only."""
+def _forest(one: np.ndarray, two: np.ndarray, agree: np.ndarray, label: np.ndarray, classes: int) -> np.ndarray:
+    """Of pairs of sets, the likeliest ones that join as many of the ``classes`` as all of them do."""
+    lead, kept = list(range(classes)), []
+
+    def top(c: int) -> int:
+        while lead[c] != c:
+            lead[c] = c = lead[lead[c]]
+        return c
+
+    order = np.argsort(-agree, kind="stable")
+    for at, a, b in zip(order.tolist(), label[one[order]].tolist(), label[two[order]].tolist(), strict=True):
+        a, b = top(a), top(b)
+        if a != b:
+            lead[a] = b
+            kept.append(at)
+            if len(kept) == classes - 1:
+                break
+    return np.array(kept, np.int64)
+
+
+def _compared(forest: bool):
+    """How the groups of a bucket are compared: each set keeps its likeliest pair, or with ``forest`` each group those that join its classes."""
 
     def compare(bucket: pa.Table) -> pa.Table:
-        """Pairs of the bucket's groups that lie in different classes and may link.
+        """Pairs of the bucket's groups that lie in different classes and may link, no more than a group has sets.
 
         Rows with ``few`` meet all others of their group, and each other if the group says ``own``.
         """
         group, few, own = (bucket[c].to_numpy() for c in ("part", "few", "own"))
         name, label, n = (bucket[c].to_numpy() for c in ("name", "label", "n"))
-        sig = _signatures(bucket["sketch"], np.uint8)
+        sig, classes = _signatures(bucket["sketch"], np.uint8), np.zeros(len(name), np.int64)
         order = np.lexsort((~few, group))
         edges = np.flatnonzero(np.r_[True, group[order][1:] != group[order][:-1], True])
         found: list[tuple[np.ndarray, ...]] = [(np.zeros(0, np.int64),) * 3]
         for low, high in zip(edges[:-1], edges[1:], strict=True):
             rows = order[low:high]
             count = int(few[rows].sum())
+            names, classes[rows] = np.unique(label[rows], return_inverse=True)
+            pairs, waiting = found[:1], 0
             for i in range(count):
                 others = rows[i + 1 :] if own[rows[0]] else rows[count:]
-                others = others[label[others] != label[rows[i]]]
+                others = others[classes[others] != classes[rows[i]]]
                 agree = may_link(n, sig, np.full(len(others), rows[i]), others)
                 others, agree = others[agree > 0], agree[agree > 0]
-                if best and len(others) > 1:
-                    along = np.lexsort((-agree, label[others]))
-                    first = np.r_[True, label[others][along][1:] != label[others][along][:-1]]
-                    others, agree = others[along[first]], agree[along[first]]
-                found.append((np.full(len(others), rows[i]), others, agree))
+                if len(others) > 1:
+                    along = np.lexsort((-agree, classes[others])) if forest else np.lexsort((name[others], agree))[-1:]
+                    if forest:
+                        along = along[np.r_[True, classes[others][along][1:] != classes[others][along][:-1]]]
+                    others, agree = others[along], agree[along]
+                pairs.append((np.full(len(others), rows[i]), others, agree))
+                waiting += len(others)
+                if forest and (waiting >= max(PAIRS_AT_ONCE, 4 * len(names)) or i == count - 1):
+                    # The forest of all pairs lies in that of some of them and the others.
+                    one, two, agree = (np.concatenate(c) for c in zip(*pairs, strict=True))
+                    kept = _forest(one, two, agree, classes, len(names))
+                    pairs, waiting = [(one[kept], two[kept], agree[kept])], len(kept)
+            found.extend(pairs)
         one, two, agree = (np.concatenate(c) for c in zip(*found, strict=True))
         return pa.table({"one": name[one], "two": name[two], "label_two": label[two], "agree": agree.astype(np.int64)})
 
@@ -341,12 +372,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             links = more if links is None else links.unionByName(more)
             labels = components(links)
 
-    def may_links(groups: DataFrame, rows: int, best: bool) -> DataFrame:
-        """Pairs of the groups' sets that lie in different classes and may link, by minwise values."""
+    def may_links(groups: DataFrame, rows: int, forest: bool) -> DataFrame:
+        """Pairs of the groups' sets that lie in different classes and may link, by minwise values: fewer than sets."""
         rows_of = groups.join(sets.sets.select("name", "n", "sketch"), "name")
         buckets = max(rows // BUCKET_ROWS, partitions)
         dealt = rows_of.withColumn("bucket", F.pmod("part", F.lit(buckets))).groupBy("bucket")
-        return settle(dealt.applyInArrow(_compared(best), "one long, two long, label_two long, agree long"), "found")
+        return settle(dealt.applyInArrow(_compared(forest), "one long, two long, label_two long, agree long"), "found")
 
     def ends(found: DataFrame) -> DataFrame:
         return found.select(F.least("one", "two").alias("x"), F.greatest("one", "two").alias("y")).distinct()
@@ -355,7 +386,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     compare(sets.agreeing(_with_leads(members)))
     for turn in range(SAMPLES):
         members = _classed(members, labels)
-        compare(ends(_likely(may_links(_sampled(members, turn), members.count(), True))))
+        compare(ends(_likely(may_links(_sampled(members, turn), members.count(), False))))
     compared, likely = [], []
     for level in range(DEPTH + 1):
         nodes = _classed(members, labels)
@@ -371,7 +402,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             break
         rows = large.select("node", "name").join(sets.sets.select("name", "sig"), "name")
         members = _met(rows.select("node", "name", "sig").mapInArrow(_branches, "node long, name long"))
-    # The likeliest pair of each set and class first, then whole sets of groups that still lie apart.
+    # The likeliest pairs that join each group's classes first, then whole sets of groups that still lie apart.
     compare(ends(_likely(reduce(DataFrame.unionByName, likely), "label_two")))
     groups = reduce(DataFrame.unionByName, compared)
     if labels is not None:

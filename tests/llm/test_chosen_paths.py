@@ -2,6 +2,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from texts import ODD, SF_DIR, prose
 
@@ -121,3 +122,29 @@ def test_query_against_all_pairs(spark):
     rows = [(r.doc_id, r.text) for r in queries.table(spark, SF_DIR, "documents").select("doc_id", "text").collect()]
     found = queries.op12_minhash_near_dedup(spark, SF_DIR).select("doc_id", "n_shingles", "component_id", "kept").collect()
     assert sorted(map(tuple, found)) == sorted(brute(rows))
+
+
+def test_a_group_gives_fewer_pairs_than_sets():
+    """However many of its sets may link, and such that classes stay joined."""
+    rng, n = np.random.default_rng(5), 300
+    base = rng.integers(0, 256, chosen_paths.COORDINATES, np.uint8)
+    sketches = np.where(rng.random((n, chosen_paths.COORDINATES)) < 0.1, rng.integers(0, 256, (n, chosen_paths.COORDINATES), np.uint8), base)
+    bucket = pa.table(
+        {
+            "part": np.zeros(n, np.int64),
+            "few": np.ones(n, bool),
+            "own": np.ones(n, bool),
+            "name": np.arange(n) * 7,
+            "label": np.arange(n) * 7,
+            "n": np.full(n, 100),
+            "sketch": [s.tobytes() for s in sketches],
+        }
+    )
+    found = chosen_paths._compared(True)(bucket)
+    assert len(found) == n - 1
+    reached, pairs = {0}, set(zip(found["one"].to_pylist(), found["two"].to_pylist()))
+    for _ in range(n):
+        reached |= {x for a, b in pairs if a in reached or b in reached for x in (a, b)}
+    assert reached == set(range(0, 7 * n, 7))
+    one = chosen_paths._compared(False)(bucket)
+    assert len(set(one["one"].to_pylist())) == len(one) == n - 1
